@@ -7,7 +7,7 @@ the same shuffles as one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,10 +70,14 @@ def short_dated(joined: DataFrame, maturities: Sequence[str] = SHORT_MATURITIES,
     })
 
 
-def _long_investors(df: DataFrame, x: str, investors: Sequence[str], moneyness: str,
+def _long_investors(df: DataFrame, x: str, investors, moneyness: str,
                     by: Sequence[str]) -> DataFrame:
+    """Measures -> (investor, volume) rows; ``investors`` maps label -> measure
+    (a plain sequence labels each measure by its own name)."""
+    cols = dict(investors) if isinstance(investors, Mapping) else {m: m for m in investors}
     ids = [*by, "date", "ticker", x, moneyness]
-    return df.unpivot(ids, list(investors), "investor", "volume")
+    renamed = df.select(*ids, *[F.col(src).alias(lbl) for lbl, src in cols.items()])
+    return renamed.unpivot(ids, list(cols), "investor", "volume")
 
 
 def imbalance_by_ticker(df: DataFrame, x: str, investors: Sequence[str],

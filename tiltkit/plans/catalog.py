@@ -3,7 +3,11 @@ and runs one operator of the library on the option-like views.
 
 Computed doubles are rounded at the very end (and identically in the DuckDB
 oracle) because partial sums are order dependent across engines; the library
-functions themselves never round their results.
+functions themselves never round their results. The rounding digit sits one
+place below the exact decimal resolution of a measure, so that last-bit
+summation noise can never cross a rounding boundary: dollar volumes are exact
+to 5 decimals (price x quantity of the generated data), 3 decimals after the
+x100 contract multiplier; ratios and means are rounded to 6 / 4 decimals.
 """
 
 from __future__ import annotations
@@ -14,9 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_away
+from ..functions.buckets import delta_moneyness, forward_moneyness, maturity_bucket
+from ..functions.numeric import ieee_ratio
 from ..operators import imbalance as imb
 from ..operators import panel as pnl
-from ..schema import MEASURES, PANEL_KEYS, RDD_CLASSES, dollar_col, trade_col
+from ..operators import tables as tb
+from ..schema import (
+    CLASSES, MATURITIES, MEASURES, MONEYNESS, PANEL_KEYS, QUANTILES, RDD_CLASSES, TABLE_CLASSES,
+    dollar_col, trade_col,
+)
 from ..sources import starschema as ss
 from . import oracle as orc
 
@@ -27,7 +37,9 @@ FIX_MATURITIES = ("30_90_days",)
 FIX_CUTOFF = 8.0
 FIX_GRID = (7.5, 8.5, 100)
 
-DOLLAR_DP = 2
+RAW_DP = 5      # unscaled dollar volumes
+SCALED_DP = 3   # dollar volumes x 100
+MCAP_DP = 2
 RATIO_DP = 6
 
 
@@ -64,7 +76,7 @@ RDD_INVESTORS = tuple(dollar_col(c) for c in RDD_CLASSES)
 
 def curve(spark: SparkSession, sf: str, x: str = "ln_prc", flags=("C", "P")) -> DataFrame:
     s = short(spark, sf).where(F.col("cp_flag").isin(*flags))
-    return imb.imbalance_curve(s, x, RDD_INVESTORS)
+    return imb.imbalance_curve(s, x, {c: dollar_col(c) for c in RDD_CLASSES})
 
 
 # ----------------------------------------------------------------- queries
@@ -72,7 +84,7 @@ def curve(spark: SparkSession, sf: str, x: str = "ln_prc", flags=("C", "P")) ->
 def q_yearly_panel(spark, sf):
     money = [dollar_col(c) for c in ("customer", "customer_100", "customer_100_199",
                                      "customer_199", "professional", "firm")]
-    return rounded(panel(spark, sf), money, DOLLAR_DP)
+    return rounded(panel(spark, sf), money, RAW_DP)
 
 
 def q_imbalance_by_price(spark, sf):
@@ -84,7 +96,7 @@ def o_yearly_panel():
     money = {dollar_col(c) for c in ("customer", "customer_100", "customer_100_199",
                                      "customer_199", "professional", "firm")}
     cols = list(PANEL_KEYS) + [
-        (f"{_sql_round(m, DOLLAR_DP)} AS {m}" if m in money else m) for m in MEASURES]
+        (f"{_sql_round(m, RAW_DP)} AS {m}" if m in money else m) for m in MEASURES]
     return orc.with_ctes(orc.base_ctes(), "SELECT " + ", ".join(cols) + " FROM panel")
 
 
@@ -95,14 +107,380 @@ def o_imbalance_by_price():
                                f"{_sql_round('itm_otm', RATIO_DP)} AS itm_otm FROM curve")
 
 
+
+DOLLARS = tuple(dollar_col(c) for c in CLASSES)
+TRADES = tuple(trade_col(c) for c in CLASSES)
+PCT = tuple(f"{m}_f_k_pct" for m in MEASURES)
+QCOLS = tb.QCOLS
+MEAN_DP = 4
+
+
+def daily(spark, sf):
+    return tb.daily_totals(panel(spark, sf))
+
+
+def shares(spark, sf):
+    return tb.moneyness_share_daily(panel(spark, sf))
+
+
+def q_daily_totals(spark, sf):
+    return rounded(daily(spark, sf), DOLLARS, SCALED_DP)
+
+
+def q_volume_distribution(spark, sf):
+    d = tb.volume_distribution(daily(spark, sf))
+    return rounded(rounded(d, ["mean", *QCOLS, "total"], SCALED_DP), ["share_pct"], RATIO_DP)
+
+
+def q_volume_distribution_approx(spark, sf):
+    d = tb.volume_distribution(daily(spark, sf), exact=False)
+    return rounded(rounded(d, ["mean", *QCOLS, "total"], SCALED_DP), ["share_pct"], RATIO_DP)
+
+
+def q_moneyness_share_daily(spark, sf):
+    return rounded(shares(spark, sf), PCT, RATIO_DP)
+
+
+def q_avg_moneyness_share(spark, sf):
+    return rounded(tb.avg_moneyness_share(shares(spark, sf)), PCT, RATIO_DP)
+
+
+def q_moneyness_share_by_year(spark, sf):
+    return rounded(tb.moneyness_share_by_year(shares(spark, sf)), PCT, RATIO_DP)
+
+
+def q_year_table(spark, sf):
+    return rounded(tb.year_table(shares(spark, sf)), MONEYNESS, RATIO_DP)
+
+
+def q_avg_volume_by_moneyness(spark, sf):
+    return rounded(tb.avg_volume_by_moneyness(daily(spark, sf)), MEASURES, MEAN_DP)
+
+
+def q_maturity_table(spark, sf):
+    return rounded(tb.maturity_table(panel(spark, sf)), MONEYNESS, MEAN_DP)
+
+
+def q_maturity_bucket(spark, sf):
+    o = options(spark, sf)
+    return o.groupBy(maturity_bucket("dtm").alias("maturity"), "cp_flag").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("dtm").alias("min_dtm"), F.max("dtm").alias("max_dtm"))
+
+
+def q_forward_moneyness(spark, sf):
+    o = options(spark, sf)
+    f_k = ieee_ratio("forward_price", "strike_price")
+    g = o.groupBy(forward_moneyness(f_k, F.col("cp_flag")).alias("f_k_moneyness"), "cp_flag").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(f_k).alias("min_f_k"), F.max(f_k).alias("max_f_k"))
+    return rounded(g, ["min_f_k", "max_f_k"], RATIO_DP)
+
+
+def q_delta_moneyness(spark, sf):
+    p = panel(spark, sf)
+    return p.groupBy(delta_moneyness("delta", "cp_flag").alias("delta_moneyness"), "cp_flag").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("delta").alias("min_delta"),
+        F.max("delta").alias("max_delta"))
+
+
+def q_class_volumes(spark, sf):
+    c = pnl.classify_options(options(spark, sf))
+    g = c.groupBy("date", "cp_flag").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return rounded(g, DOLLARS, RAW_DP)
+
+
+def q_universe_semi_join(spark, sf):
+    return pnl.universe_rows(options(spark, sf), stock(spark, sf))
+
+
+def joined(spark, sf):
+    return imb.join_stock_panel(imb.with_delta_moneyness(panel(spark, sf)), stock(spark, sf))
+
+
+def q_stock_panel_join(spark, sf):
+    j = joined(spark, sf).select(*PANEL_KEYS, "delta_moneyness", "comnam", "mcap", "prc")
+    return rounded(rounded(j, ["mcap"], MCAP_DP), ["prc"], RATIO_DP)
+
+
+SHORT_COLS = ("date", "ticker", "cp_flag", "f_k_moneyness", "maturity", "f_k", "impl_volatility",
+              "delta", "prc", "mcap", "ln_prc", "ln_mcap", "ln_impl_volatility")
+SHORT_MONEY = tuple(dollar_col(c) for c in RDD_CLASSES)
+
+
+def q_short_dated_filter(spark, sf):
+    s = short(spark, sf).select(*SHORT_COLS, *SHORT_MONEY)
+    return rounded(rounded(s, ["ln_prc", "ln_mcap", "ln_impl_volatility"], RATIO_DP),
+                   SHORT_MONEY, RAW_DP)
+
+
+def q_imbalance_by_mcap(spark, sf):
+    c = curve(spark, sf, "ln_mcap").withColumnRenamed("ln_mcap", "x")
+    return rounded(c, ["x", "itm_otm"], RATIO_DP)
+
+
+def q_imbalance_by_volatility(spark, sf):
+    c = curve(spark, sf, "impl_volatility").withColumnRenamed("impl_volatility", "x")
+    return rounded(c, ["x", "itm_otm"], RATIO_DP)
+
+
+# ------------------------------------------------------------------ oracles
+
+R = _sql_round
+
+
+def _classes_union(src: str, ids: str, cols: dict[str, str], where: str = "") -> str:
+    parts = [f"SELECT {ids}, '{lbl}' AS investor, {col} AS value FROM {src} {where}"
+             for lbl, col in cols.items()]
+    return "\n    UNION ALL ".join(parts)
+
+
+def daily_cte() -> str:
+    sums = ", ".join(f"coalesce(sum({m} * 100.0::DOUBLE), 0.0::DOUBLE) AS {m}" for m in MEASURES)
+    return f"""
+daily AS (
+  SELECT date, ticker, f_k_moneyness, cp_flag, {sums}
+  FROM panel GROUP BY date, ticker, f_k_moneyness, cp_flag
+)"""
+
+
+def shares_cte() -> str:
+    sub = ", ".join(f"coalesce(sum({m} * 100.0::DOUBLE), 0.0::DOUBLE) AS {m}_f_k_total" for m in MEASURES)
+    tot = ", ".join(f"coalesce(sum({m} * 100.0::DOUBLE), 0.0::DOUBLE) AS {m}_total" for m in MEASURES)
+    pct = ", ".join(f"CASE WHEN t.{m}_total <> 0 THEN s.{m}_f_k_total / t.{m}_total END AS {m}_f_k_pct"
+                    for m in MEASURES)
+    return f"""
+sub AS (
+  SELECT date, strftime(date, '%Y') AS "Year", f_k_moneyness, cp_flag, {sub}
+  FROM panel GROUP BY ALL
+),
+tot AS (
+  SELECT date, cp_flag, {tot} FROM panel GROUP BY ALL
+),
+shares AS (
+  SELECT s.date, s."Year", s.f_k_moneyness, s.cp_flag, {pct}
+  FROM sub s LEFT JOIN tot t ON s.date = t.date AND s.cp_flag = t.cp_flag
+)"""
+
+
+def o_daily_totals():
+    cols = ", ".join((R(m, SCALED_DP) + f" AS {m}") if m in DOLLARS else m for m in MEASURES)
+    return orc.with_ctes(orc.base_ctes() + [daily_cte()],
+                         f"SELECT date, ticker, f_k_moneyness, cp_flag, {cols} FROM daily")
+
+
+def o_volume_distribution():
+    union = _classes_union("daily", "cp_flag, f_k_moneyness",
+                           {c: dollar_col(c) for c in TABLE_CLASSES})
+    qsel = ",\n    ".join(
+        f"max(CASE WHEN rn = least(greatest(round((n - 1)::DOUBLE * {q!r}::DOUBLE), 0), n - 1) "
+        f"THEN value END) AS {nm}" for q, nm in zip(QUANTILES, QCOLS))
+    ctes = orc.base_ctes() + [daily_cte(), f"""
+long AS (
+  SELECT * FROM (
+    {union}
+  ) WHERE value > 0
+)""", """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY investor, cp_flag, f_k_moneyness ORDER BY value) - 1 AS rn,
+         count(*) OVER (PARTITION BY investor, cp_flag, f_k_moneyness) AS n
+  FROM long
+)""", f"""
+stats AS (
+  SELECT investor, cp_flag, f_k_moneyness, count(*) AS n, sum(value) AS total,
+    {qsel}
+  FROM ranked GROUP BY investor, cp_flag, f_k_moneyness
+)"""]
+    body = f"""
+SELECT investor, cp_flag, f_k_moneyness, n, {R('total / n', SCALED_DP)} AS mean,
+       {', '.join(R(c, SCALED_DP) + ' AS ' + c for c in QCOLS)}, {R('total', SCALED_DP)} AS total,
+       {R('total / sum(total) OVER (PARTITION BY investor, cp_flag) * 100.0', RATIO_DP)} AS share_pct
+FROM stats
+QUALIFY f_k_moneyness IN ('itm', 'otm', 'atm')"""
+    return orc.with_ctes(ctes, body)
+
+
+def o_moneyness_share_daily():
+    cols = ", ".join(f"{R(c, RATIO_DP)} AS {c}" for c in PCT)
+    return orc.with_ctes(orc.base_ctes() + [shares_cte()],
+                         f'SELECT date, "Year", f_k_moneyness, cp_flag, {cols} FROM shares')
+
+
+def o_avg_moneyness_share():
+    cols = ", ".join(f"{R(f'avg({c})', RATIO_DP)} AS {c}" for c in PCT)
+    return orc.with_ctes(orc.base_ctes() + [shares_cte()],
+                         f"SELECT f_k_moneyness, cp_flag, {cols} FROM shares GROUP BY ALL")
+
+
+def o_moneyness_share_by_year():
+    cols = ", ".join(f"{R(f'avg({c})', RATIO_DP)} AS {c}" for c in PCT)
+    return orc.with_ctes(orc.base_ctes() + [shares_cte()],
+                         f'SELECT "Year", f_k_moneyness, cp_flag, {cols} FROM shares GROUP BY ALL')
+
+
+def o_year_table():
+    union = _classes_union("shares", '"Year", cp_flag, f_k_moneyness',
+                           {c: dollar_col(c) + "_f_k_pct" for c in TABLE_CLASSES})
+    piv = ", ".join(f"{R(f'avg(CASE WHEN f_k_moneyness = {chr(39)}{m}{chr(39)} THEN value END)', RATIO_DP)} AS {m}"
+                    for m in MONEYNESS)
+    return orc.with_ctes(orc.base_ctes() + [shares_cte()], f"""
+SELECT investor, cp_flag, "Year", {piv}
+FROM ({union}) WHERE value > 0 AND f_k_moneyness <> 'nan'
+GROUP BY investor, cp_flag, "Year" """)
+
+
+def o_avg_volume_by_moneyness():
+    inner = ", ".join(f"avg({m}) AS {m}" for m in MEASURES)
+    outer = ", ".join(f"{R(f'avg({m})', MEAN_DP)} AS {m}" for m in MEASURES)
+    return orc.with_ctes(orc.base_ctes() + [daily_cte()], f"""
+SELECT f_k_moneyness, cp_flag, {outer}
+FROM (SELECT ticker, f_k_moneyness, cp_flag, {inner} FROM daily GROUP BY ALL)
+GROUP BY f_k_moneyness, cp_flag""")
+
+
+def o_maturity_table():
+    measures = [m for c in TABLE_CLASSES for m in (trade_col(c), dollar_col(c))]
+    sums = ", ".join(f"coalesce(sum({m}), 0.0::DOUBLE) AS {m}" for m in measures)
+    union = "\n    UNION ALL ".join(
+        f"SELECT '{m}' AS measure, cp_flag, maturity, f_k_moneyness, {m} AS value FROM mday"
+        for m in measures)
+    piv = ", ".join(f"{R(f'avg(CASE WHEN f_k_moneyness = {chr(39)}{x}{chr(39)} THEN value END)', MEAN_DP)} AS {x}"
+                    for x in MONEYNESS)
+    mvals = ", ".join(f"('{m}')" for m in measures)
+    matvals = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MATURITIES))
+    return orc.with_ctes(orc.base_ctes() + [f"""
+mday AS (SELECT date, maturity, f_k_moneyness, cp_flag, {sums} FROM panel GROUP BY ALL)""", f"""
+means AS (
+  SELECT measure, cp_flag, maturity, {piv}
+  FROM ({union}) WHERE value > 0 AND f_k_moneyness <> 'nan'
+  GROUP BY ALL
+)""", f"""
+dom AS (
+  SELECT m.measure, f.cp_flag, t.maturity_order, t.maturity
+  FROM (VALUES {mvals}) m(measure), (VALUES ('C'), ('P')) f(cp_flag),
+       (VALUES {matvals}) t(maturity_order, maturity)
+)"""], f"""
+SELECT d.measure, d.cp_flag, d.maturity, CAST(d.maturity_order AS INTEGER) AS maturity_order,
+       {', '.join('m.' + x for x in MONEYNESS)}
+FROM dom d LEFT JOIN means m ON d.measure = m.measure AND d.cp_flag = m.cp_flag AND d.maturity = m.maturity""")
+
+
+def o_maturity_bucket():
+    return orc.with_ctes([orc.option_month_cte()], """
+SELECT CASE WHEN dtm = 0 THEN '0_days'
+         WHEN dtm > 0 AND dtm <= 7 THEN '1_7_days'
+         WHEN dtm > 7 AND dtm <= 30 THEN '7_30_days'
+         WHEN dtm > 30 AND dtm <= 90 THEN '30_90_days'
+         WHEN dtm > 90 AND dtm <= 120 THEN '90_120_days'
+         WHEN dtm > 120 THEN '120_days' ELSE 'nan' END AS maturity,
+       cp_flag, count(*) AS n_rows, min(dtm) AS min_dtm, max(dtm) AS max_dtm
+FROM option_month GROUP BY ALL""")
+
+
+def o_forward_moneyness():
+    fk = ("(CASE WHEN strike_price <> 0 THEN forward_price / strike_price "
+          "WHEN forward_price > 0 THEN 'inf'::DOUBLE WHEN forward_price < 0 THEN '-inf'::DOUBLE END)")
+    return orc.with_ctes([orc.option_month_cte()], f"""
+SELECT CASE WHEN {fk} > 0.975::DOUBLE AND {fk} < 1.025::DOUBLE THEN 'atm'
+            WHEN {fk} <= 0.975::DOUBLE AND cp_flag = 'P' THEN 'itm'
+            WHEN {fk} <= 0.975::DOUBLE AND cp_flag = 'C' THEN 'otm'
+            WHEN {fk} >= 1.025::DOUBLE AND cp_flag = 'P' THEN 'otm'
+            WHEN {fk} >= 1.025::DOUBLE AND cp_flag = 'C' THEN 'itm' ELSE 'nan' END AS f_k_moneyness,
+       cp_flag, count(*) AS n_rows, {R(f'min({fk})', RATIO_DP)} AS min_f_k, {R(f'max({fk})', RATIO_DP)} AS max_f_k
+FROM option_month GROUP BY ALL""")
+
+
+def o_delta_moneyness():
+    return orc.with_ctes(orc.base_ctes(), f"""
+SELECT {orc.delta_moneyness_sql()} AS delta_moneyness, cp_flag, count(*) AS n_rows,
+       min(delta) AS min_delta, max(delta) AS max_delta
+FROM panel GROUP BY ALL""")
+
+
+def o_class_volumes():
+    ctes = [orc.option_month_cte(), orc.stock_daily_cte(),
+            orc.classified_cte().replace("WHERE ticker IN (SELECT ticker FROM stock_daily)", "")]
+    cols = ", ".join((R(f"sum({m})", RAW_DP) if m in DOLLARS else f"sum({m})") + f" AS {m}"
+                     for m in MEASURES)
+    return orc.with_ctes(ctes, f"SELECT date, cp_flag, {cols} FROM classified GROUP BY ALL")
+
+
+def o_universe_semi_join():
+    return orc.with_ctes([orc.option_month_cte(), orc.stock_daily_cte()], """
+SELECT ticker, count(*) AS n_rows FROM option_month
+WHERE ticker IN (SELECT ticker FROM stock_daily) GROUP BY ticker""")
+
+
+def o_stock_panel_join():
+    keys = ", ".join(PANEL_KEYS)
+    return orc.with_ctes(orc.base_ctes() + [orc.joined_cte()], f"""
+SELECT {keys}, delta_moneyness, comnam, {R('mcap', MCAP_DP)} AS mcap, {R('prc', RATIO_DP)} AS prc
+FROM joined""")
+
+
+def o_short_dated_filter():
+    cols = []
+    for c in SHORT_COLS:
+        cols.append(f"{R(c, RATIO_DP)} AS {c}" if c.startswith("ln_") else c)
+    cols += [f"{R(c, RAW_DP)} AS {c}" for c in SHORT_MONEY]
+    return orc.with_ctes(orc.base_ctes() + [orc.joined_cte(), orc.short_cte(FIX_MATURITIES)],
+                         f"SELECT {', '.join(cols)} FROM short")
+
+
+def _o_curve(x):
+    ctes = orc.base_ctes() + [orc.joined_cte(), orc.short_cte(FIX_MATURITIES)] + \
+        orc.curve_ctes(x, RDD_CLASSES)
+    return orc.with_ctes(ctes, f"SELECT cp_flag, investor, {R('x', RATIO_DP)} AS x, "
+                               f"{R('itm_otm', RATIO_DP)} AS itm_otm FROM curve")
+
+
+def o_imbalance_by_mcap():
+    return _o_curve("ln_mcap")
+
+
+def o_imbalance_by_volatility():
+    return _o_curve("impl_volatility")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yearly_panel": q_yearly_panel,
     "imbalance_by_price": q_imbalance_by_price,
+    "maturity_bucket": q_maturity_bucket,
+    "forward_moneyness": q_forward_moneyness,
+    "delta_moneyness": q_delta_moneyness,
+    "class_volumes": q_class_volumes,
+    "daily_totals": q_daily_totals,
+    "moneyness_share_daily": q_moneyness_share_daily,
+    "moneyness_share_by_year": q_moneyness_share_by_year,
+    "avg_moneyness_share": q_avg_moneyness_share,
+    "avg_volume_by_moneyness": q_avg_volume_by_moneyness,
+    "year_table": q_year_table,
+    "maturity_table": q_maturity_table,
+    "volume_distribution": q_volume_distribution,
+    "volume_distribution_approx": q_volume_distribution_approx,
+    "universe_semi_join": q_universe_semi_join,
+    "stock_panel_join": q_stock_panel_join,
+    "short_dated_filter": q_short_dated_filter,
+    "imbalance_by_mcap": q_imbalance_by_mcap,
+    "imbalance_by_volatility": q_imbalance_by_volatility,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "yearly_panel": o_yearly_panel,
     "imbalance_by_price": o_imbalance_by_price,
+    "maturity_bucket": o_maturity_bucket,
+    "forward_moneyness": o_forward_moneyness,
+    "delta_moneyness": o_delta_moneyness,
+    "class_volumes": o_class_volumes,
+    "daily_totals": o_daily_totals,
+    "moneyness_share_daily": o_moneyness_share_daily,
+    "moneyness_share_by_year": o_moneyness_share_by_year,
+    "avg_moneyness_share": o_avg_moneyness_share,
+    "avg_volume_by_moneyness": o_avg_volume_by_moneyness,
+    "year_table": o_year_table,
+    "maturity_table": o_maturity_table,
+    "volume_distribution": o_volume_distribution,
+    "universe_semi_join": o_universe_semi_join,
+    "stock_panel_join": o_stock_panel_join,
+    "short_dated_filter": o_short_dated_filter,
+    "imbalance_by_mcap": o_imbalance_by_mcap,
+    "imbalance_by_volatility": o_imbalance_by_volatility,
 }
-
-_ = trade_col  # re-exported name used by callers

@@ -199,7 +199,7 @@ short AS (
 
 def curve_ctes(x: str, classes, name: str = "curve") -> list[str]:
     unions = "\n    UNION ALL ".join(
-        f"SELECT cp_flag, '{dollar_col(c)}' AS investor, date, ticker, {x} AS x, f_k_moneyness, "
+        f"SELECT cp_flag, '{c}' AS investor, date, ticker, {x} AS x, f_k_moneyness, "
         f"{dollar_col(c)} AS volume FROM short" for c in classes)
     return [f"""
 {name}_long AS (
