@@ -36,8 +36,8 @@ def test_ordered_key_is_monotone(spark):
             assert (r.k + 2**64) % 2**64 == bits + 2**63
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_exact_matches_sort(spark, seed):
+@pytest.mark.parametrize("seed,finish", [(0, 0), (1, 0), (2, 1 << 18), (3, 50)])
+def test_exact_matches_sort(spark, seed, finish):
     rng = random.Random(seed)
     data = []
     sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 20, "f": 1000}
@@ -51,7 +51,7 @@ def test_exact_matches_sort(spark, seed):
     data.append(("a", "x", None))
     data.append(("a", "x", float("nan")))
     df = spark.createDataFrame(data, "g string, h string, v double")
-    out = exact_quantiles(df, ["g", "h"], "v", QS, with_stats=True).collect()
+    out = exact_quantiles(df, ["g", "h"], "v", QS, with_stats=True, finish_rows=finish).collect()
     groups = {}
     for g, _, v in data:
         if v is not None and not math.isnan(v):
