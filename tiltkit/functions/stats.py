@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .numeric import col
 
@@ -28,7 +29,7 @@ def _two_sided(z: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_pvalue_udf = F.pandas_udf(_two_sided, "double")
+_pvalue_udf = F.pandas_udf(_two_sided, T.DoubleType())
 
 
 def normal_pvalue(z) -> Column:
