@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INT_EXACT = float(2**52)  # above this every double is an integer
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -36,33 +33,22 @@ def safe_ratio(num, den) -> Column:
     return F.when(d != 0, n / d)
 
 
-def _round_half_away_int(x: Column) -> Column:
-    fl = F.floor(x).cast("double")
-    up = F.when(x - fl >= 0.5, fl + 1.0).otherwise(fl)
-    return F.when(F.abs(x) >= _INT_EXACT, x).otherwise(up)
-
-
 def round_half_away(c, decimals: int = 0) -> Column:
     """Round half away from zero on x * 10**decimals (then scale back).
 
-    The study rounds with this rule; Spark's ``round`` works on the decimal
-    text instead (round(1.005, 2) = 1.01 there, 1.0 here). Implemented with
-    floor arithmetic only, so it is exact and stays in generated code.
+    The study rounds with this rule (so does DuckDB's round on DOUBLE).
+    Spark's ``round(x, d)`` with d > 0 works on the decimal text of x instead
+    (round(1.005, 2) = 1.01 there, 1.0 here), so only the integer rounding
+    step uses it: for d = 0 HALF_UP on the shortest decimal text of a double
+    equals half-away on its exact value, because that text reads n.5 only
+    when the double is exactly n.5. One expression node, generated code.
     NULL, NaN and +-inf pass through; a zero result is +0.0.
     """
     x = col(c)
     if decimals == 0:
-        scaled = x
-    else:
-        scaled = x * float(10**decimals)
-    pos = _round_half_away_int(scaled)
-    neg = -_round_half_away_int(-scaled)
-    r = F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), scaled).when(
-        scaled >= 0, pos
-    ).otherwise(neg)
-    if decimals != 0:
-        r = r / float(10**decimals)
-    return r + 0.0  # -0.0 -> 0.0
+        return F.round(x, 0) + 0.0
+    m = float(10**decimals)
+    return F.round(x * m, 0) / m + 0.0
 
 
 def ln_or_null(c) -> Column:

@@ -16,9 +16,9 @@ from ..schema import CLASS_SOURCES, MEASURES, PANEL_KEYS, dollar_col, trade_col
 from .joins import semi_join_keys
 
 
-def class_volumes(options: DataFrame) -> list:
-    """Option mid price and, per investor class, trade and dollar volume columns."""
-    mid = (F.col("best_offer") + F.col("best_bid")) / 2.0
+def class_volumes(options: DataFrame, mid=None) -> list:
+    """Per investor class, trade and dollar (mid price x volume) volume columns."""
+    mid = (F.col("best_offer") + F.col("best_bid")) / 2.0 if mid is None else mid
     cols = []
     for cls, (buy, sell) in CLASS_SOURCES.items():
         vol = F.col(buy) + F.col(sell)
@@ -34,8 +34,14 @@ def classify_options(options: DataFrame) -> DataFrame:
     implied volatility and delta are rounded afterwards to become coarse
     group keys (1, 0 and 0 decimals, half away from zero).
     """
-    f_k = ieee_ratio("forward_price", "strike_price")
-    return options.select(
+    # ratio and mid price are named once, so later expressions reference
+    # them instead of inlining (and re-evaluating) them
+    base = options.withColumns({
+        "_f_k": ieee_ratio("forward_price", "strike_price"),
+        "_mid": (F.col("best_offer") + F.col("best_bid")) / 2.0,
+    })
+    f_k = F.col("_f_k")
+    return base.select(
         "date",
         "ticker",
         round_half_away(f_k, 1).alias("f_k"),
@@ -44,7 +50,7 @@ def classify_options(options: DataFrame) -> DataFrame:
         "cp_flag",
         round_half_away(F.col("impl_volatility") * 100.0, 0).alias("impl_volatility"),
         round_half_away(F.col("delta") * 100.0, 0).alias("delta"),
-        *class_volumes(options),
+        *class_volumes(base, F.col("_mid")),
     )
 
 

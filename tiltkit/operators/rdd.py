@@ -32,6 +32,7 @@ from ..functions.numeric import linspace_point, round_half_away
 from ..functions.stats import normal_pvalue
 from ..functions.text import stars
 from ..schema import DEFAULT_GRID_POINTS, FITTED_POINTS, TERMS
+from ..session import ensure_checkpoint_dir
 
 K_PARAMS = 4
 
@@ -44,6 +45,13 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[list[str], DataFrame, li
     return ["_model"], df.withColumn("_model", F.lit(0)), ["_model"]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (session checkpoint folder): later passes re-read it
+    instead of recomputing the lineage, which is also cut for executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _lit_or_col(v) -> Column:
     if isinstance(v, Column):
         return v
@@ -72,13 +80,16 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
              cluster: str | None = None) -> DataFrame:
     """One row per model: cutoff, nobs, side coefficients, robust variances, fit stats.
 
+    The (model, x, y) rows are checkpointed once (a Spark job), so the three
+    passes read them instead of recomputing the input.
+
     ``cutoff`` is a number, a column name or a Column (per-model cut-offs).
     Variances are HC1 (k = 4), or cluster-robust with the
     G/(G-1) * (n-1)/(n-k) correction when ``cluster`` names a column.
     A side with fewer than two distinct x values has NULL coefficients.
     """
     keys, df, drop = _keyed(df, keys)
-    d = _model_table(df, y, x, cutoff, keys, cluster)
+    d = materialize(_model_table(df, y, x, cutoff, keys, cluster))
     p1 = d.groupBy(*keys, "_z").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_xc").alias("_mx"), F.avg("_y").alias("_my"),
         F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"), F.first("_c").alias("_cut"))
@@ -220,8 +231,9 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     (the MSE is still the least-squares one).
     """
     keys, df, drop = _keyed(df, keys)
-    d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    d = materialize(
+        df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")))
     m = d.groupBy(*keys).agg(F.avg("_x").alias("_mxm"), F.avg("_y").alias("_mym"),
                              F.min("_x").alias("_xmin_m"), F.max("_x").alias("_xmax_m"),
                              F.count(F.lit(1)).alias("_nm"))

@@ -7,7 +7,11 @@ functions themselves never round their results. The rounding digit sits one
 place below the exact decimal resolution of a measure, so that last-bit
 summation noise can never cross a rounding boundary: dollar volumes are exact
 to 5 decimals (price x quantity of the generated data), 3 decimals after the
-x100 contract multiplier; ratios and means are rounded to 6 / 4 decimals.
+x100 contract multiplier. A mean of such sums over n = 2^a 5^b rows is a
+terminating decimal that can sit exactly on a boundary, so dollar means are
+rounded three places above their resolution (2 decimals unscaled, 0 scaled,
+as the tables print them); trade volumes are integers, their means exact.
+Ratios are rounded to 6 decimals.
 """
 
 from __future__ import annotations
@@ -112,7 +116,9 @@ DOLLARS = tuple(dollar_col(c) for c in CLASSES)
 TRADES = tuple(trade_col(c) for c in CLASSES)
 PCT = tuple(f"{m}_f_k_pct" for m in MEASURES)
 QCOLS = tb.QCOLS
-MEAN_DP = 4
+MEAN_DP = 4          # means of integer volumes (exact doubles)
+RAW_MEAN_DP = 2      # means of unscaled dollar sums
+SCALED_MEAN_DP = 0   # means of x100 dollar sums
 
 
 def daily(spark, sf):
@@ -127,14 +133,17 @@ def q_daily_totals(spark, sf):
     return rounded(daily(spark, sf), DOLLARS, SCALED_DP)
 
 
+def _dist_out(d):
+    d = rounded(rounded(d, [*QCOLS, "total"], SCALED_DP), ["share_pct"], RATIO_DP)
+    return rounded(d, ["mean"], SCALED_MEAN_DP)
+
+
 def q_volume_distribution(spark, sf):
-    d = tb.volume_distribution(daily(spark, sf))
-    return rounded(rounded(d, ["mean", *QCOLS, "total"], SCALED_DP), ["share_pct"], RATIO_DP)
+    return _dist_out(tb.volume_distribution(daily(spark, sf)))
 
 
 def q_volume_distribution_approx(spark, sf):
-    d = tb.volume_distribution(daily(spark, sf), exact=False)
-    return rounded(rounded(d, ["mean", *QCOLS, "total"], SCALED_DP), ["share_pct"], RATIO_DP)
+    return _dist_out(tb.volume_distribution(daily(spark, sf), exact=False))
 
 
 def q_moneyness_share_daily(spark, sf):
@@ -154,11 +163,12 @@ def q_year_table(spark, sf):
 
 
 def q_avg_volume_by_moneyness(spark, sf):
-    return rounded(tb.avg_volume_by_moneyness(daily(spark, sf)), MEASURES, MEAN_DP)
+    a = tb.avg_volume_by_moneyness(daily(spark, sf))
+    return rounded(rounded(a, TRADES, MEAN_DP), DOLLARS, SCALED_MEAN_DP)
 
 
 def q_maturity_table(spark, sf):
-    return rounded(tb.maturity_table(panel(spark, sf)), MONEYNESS, MEAN_DP)
+    return rounded(tb.maturity_table(panel(spark, sf)), MONEYNESS, RAW_MEAN_DP)
 
 
 def q_maturity_bucket(spark, sf):
@@ -290,7 +300,7 @@ stats AS (
   FROM ranked GROUP BY investor, cp_flag, f_k_moneyness
 )"""]
     body = f"""
-SELECT investor, cp_flag, f_k_moneyness, n, {R('total / n', SCALED_DP)} AS mean,
+SELECT investor, cp_flag, f_k_moneyness, n, {R('total / n', SCALED_MEAN_DP)} AS mean,
        {', '.join(R(c, SCALED_DP) + ' AS ' + c for c in QCOLS)}, {R('total', SCALED_DP)} AS total,
        {R('total / sum(total) OVER (PARTITION BY investor, cp_flag) * 100.0', RATIO_DP)} AS share_pct
 FROM stats
@@ -329,7 +339,8 @@ GROUP BY investor, cp_flag, "Year" """)
 
 def o_avg_volume_by_moneyness():
     inner = ", ".join(f"avg({m}) AS {m}" for m in MEASURES)
-    outer = ", ".join(f"{R(f'avg({m})', MEAN_DP)} AS {m}" for m in MEASURES)
+    outer = ", ".join(f"{R(f'avg({m})', SCALED_MEAN_DP if m in DOLLARS else MEAN_DP)} AS {m}"
+                      for m in MEASURES)
     return orc.with_ctes(orc.base_ctes() + [daily_cte()], f"""
 SELECT f_k_moneyness, cp_flag, {outer}
 FROM (SELECT ticker, f_k_moneyness, cp_flag, {inner} FROM daily GROUP BY ALL)
@@ -342,7 +353,7 @@ def o_maturity_table():
     union = "\n    UNION ALL ".join(
         f"SELECT '{m}' AS measure, cp_flag, maturity, f_k_moneyness, {m} AS value FROM mday"
         for m in measures)
-    piv = ", ".join(f"{R(f'avg(CASE WHEN f_k_moneyness = {chr(39)}{x}{chr(39)} THEN value END)', MEAN_DP)} AS {x}"
+    piv = ", ".join(f"{R(f'avg(CASE WHEN f_k_moneyness = {chr(39)}{x}{chr(39)} THEN value END)', RAW_MEAN_DP)} AS {x}"
                     for x in MONEYNESS)
     mvals = ", ".join(f"('{m}')" for m in measures)
     matvals = ", ".join(f"({i}, '{m}')" for i, m in enumerate(MATURITIES))

@@ -67,6 +67,7 @@ def q_optimal_cutoff(spark, sf):
 
 def _summary(cur, x, cutoff, grid):
     """Fit at the cut-off plus the MSE-optimal cut-off, one row per model."""
+    cur = rdd.materialize(cur)
     wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS)
     z = rdd.coefficients(wide, KEYS).where(F.col("term") == "Z").select(
         *KEYS, "cutoff", "nobs", F.col("coef").alias("effect_Z"), F.col("bse").alias("bse_Z"),

@@ -64,8 +64,11 @@ def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(cu, od.o_custkey == cu.c_custkey)
         .join(pa, li.l_partkey == pa.p_partkey)
     )
-    cp = F.when(F.col("l_linestatus") == "F", "C").when(F.col("l_linestatus") == "O", "P")
-    fwd = safe_ratio("l_extendedprice", "l_quantity")
+    j = j.withColumns({
+        "_cp": F.when(F.col("l_linestatus") == "F", "C").when(F.col("l_linestatus") == "O", "P"),
+        "_fwd": safe_ratio("l_extendedprice", "l_quantity"),
+    })
+    cp, fwd = F.col("_cp"), F.col("_fwd")
     disc = F.col("l_discount") * DELTA_FACTOR
     buy = F.when(F.col("l_returnflag").isin(*BUY_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
     sell = F.when(F.col("l_returnflag").isin(*SELL_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
