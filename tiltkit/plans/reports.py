@@ -1,4 +1,123 @@
-"""Registered report queries (formatted table cells)."""
+"""Registered report queries (formatted table cells) and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rdd, report
+from ..schema import MONEYNESS, PANEL_TITLES, QUANTILE_LABELS, RDD_CLASSES, TERM_ORDER
+from . import catalog as C
+from . import discontinuity as D
+from . import oracle as orc
+
+MODELS = {f"{c}_{f}": f"{c}_{f}" for f in ("C", "P") for c in RDD_CLASSES}
+
+
+def _coef(spark, sf):
+    long = rdd.coefficients(D._fit(spark, sf), D.KEYS)
+    return long.withColumn("model", F.concat_ws("_", "investor", "cp_flag"))
+
+
+def q_model_comparison(spark, sf):
+    return report.model_comparison(_coef(spark, sf), MODELS)
+
+
+def q_regression_table(spark, sf):
+    return report.regression_table(_coef(spark, sf), MODELS)
+
+
+def q_significance_stars(spark, sf):
+    c = _coef(spark, sf).select(*D.KEYS, "term", "z", "stars")
+    return C.rounded(c, ["z"], D.Z_DP)
+
+
+def q_volume_distribution_panel(spark, sf):
+    # cells print whole units: the distribution is taken at its exact
+    # resolution first (sums exact to 3 decimals), as in the table query
+    return report.distribution_panel(C.q_volume_distribution(spark, sf))
+
+
+# ------------------------------------------------------------------ oracles
+
+def _fit_sql() -> list[str]:
+    return D._curve_ctes("ln_prc") + D._fit_ctes("curve", C.FIX_CUTOFF) + [f"""
+mc AS (
+  SELECT investor || '_' || cp_flag AS model, term, coef, bse, zstat, nobs, r2,
+         1 - (nobs - 1)::DOUBLE / (nobs - 4) * (1 - r2) AS r2a,
+         {D._stars_sql('zstat')} AS st
+  FROM coef
+)"""]
+
+
+def _pivot(lines_sql: str) -> str:
+    cols = ", ".join(f"max(CASE WHEN model = '{m}' THEN text END) AS {name}" for m, name in MODELS.items())
+    return f"SELECT line_no, row_label, {cols} FROM ({lines_sql}) GROUP BY line_no, row_label"
+
+
+def o_model_comparison():
+    parts, i = [], 0
+    for t in TERM_ORDER:
+        parts.append(f"SELECT model, {i} AS line_no, '{t}' AS row_label, "
+                     f"CASE WHEN coef IS NULL THEN '' ELSE printf('%.2f', coef) || st END AS text "
+                     f"FROM mc WHERE term = '{t}'")
+        parts.append(f"SELECT model, {i + 1} AS line_no, '' AS row_label, "
+                     f"CASE WHEN bse IS NULL THEN '' ELSE '(' || printf('%.2f', bse) || ')' END AS text "
+                     f"FROM mc WHERE term = '{t}'")
+        i += 2
+    parts.append(f"SELECT model, {i} AS line_no, 'R-squared' AS row_label, printf('%.2f', r2) AS text "
+                 f"FROM mc WHERE term = 'Z'")
+    parts.append(f"SELECT model, {i + 1} AS line_no, 'R-squared Adj.' AS row_label, "
+                 f"printf('%.2f', r2a) AS text FROM mc WHERE term = 'Z'")
+    return orc.with_ctes(_fit_sql(), _pivot("\n UNION ALL ".join(parts)))
+
+
+def o_regression_table():
+    parts, i = [], 0
+    for t in TERM_ORDER:
+        parts.append(f"SELECT model, {i} AS line_no, '{t}' AS row_label, "
+                     f"CASE WHEN coef IS NULL OR isnan(coef) THEN '' ELSE printf('%.3f', coef) || st END AS text "
+                     f"FROM mc WHERE term = '{t}'")
+        parts.append(f"SELECT model, {i + 1} AS line_no, '' AS row_label, "
+                     f"CASE WHEN bse IS NULL OR isnan(bse) THEN '' ELSE '(' || printf('%.3f', bse) || ')' END AS text "
+                     f"FROM mc WHERE term = '{t}'")
+        i += 2
+    parts.append(f"SELECT model, {i} AS line_no, 'N' AS row_label, format('{{:,.0f}}', nobs::DOUBLE) AS text "
+                 f"FROM mc WHERE term = 'Z'")
+    parts.append(f"SELECT model, {i + 1} AS line_no, 'R^2(%)' AS row_label, "
+                 f"printf('%.2f', r2 * 100.0) AS text FROM mc WHERE term = 'Z'")
+    return orc.with_ctes(_fit_sql(), _pivot("\n UNION ALL ".join(parts)))
+
+
+def o_significance_stars():
+    return orc.with_ctes(_fit_sql(), f"SELECT split_part(model, '_', -1) AS cp_flag, "
+                                     f"regexp_replace(model, '_[CP]$', '') AS investor, term, "
+                                     f"{C._sql_round('zstat', D.Z_DP)} AS z, st AS stars FROM mc")
+
+
+def o_volume_distribution_panel():
+    dist = C.o_volume_distribution()
+    stats = [("Mean", "mean")] + list(zip(QUANTILE_LABELS, C.QCOLS))
+    parts = [f"SELECT cp_flag, investor, f_k_moneyness, {i} AS stat_order, '{lbl}' AS stat, "
+             f"format('{{:,.0f}}', {c}) AS text FROM dist" for i, (lbl, c) in enumerate(stats)]
+    parts.append(f"SELECT cp_flag, investor, f_k_moneyness, {len(stats)} AS stat_order, "
+                 f"'Total Percentage' AS stat, '(' || format('{{:,.0f}}', share_pct) || '\\%)' AS text FROM dist")
+    title = "CASE " + " ".join(f"WHEN cp_flag = '{k}' THEN '{v}'" for k, v in PANEL_TITLES.items()) + " END"
+    piv = ", ".join(f"max(CASE WHEN f_k_moneyness = '{m}' THEN text END) AS {m}" for m in MONEYNESS)
+    return (f"WITH dist AS ({dist})\n"
+            f"SELECT cp_flag, {title} AS panel, investor, stat_order, stat, {piv}\n"
+            f"FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL")
+
+
+QUERIES = {
+    "model_comparison": q_model_comparison,
+    "regression_table": q_regression_table,
+    "significance_stars": q_significance_stars,
+    "volume_distribution_panel": q_volume_distribution_panel,
+}
+
+ORACLES = {
+    "model_comparison": o_model_comparison,
+    "regression_table": o_regression_table,
+    "significance_stars": o_significance_stars,
+    "volume_distribution_panel": o_volume_distribution_panel,
+}
