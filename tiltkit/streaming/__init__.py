@@ -1 +1,5 @@
-"""tiltkit.streaming."""
+"""Structured Streaming ingestion of monthly option files."""
+
+from .monthly import month_stream, panel_stream, read_stream_panel
+
+__all__ = ["month_stream", "panel_stream", "read_stream_panel"]
