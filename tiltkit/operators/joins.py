@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # A side is broadcast only when it has at most this many rows (a ticker
 # universe has tens of thousands of names; far below this bound).
 BROADCAST_MAX_ROWS = 2_000_000
@@ -25,8 +27,9 @@ def semi_join_keys(big: DataFrame, keys: DataFrame, on: str | list[str],
     """``big`` rows whose key is in ``keys`` (a left-semi join on a distinct key set).
 
     The key set is de-duplicated first (partial aggregation makes that
-    cheap) so that what may be broadcast is the set of names, not a panel.
+    cheap) and checkpointed, so that what may be broadcast is the set of
+    names, not a panel, and the size check does not recompute it.
     """
     on = [on] if isinstance(on, str) else list(on)
-    distinct_keys = keys.select(*on).distinct()
+    distinct_keys = materialize(keys.select(*on).distinct())  # computed once, counted, joined
     return big.join(bounded_broadcast(distinct_keys, max_rows), on, "left_semi")

@@ -32,7 +32,7 @@ from ..functions.numeric import linspace_point, round_half_away
 from ..functions.stats import normal_pvalue
 from ..functions.text import stars
 from ..schema import DEFAULT_GRID_POINTS, FITTED_POINTS, TERMS
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 K_PARAMS = 4
 
@@ -45,13 +45,6 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[list[str], DataFrame, li
     return ["_model"], df.withColumn("_model", F.lit(0)), ["_model"]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (session checkpoint folder): later passes re-read it
-    instead of recomputing the lineage, which is also cut for executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _lit_or_col(v) -> Column:
     if isinstance(v, Column):
         return v

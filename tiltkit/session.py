@@ -47,3 +47,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tiltkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Reliable checkpoint in the session's checkpoint folder (runs a job).
+
+    Later uses re-read the written rows instead of recomputing the lineage,
+    and the lineage is cut, so a lost executor does not replay it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df, factor: int = 2):
+    """Round-robin a scan that has fewer input files than the session has cores.
+
+    Generated single-file tables hold one row group, which one task would
+    read and push through the whole stage; a table of many files (any real
+    one) is left alone, so this costs nothing at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores * factor)
+    return df

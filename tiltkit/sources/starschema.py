@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import safe_ratio
+from ..session import spread
 
 # --------------------------------------------------------------------------
 # Fixed values of the test-data mapping.
@@ -37,8 +39,24 @@ DELTA_FACTOR = 10.0
 IV_FACTOR = 10.0
 
 
+# Read schemas of the generated tables (only the columns the views use). A
+# declared schema skips the footer-inference job of every read.
+_LONG, _INT, _DBL, _STR, _TS = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+READ_SCHEMAS = {
+    "lineitem": [("l_orderkey", _LONG), ("l_partkey", _LONG), ("l_quantity", _DBL),
+                 ("l_extendedprice", _DBL), ("l_discount", _DBL), ("l_tax", _DBL),
+                 ("l_returnflag", _STR), ("l_linestatus", _STR), ("l_shipdate", _TS)],
+    "orders": [("o_orderkey", _LONG), ("o_custkey", _LONG), ("o_orderdate", _TS)],
+    "customer": [("c_custkey", _LONG), ("c_mktsegment", _STR)],
+    "part": [("p_partkey", _LONG), ("p_brand", _STR), ("p_retailprice", _DBL)],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in READ_SCHEMAS:
+        reader = reader.schema(T.StructType([T.StructField(c, t) for c, t in READ_SCHEMAS[name]]))
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _month(ts) -> F.Column:
@@ -52,10 +70,10 @@ def _class_volume(segment: F.Column, side: F.Column, cls: str) -> F.Column:
 
 def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders x customer x part as monthly option quotes and volumes."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-    )
+    ))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
@@ -109,8 +127,8 @@ def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock panel per (month, brand): price = mean unit price, shares = quantity."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand") \
         .where(~F.col("p_brand").isin(*STOCK_EXCLUDED_BRANDS))
     j = li.join(pa, li.l_partkey == pa.p_partkey)
