@@ -70,11 +70,12 @@ def _side(col: str, z: int) -> Column:
 
 
 def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
-             cluster: str | None = None) -> DataFrame:
+             cluster: str | None = None, checkpoint_input: bool = True) -> DataFrame:
     """One row per model: cutoff, nobs, side coefficients, robust variances, fit stats.
 
     The (model, x, y) rows are checkpointed once (a Spark job), so the three
-    passes read them instead of recomputing the input.
+    passes read them instead of recomputing the input; pass
+    ``checkpoint_input=False`` when ``df`` is already checkpointed.
 
     ``cutoff`` is a number, a column name or a Column (per-model cut-offs).
     Variances are HC1 (k = 4), or cluster-robust with the
@@ -82,7 +83,8 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
     A side with fewer than two distinct x values has NULL coefficients.
     """
     keys, df, drop = _keyed(df, keys)
-    d = materialize(_model_table(df, y, x, cutoff, keys, cluster))
+    d = _model_table(df, y, x, cutoff, keys, cluster)
+    d = materialize(d) if checkpoint_input else d
     p1 = d.groupBy(*keys, "_z").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_xc").alias("_mx"), F.avg("_y").alias("_my"),
         F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"), F.first("_c").alias("_cut"))
@@ -214,7 +216,8 @@ def _bucket(x: Column, start: Column, stop: Column, num: Column) -> Column:
     return F.when(step == 0, F.when(x >= start, num).otherwise(F.lit(0))).otherwise(up)
 
 
-def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] = ()) -> DataFrame:
+def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] = (),
+                 checkpoint_input: bool = True) -> DataFrame:
     """In-sample MSE and jump for every candidate cut-off of a grid, per model.
 
     ``grid`` is (start, stop, num) of a linspace; None uses the study's
@@ -224,9 +227,9 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     (the MSE is still the least-squares one).
     """
     keys, df, drop = _keyed(df, keys)
-    d = materialize(
-        df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")))
+    d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    d = materialize(d) if checkpoint_input else d
     m = d.groupBy(*keys).agg(F.avg("_x").alias("_mxm"), F.avg("_y").alias("_mym"),
                              F.min("_x").alias("_xmin_m"), F.max("_x").alias("_xmax_m"),
                              F.count(F.lit(1)).alias("_nm"))

@@ -67,12 +67,13 @@ def q_optimal_cutoff(spark, sf):
 
 def _summary(cur, x, cutoff, grid):
     """Fit at the cut-off plus the MSE-optimal cut-off, one row per model."""
-    cur = rdd.materialize(cur)
-    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS)
+    cur = rdd.materialize(cur)  # one curve for the fit and the search
+    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, checkpoint_input=False)
     z = rdd.coefficients(wide, KEYS).where(F.col("term") == "Z").select(
         *KEYS, "cutoff", "nobs", F.col("coef").alias("effect_Z"), F.col("bse").alias("bse_Z"),
         F.col("z").alias("z_Z"), F.col("stars").alias("stars_Z"), "rsquared")
-    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS), KEYS).select(
+    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS, checkpoint_input=False),
+                              KEYS).select(
         *KEYS, F.col("cutoff").alias("optimal_cutoff"), F.col("mse").alias("optimal_mse"),
         F.col("effect_Z").alias("optimal_effect_Z"))
     out = z.join(best, list(KEYS), "left")
