@@ -47,6 +47,9 @@ def round_half_away(c, decimals: int = 0) -> Column:
     x = col(c)
     if decimals == 0:
         return F.round(x, 0) + 0.0
+    if decimals < 0:  # to tens, hundreds, ...
+        m = float(10 ** -decimals)
+        return F.round(x / m, 0) * m + 0.0
     m = float(10**decimals)
     return F.round(x * m, 0) / m + 0.0
 

@@ -80,7 +80,9 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
     ``cutoff`` is a number, a column name or a Column (per-model cut-offs).
     Variances are HC1 (k = 4), or cluster-robust with the
     G/(G-1) * (n-1)/(n-k) correction when ``cluster`` names a column.
-    A side with fewer than two distinct x values has NULL coefficients.
+    A side with fewer than two distinct x values has NULL coefficients; a
+    side of exactly two points is fit exactly (zero residuals), and a term
+    whose standard error is 0 gets a NULL z.
     """
     keys, df, drop = _keyed(df, keys)
     d = _model_table(df, y, x, cutoff, keys, cluster)
@@ -103,7 +105,8 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
     j2 = d.join(F.broadcast(p2.select(*keys, "_z", "_n", "_mx", "_my", "_sxx", "_b")), [*keys, "_z"])
     dx = F.col("_xc") - F.col("_mx")
     fitted = F.col("_b").isNotNull()
-    e = (F.col("_y") - F.col("_my")) - F.col("_b") * dx
+    # a side of two points is fit exactly: its residuals are 0, not float noise
+    e = F.when(F.col("_n") == 2, F.lit(0.0)).otherwise((F.col("_y") - F.col("_my")) - F.col("_b") * dx)
     w0 = F.when(fitted, 1.0 / F.col("_n") - F.col("_mx") * dx / F.col("_sxx"))
     w1 = F.when(fitted, dx / F.col("_sxx"))
     if cluster is None:

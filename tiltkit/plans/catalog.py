@@ -43,7 +43,7 @@ FIX_GRID = (7.5, 8.5, 100)
 
 RAW_DP = 5      # unscaled dollar volumes
 SCALED_DP = 3   # dollar volumes x 100
-MCAP_DP = 2
+MCAP_DP = -3    # market cap (1e9-1e11 dollars) to the thousand: below that it is float noise
 RATIO_DP = 6
 
 
@@ -52,6 +52,9 @@ def rounded(df: DataFrame, cols, decimals: int) -> DataFrame:
 
 
 def _sql_round(expr: str, decimals: int) -> str:
+    if decimals < 0:
+        m = float(10 ** -decimals)
+        return f"(round(({expr}) / {m!r}::DOUBLE) * {m!r}::DOUBLE + 0.0::DOUBLE)"
     m = float(10**decimals)
     return f"(round(({expr}) * {m!r}::DOUBLE) / {m!r}::DOUBLE + 0.0::DOUBLE)"
 

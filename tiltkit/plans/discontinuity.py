@@ -112,12 +112,14 @@ d AS (
 )""", """
 side AS (
   SELECT cp_flag, investor, z, count(*) AS n, avg(y) AS my, avg(xc) AS mx,
-         regr_slope(y, xc) AS b, regr_intercept(y, xc) AS a, regr_sxx(y, xc) AS sxx
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_slope(y, xc) END AS b,
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_intercept(y, xc) END AS a,
+         regr_sxx(y, xc) AS sxx
   FROM d GROUP BY ALL
 )""", """
 res AS (
   SELECT d.*, s.n, s.mx, s.sxx, s.a, s.b,
-         CASE WHEN s.b IS NOT NULL THEN d.y - s.a - s.b * d.xc ELSE d.y - s.my END AS e,
+         CASE WHEN s.n = 2 THEN 0.0 WHEN s.b IS NOT NULL THEN d.y - s.a - s.b * d.xc ELSE d.y - s.my END AS e,
          CASE WHEN s.b IS NOT NULL THEN 1.0 / s.n - s.mx * (d.xc - s.mx) / s.sxx END AS w0,
          CASE WHEN s.b IS NOT NULL THEN (d.xc - s.mx) / s.sxx END AS w1
   FROM d JOIN side s USING (cp_flag, investor, z)
@@ -235,7 +237,9 @@ gd AS (
   FROM {src} s, grid g
 )""", """
 gside AS (
-  SELECT cp_flag, investor, j, z, regr_slope(y, xc) AS b, regr_intercept(y, xc) AS a, avg(y) AS my
+  SELECT cp_flag, investor, j, z,
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_slope(y, xc) END AS b,
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_intercept(y, xc) END AS a, avg(y) AS my
   FROM gd GROUP BY ALL
 )""", """
 gsse AS (
