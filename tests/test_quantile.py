@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tiltkit.functions.numeric import ordered_key
 from tiltkit.operators.quantile import approx_quantiles, exact_quantiles

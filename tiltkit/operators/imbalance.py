@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import delta_moneyness
 from ..functions.numeric import ln_or_null, round_half_away, safe_ratio
-from ..schema import MAX_PRICE, SHORT_MATURITIES, UNCLASSIFIED, dollar_col
+from ..schema import MAX_PRICE, SHORT_MATURITIES, dollar_col
 
 
 def with_delta_moneyness(panel: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def _long_investors(df: DataFrame, x: str, investors, moneyness: str,
     return renamed.unpivot(ids, list(cols), "investor", "volume")
 
 
-def imbalance_by_ticker(df: DataFrame, x: str, investors: Sequence[str],
+def imbalance_by_ticker(df: DataFrame, x: str, investors: Mapping[str, str] | Sequence[str],
                         moneyness: str = "f_k_moneyness", by: Sequence[str] = ("cp_flag",)) -> DataFrame:
     """Per (by, investor, ticker, x): mean over days of (itm-otm)/(itm+otm).
 
@@ -99,7 +99,7 @@ def imbalance_by_ticker(df: DataFrame, x: str, investors: Sequence[str],
     return cell.groupBy(*by, "investor", "ticker", x).agg(F.avg("itm_otm").alias("itm_otm"))
 
 
-def imbalance_curve(df: DataFrame, x: str, investors: Sequence[str],
+def imbalance_curve(df: DataFrame, x: str, investors: Mapping[str, str] | Sequence[str],
                     moneyness: str = "f_k_moneyness", by: Sequence[str] = ("cp_flag",)) -> DataFrame:
     """ITM-OTM imbalance against ``x``: mean over tickers of the per-ticker means.
 
@@ -119,5 +119,4 @@ def investor_measures(classes: Sequence[str]) -> list[str]:
 __all__ = [
     "with_delta_moneyness", "join_stock_panel", "duplicate_keys", "short_dated",
     "imbalance_by_ticker", "imbalance_curve", "investor_measures", "stock_values",
-    "UNCLASSIFIED",
 ]

@@ -80,6 +80,11 @@ def volume_distribution(daily: DataFrame, columns: Mapping[str, str] | None = No
     return out.where(F.col("f_k_moneyness").isin(*MONEYNESS))
 
 
+def share_distribution(shares: DataFrame, classes: Sequence[str] = TABLE_CLASSES) -> DataFrame:
+    """The distribution table over daily moneyness shares (in place of volumes)."""
+    return volume_distribution(shares, dollar_classes(classes, "_f_k_pct"))
+
+
 def moneyness_share_daily(panel: DataFrame, factor: float = CONTRACT_MULTIPLIER) -> DataFrame:
     """Share of each moneyness group in the (date, flag) total, per measure.
 

@@ -149,6 +149,11 @@ def q_volume_distribution_approx(spark, sf):
     return _dist_out(tb.volume_distribution(daily(spark, sf), exact=False))
 
 
+def q_share_distribution(spark, sf):
+    d = tb.share_distribution(shares(spark, sf))
+    return rounded(d, ["mean", *QCOLS, "total", "share_pct"], RATIO_DP)
+
+
 def q_moneyness_share_daily(spark, sf):
     return rounded(shares(spark, sf), PCT, RATIO_DP)
 
@@ -281,12 +286,17 @@ def o_daily_totals():
 
 
 def o_volume_distribution():
-    union = _classes_union("daily", "cp_flag, f_k_moneyness",
-                           {c: dollar_col(c) for c in TABLE_CLASSES})
+    return _dist_sql(orc.base_ctes() + [daily_cte()], "daily",
+                     {c: dollar_col(c) for c in TABLE_CLASSES}, SCALED_DP, SCALED_MEAN_DP)
+
+
+def _dist_sql(src_ctes: list[str], src: str, cols: dict[str, str], value_dp: int, mean_dp: int) -> str:
+    """Distribution table by brute force: row_number per group picks the nearest rank."""
+    union = _classes_union(src, "cp_flag, f_k_moneyness", cols)
     qsel = ",\n    ".join(
         f"max(CASE WHEN rn = least(greatest(round((n - 1)::DOUBLE * {q!r}::DOUBLE), 0), n - 1) "
         f"THEN value END) AS {nm}" for q, nm in zip(QUANTILES, QCOLS))
-    ctes = orc.base_ctes() + [daily_cte(), f"""
+    ctes = src_ctes + [f"""
 long AS (
   SELECT * FROM (
     {union}
@@ -303,14 +313,19 @@ stats AS (
   FROM ranked GROUP BY investor, cp_flag, f_k_moneyness
 )"""]
     body = f"""
-SELECT investor, cp_flag, f_k_moneyness, n, {R('total / n', SCALED_MEAN_DP)} AS mean,
-       {', '.join(R(c, SCALED_DP) + ' AS ' + c for c in QCOLS)}, {R('total', SCALED_DP)} AS total,
+SELECT investor, cp_flag, f_k_moneyness, n, {R('total / n', mean_dp)} AS mean,
+       {', '.join(R(c, value_dp) + ' AS ' + c for c in QCOLS)}, {R('total', value_dp)} AS total,
        {R('total / sum(total) OVER (PARTITION BY investor, cp_flag) * 100.0', RATIO_DP)} AS share_pct
 FROM stats
 QUALIFY f_k_moneyness IN ('itm', 'otm', 'atm')"""
     return orc.with_ctes(ctes, body)
 
 
+def o_share_distribution():
+    return _dist_sql(orc.base_ctes() + [shares_cte()], "shares",
+                     {c: dollar_col(c) + "_f_k_pct" for c in TABLE_CLASSES}, RATIO_DP, RATIO_DP)
+
+
 def o_moneyness_share_daily():
     cols = ", ".join(f"{R(c, RATIO_DP)} AS {c}" for c in PCT)
     return orc.with_ctes(orc.base_ctes() + [shares_cte()],
@@ -470,6 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "maturity_table": q_maturity_table,
     "volume_distribution": q_volume_distribution,
     "volume_distribution_approx": q_volume_distribution_approx,
+    "share_distribution": q_share_distribution,
     "universe_semi_join": q_universe_semi_join,
     "stock_panel_join": q_stock_panel_join,
     "short_dated_filter": q_short_dated_filter,
@@ -492,6 +508,7 @@ ORACLES: dict[str, Callable[[], str]] = {
     "year_table": o_year_table,
     "maturity_table": o_maturity_table,
     "volume_distribution": o_volume_distribution,
+    "share_distribution": o_share_distribution,
     "universe_semi_join": o_universe_semi_join,
     "stock_panel_join": o_stock_panel_join,
     "short_dated_filter": o_short_dated_filter,

@@ -8,10 +8,7 @@ per query; the base tables are the generated star-schema views.
 
 from __future__ import annotations
 
-from ..schema import (
-    CLASS_SOURCES, MATURITIES, MEASURES, PANEL_KEYS, QUANTILES, TABLE_CLASSES,
-    dollar_col, trade_col,
-)
+from ..schema import CLASS_SOURCES, MEASURES, PANEL_KEYS, dollar_col, trade_col
 from ..sources.starschema import (
     DTM_MODULUS, SEGMENT_CLASS, STOCK_EXCLUDED_BRANDS,
 )
@@ -224,5 +221,5 @@ def curve_ctes(x: str, classes, name: str = "curve") -> list[str]:
 
 __all__ = [
     "base_ctes", "with_ctes", "joined_cte", "short_cte", "curve_ctes", "delta_moneyness_sql",
-    "MATURITIES", "QUANTILES", "TABLE_CLASSES",
+    "option_month_cte", "stock_daily_cte", "classified_cte", "panel_cte",
 ]

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.joins import bounded_broadcast
 from ..operators.panel import aggregate_panel, classify_options
 from ..schema import OPTION_MONTH
+from ..session import materialize
 
 
 def month_stream(spark: SparkSession, source_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -41,7 +42,8 @@ def panel_stream(spark: SparkSession, source_dir: str, universe: DataFrame, outp
     once and broadcast under the size bound of ``bounded_broadcast``.
     ``checkpoint_dir`` must be on a shared file system on a cluster.
     """
-    tickers = bounded_broadcast(universe.select("ticker").distinct())
+    # the universe is reduced and written once, not recomputed per micro-batch
+    tickers = bounded_broadcast(materialize(universe.select("ticker").distinct()))
 
     def write_month(batch: DataFrame, batch_id: int) -> None:
         kept = batch.join(tickers, "ticker", "left_semi")
