@@ -171,15 +171,19 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
 
 
 def approx_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                     qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
-    """percentile_approx per group (rank error <= n / accuracy), long form."""
+                     qs: Sequence[float], accuracy: int = 10000, with_stats: bool = False) -> DataFrame:
+    """percentile_approx per group (rank error <= n / accuracy), long form;
+    count and total come from the same single aggregation when ``with_stats``."""
     keys = list(group_cols)
     v = F.col(value_col).cast("double")
-    agg = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
-        F.percentile_approx(v, [float(q) for q in qs], accuracy).alias("_vals"))
-    return agg.select(*keys, F.posexplode("_vals").alias("_i", "value")).select(
+    aggs = [F.percentile_approx(v, [float(q) for q in qs], accuracy).alias("_vals")]
+    if with_stats:
+        aggs += [F.count(F.lit(1)).alias("n"), F.sum(v).alias("total")]
+    agg = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(*aggs)
+    extra = ["n", "total"] if with_stats else []
+    return agg.select(*keys, *extra, F.posexplode("_vals").alias("_i", "value")).select(
         *keys, F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1).alias("q"),
-        "value")
+        "value", *extra)
 
 
 def wide_quantiles(long: DataFrame, group_cols: Sequence[str], qs: Sequence[float],

@@ -33,6 +33,7 @@ from ..functions.stats import normal_pvalue
 from ..functions.text import stars
 from ..schema import DEFAULT_GRID_POINTS, FITTED_POINTS, TERMS
 from ..session import materialize
+from .joins import BROADCAST_MAX_ROWS
 
 K_PARAMS = 4
 
@@ -69,13 +70,27 @@ def _side(col: str, z: int) -> Column:
     return F.max(F.when(F.col("_z") == z, F.col(col)))
 
 
+def _is_few(per_model: DataFrame, few: bool | None) -> bool:
+    """A per-model table may be broadcast: stated small, or counted below the bound."""
+    if few is None:
+        return per_model.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    return few
+
+
+def _bc(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
-             cluster: str | None = None, checkpoint_input: bool = True) -> DataFrame:
+             cluster: str | None = None, checkpoint_input: bool = True,
+             few_models: bool | None = None) -> DataFrame:
     """One row per model: cutoff, nobs, side coefficients, robust variances, fit stats.
 
     The (model, x, y) rows are checkpointed once (a Spark job), so the three
     passes read them instead of recomputing the input; pass
-    ``checkpoint_input=False`` when ``df`` is already checkpointed.
+    ``checkpoint_input=False`` when ``df`` is already checkpointed. The
+    per-(model, side) parameter tables are broadcast back when
+    ``few_models`` says the models are few, or (None) after counting them.
 
     ``cutoff`` is a number, a column name or a Column (per-model cut-offs).
     Variances are HC1 (k = 4), or cluster-robust with the
@@ -90,7 +105,8 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
     p1 = d.groupBy(*keys, "_z").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_xc").alias("_mx"), F.avg("_y").alias("_my"),
         F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"), F.first("_c").alias("_cut"))
-    j1 = d.join(F.broadcast(p1), [*keys, "_z"])
+    few = _is_few(p1, few_models)  # p1 and p2 have one row per (model, side)
+    j1 = d.join(_bc(p1, few), [*keys, "_z"])
     dx, dy = F.col("_xc") - F.col("_mx"), F.col("_y") - F.col("_my")
     p2 = j1.groupBy(*keys, "_z", "_n", "_mx", "_my", "_xmin", "_xmax", "_cut").agg(
         F.sum(dx * dx).alias("_sxx"), F.sum(dx * dy).alias("_sxy"), F.sum(dy * dy).alias("_syy"))
@@ -102,7 +118,7 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
                        .otherwise(F.col("_syy")))
 
     # pass 3: residual sums with the side parameters broadcast back
-    j2 = d.join(F.broadcast(p2.select(*keys, "_z", "_n", "_mx", "_my", "_sxx", "_b")), [*keys, "_z"])
+    j2 = d.join(_bc(p2.select(*keys, "_z", "_n", "_mx", "_my", "_sxx", "_b"), few), [*keys, "_z"])
     dx = F.col("_xc") - F.col("_mx")
     fitted = F.col("_b").isNotNull()
     # a side of two points is fit exactly: its residuals are 0, not float noise
@@ -220,7 +236,7 @@ def _bucket(x: Column, start: Column, stop: Column, num: Column) -> Column:
 
 
 def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] = (),
-                 checkpoint_input: bool = True) -> DataFrame:
+                 checkpoint_input: bool = True, few_models: bool | None = None) -> DataFrame:
     """In-sample MSE and jump for every candidate cut-off of a grid, per model.
 
     ``grid`` is (start, stop, num) of a linspace; None uses the study's
@@ -242,7 +258,7 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     else:
         gs, ge, gn = _grid_columns(grid)
         m = m.withColumns({"_gs": gs, "_ge": ge, "_gn": gn})
-    j = d.join(F.broadcast(m), keys)
+    j = d.join(_bc(m, _is_few(m, few_models)), keys)
     u, v = F.col("_x") - F.col("_mxm"), F.col("_y") - F.col("_mym")
     j = j.withColumn("_b", _bucket(F.col("_x"), F.col("_gs"), F.col("_ge"), F.col("_gn")))
     bsum = j.groupBy(*keys, "_b").agg(

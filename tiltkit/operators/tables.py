@@ -21,6 +21,7 @@ from ..schema import (
 from .quantile import exact_quantiles, approx_quantiles, wide_quantiles
 
 DAY_KEYS = ("date", "ticker", "f_k_moneyness", "cp_flag")
+FLAGS = ("C", "P")
 QCOLS = ("p05", "p25", "p50", "p75", "p95")
 
 
@@ -54,22 +55,23 @@ def volume_distribution(daily: DataFrame, columns: Mapping[str, str] | None = No
                         exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Mean, quantiles, total and share of total per (investor, flag, moneyness).
 
-    Only positive values enter (per class). The share's denominator is the
+    Tables are per flag (C, P). Only positive values enter (per class). The
+    share's denominator is the
     class-and-flag total over all moneyness groups, including the
     unclassified one, which is then not shown. Quantiles are exact nearest
     rank (``exact``) or ``percentile_approx``.
     """
     columns = dict(columns or dollar_classes())
-    long = class_long(daily, ["cp_flag", "f_k_moneyness"], columns).where(F.col("value") > 0)
+    long = class_long(daily.where(F.col("cp_flag").isin(*FLAGS)), ["cp_flag", "f_k_moneyness"],
+                      columns).where(F.col("value") > 0)
     g = ["investor", "cp_flag", "f_k_moneyness"]
     if exact:
-        # groups: classes x flags x moneyness labels -> a small closed domain
+        # groups: classes x {C, P} x moneyness labels -> a small closed domain
         ql = exact_quantiles(long, g, "value", QUANTILES, with_stats=True, few_groups=True)
         wide = wide_quantiles(ql, g, QUANTILES, QCOLS, extra=("n", "total"))
     else:
-        stats = long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-        ql = approx_quantiles(long, g, "value", QUANTILES, accuracy)
-        wide = wide_quantiles(ql, g, QUANTILES, QCOLS).join(stats, g)
+        ql = approx_quantiles(long, g, "value", QUANTILES, accuracy, with_stats=True)
+        wide = wide_quantiles(ql, g, QUANTILES, QCOLS, extra=("n", "total"))
     w = Window.partitionBy("investor", "cp_flag")
     out = wide.select(
         *g, "n",
@@ -145,7 +147,8 @@ def maturity_table(panel: DataFrame, classes: Sequence[str] = TABLE_CLASSES) ->
     (measure, flag); the unclassified bucket is left out.
     """
     measures = [m for c in classes for m in (trade_col(c), dollar_col(c))]
-    day = panel.groupBy("date", "maturity", "f_k_moneyness", "cp_flag").agg(*_sums(measures))
+    day = panel.where(F.col("cp_flag").isin(*FLAGS)) \
+        .groupBy("date", "maturity", "f_k_moneyness", "cp_flag").agg(*_sums(measures))
     long = class_long(day, ["maturity", "f_k_moneyness", "cp_flag"], {m: m for m in measures},
                       name="measure").where(
         (F.col("value") > 0) & (F.col("f_k_moneyness") != UNCLASSIFIED))
@@ -158,6 +161,7 @@ def maturity_table(panel: DataFrame, classes: Sequence[str] = TABLE_CLASSES) ->
         .select("measure", "cp_flag",
                 F.posexplode(F.array(*[F.lit(m) for m in MATURITIES])).alias("maturity_order", "maturity"))
     )
+    # means has at most measures x {C, P} x 7 maturity labels rows
     return domain.join(F.broadcast(means), ["measure", "cp_flag", "maturity"], "left").select(
         "measure", "cp_flag", "maturity", F.col("maturity_order").cast("int").alias("maturity_order"),
         *MONEYNESS)

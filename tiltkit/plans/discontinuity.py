@@ -24,7 +24,7 @@ def _price_curve(spark, sf):
 
 def _fit(spark, sf, x="ln_prc", cutoff=C.FIX_CUTOFF, flags=("C", "P")):
     cur = C.curve(spark, sf, x, flags)
-    return rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS)
+    return rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, few_models=True)
 
 
 def _coef_out(long):
@@ -42,7 +42,8 @@ def q_rdd_price_cluster(spark, sf):
     s = C.short(spark, sf)
     per_ticker = imb.imbalance_by_ticker(s, "ln_prc", {c: dollar_col(c) for c in RDD_CLASSES}) \
         .where(F.col("ln_prc").isNotNull())
-    wide = rdd.fit_wide(per_ticker, "itm_otm", "ln_prc", C.FIX_CUTOFF, keys=KEYS, cluster="ticker")
+    wide = rdd.fit_wide(per_ticker, "itm_otm", "ln_prc", C.FIX_CUTOFF, keys=KEYS, cluster="ticker",
+                        few_models=True)
     return _coef_out(rdd.coefficients(wide, KEYS))
 
 
@@ -57,22 +58,23 @@ def _curve_out(df):
 
 
 def q_cutoff_mse_curve(spark, sf):
-    return _curve_out(rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS))
+    return _curve_out(rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS,
+                                       few_models=True))
 
 
 def q_optimal_cutoff(spark, sf):
-    cur = rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS)
+    cur = rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS, few_models=True)
     return _curve_out(rdd.optimal_cutoff(cur, KEYS))
 
 
 def _summary(cur, x, cutoff, grid):
     """Fit at the cut-off plus the MSE-optimal cut-off, one row per model."""
     cur = rdd.materialize(cur)  # one curve for the fit and the search
-    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, checkpoint_input=False)
+    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, checkpoint_input=False, few_models=True)
     z = rdd.coefficients(wide, KEYS).where(F.col("term") == "Z").select(
         *KEYS, "cutoff", "nobs", F.col("coef").alias("effect_Z"), F.col("bse").alias("bse_Z"),
         F.col("z").alias("z_Z"), F.col("stars").alias("stars_Z"), "rsquared")
-    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS, checkpoint_input=False),
+    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS, checkpoint_input=False, few_models=True),
                               KEYS).select(
         *KEYS, F.col("cutoff").alias("optimal_cutoff"), F.col("mse").alias("optimal_mse"),
         F.col("effect_Z").alias("optimal_effect_Z"))

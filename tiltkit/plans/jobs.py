@@ -76,10 +76,10 @@ def discontinuity_study(panel: DataFrame, stock: DataFrame,
     keys = ["cp_flag", "investor"]
     price = materialize(imb.imbalance_curve(short, "ln_prc", classes))
     mcap = materialize(imb.imbalance_curve(short.where(F.col("cp_flag") == "C"), "ln_mcap", classes))
-    fit = rdd.fit_wide(price, "itm_otm", "ln_prc", _cutoff_column(cutoffs), keys, checkpoint_input=False)
+    fit = rdd.fit_wide(price, "itm_otm", "ln_prc", _cutoff_column(cutoffs), keys, checkpoint_input=False, few_models=True)
     coef = rdd.coefficients(fit, keys).withColumn("model", F.concat_ws("_", "investor", "cp_flag"))
-    curve = rdd.cutoff_curve(price, "itm_otm", "ln_prc", price_grid, keys, checkpoint_input=False)
-    mfit = rdd.fit_wide(mcap, "itm_otm", "ln_mcap", mcap_cutoff, keys, checkpoint_input=False)
+    curve = rdd.cutoff_curve(price, "itm_otm", "ln_prc", price_grid, keys, checkpoint_input=False, few_models=True)
+    mfit = rdd.fit_wide(mcap, "itm_otm", "ln_mcap", mcap_cutoff, keys, checkpoint_input=False, few_models=True)
     models = {f"{c}_{f}": f"{c}_{f}" for f in ("C", "P") for c in RDD_CLASSES}
     return {
         "short_dated": short,
@@ -92,6 +92,6 @@ def discontinuity_study(panel: DataFrame, stock: DataFrame,
         "optimal_cutoff": rdd.optimal_cutoff(curve, keys),
         "mcap_coefficients": rdd.coefficients(mfit, keys),
         "mcap_optimal_cutoff": rdd.optimal_cutoff(
-            rdd.cutoff_curve(mcap, "itm_otm", "ln_mcap", mcap_grid, keys, checkpoint_input=False), keys),
+            rdd.cutoff_curve(mcap, "itm_otm", "ln_mcap", mcap_grid, keys, checkpoint_input=False, few_models=True), keys),
         "model_comparison": report.model_comparison(coef, models),
     }
