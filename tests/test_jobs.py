@@ -20,7 +20,7 @@ def test_entry_points(spark, tmp_path):
         paths.append(p)
     stock_path = str(tmp_path / "stock.parquet")
     stock.write.parquet(stock_path)
-    panel = jobs.monthly_to_yearly(spark, paths, stock_path, str(tmp_path / "panel"))
+    panel = jobs.build_yearly_panel(spark, paths, stock_path, str(tmp_path / "panel"))
     n = panel.count()
     assert n > 0 and "year" in panel.columns
     tables = jobs.distribution_tables(io.read_panel(spark, str(tmp_path / "panel")))

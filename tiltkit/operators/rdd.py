@@ -244,46 +244,73 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     (keys, j, cutoff, mse, effect_Z, rank_deficient): ``effect_Z`` is NULL
     and ``rank_deficient`` true when a side has fewer than two distinct x
     (the MSE is still the least-squares one).
+
+    Two shuffles: (1) rows are bucketed between grid points and each bucket
+    keeps its count, means and centred second moments (Spark's stable
+    var_pop / covar_pop); (2) one window per model shifts those to a common
+    in-range reference (the first bucket's means) and accumulates them, and
+    every non-empty bucket emits the candidates up to the next one. Work is
+    O(rows + grid), never rows x grid.
     """
     keys, df, drop = _keyed(df, keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
     d = materialize(d) if checkpoint_input else d
-    m = d.groupBy(*keys).agg(F.avg("_x").alias("_mxm"), F.avg("_y").alias("_mym"),
-                             F.min("_x").alias("_xmin_m"), F.max("_x").alias("_xmax_m"),
-                             F.count(F.lit(1)).alias("_nm"))
     if grid is None:
-        m = m.withColumns({"_gs": F.col("_xmin_m"), "_ge": F.col("_xmax_m"),
-                           "_gn": F.lit(DEFAULT_GRID_POINTS)})
+        m = d.groupBy(*keys).agg(F.min("_x").alias("_gs"), F.max("_x").alias("_ge")) \
+            .withColumn("_gn", F.lit(DEFAULT_GRID_POINTS))
+        d = d.join(_bc(m, _is_few(m, few_models)), keys)
     else:
         gs, ge, gn = _grid_columns(grid)
-        m = m.withColumns({"_gs": gs, "_ge": ge, "_gn": gn})
-    j = d.join(_bc(m, _is_few(m, few_models)), keys)
-    u, v = F.col("_x") - F.col("_mxm"), F.col("_y") - F.col("_mym")
-    j = j.withColumn("_b", _bucket(F.col("_x"), F.col("_gs"), F.col("_ge"), F.col("_gn")))
-    bsum = j.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(u).alias("su"), F.sum(v).alias("sv"),
-        F.sum(u * u).alias("suu"), F.sum(u * v).alias("suv"), F.sum(v * v).alias("svv"),
+        if grid[2] < 2:
+            raise ValueError("a cut-off grid needs at least two points")
+        d = d.withColumns({"_gs": gs, "_ge": ge, "_gn": gn})
+    d = d.withColumn("_b", _bucket(F.col("_x"), F.col("_gs"), F.col("_ge"), F.col("_gn")))
+    bk = d.groupBy(*keys, "_b", "_gs", "_ge", "_gn").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"),
+        (F.var_pop("_x") * F.count(F.lit(1))).alias("mxx"),
+        (F.var_pop("_y") * F.count(F.lit(1))).alias("myy"),
+        (F.covar_pop("_x", "_y") * F.count(F.lit(1))).alias("mxy"),
         F.min("_x").alias("xlo"), F.max("_x").alias("xhi"))
-    # every bucket 0..num per model (empty ones contribute zeros)
-    allb = m.select(*keys, "_mxm", "_mym", "_nm", "_gs", "_ge", "_gn",
-                    F.explode(F.sequence(F.lit(0), F.col("_gn"))).alias("_b"))
-    t = allb.join(bsum, [*keys, "_b"], "left").fillna(0, ["n", "su", "sv", "suu", "suv", "svv"])
+
     part = Window.partitionBy(*keys)
-    pre = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    suf = part.orderBy("_b").rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
+    order = part.orderBy("_b")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pre = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = order.rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
+    bk = bk.withColumns({"_rx": F.first("mx").over(whole), "_ry": F.first("my").over(whole)})
+    du, dv, n = F.col("mx") - F.col("_rx"), F.col("my") - F.col("_ry"), F.col("n").cast("double")
+    bk = bk.withColumns({          # bucket sums about the model reference (parallel-axis)
+        "su": n * du, "sv": n * dv,
+        "suu": F.col("mxx") + n * du * du, "svv": F.col("myy") + n * dv * dv,
+        "suv": F.col("mxy") + n * du * dv,
+    })
     stats = ("n", "su", "sv", "suu", "suv", "svv")
-    t = t.select(
-        *keys, "_b", "_mxm", "_mym", "_nm", "_gs", "_ge", "_gn",
-        *[F.sum(c).over(pre).alias(f"L{c}") for c in stats],
+    t = bk.select(
+        *keys, "_b", "_gs", "_ge", "_gn", "_rx", "_ry",
+        *[F.sum(c).over(pre).alias(f"P{c}") for c in stats],
         *[F.sum(c).over(part).alias(f"T{c}") for c in stats],
-        F.min("xlo").over(pre).alias("Lxlo"), F.max("xhi").over(pre).alias("Lxhi"),
-        F.min("xlo").over(suf).alias("Rxlo"), F.max("xhi").over(suf).alias("Rxhi"),
-    ).where(F.col("_b") < F.col("_gn"))
+        F.min("xlo").over(pre).alias("Pxlo"), F.max("xhi").over(pre).alias("Pxhi"),
+        F.min("xlo").over(rest).alias("Qxlo"), F.max("xhi").over(rest).alias("Qxhi"),
+        F.min("xlo").over(part).alias("Txlo"), F.max("xhi").over(part).alias("Txhi"),
+        (F.row_number().over(order) == 1).alias("_first"),
+        F.lead("_b").over(order).alias("_next"),
+    )
+    # candidates j in [b, next bucket) use the prefix through b; before the
+    # first non-empty bucket the left side is empty
+    lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_b"))
+    hi = F.least(F.coalesce(F.col("_next"), F.col("_gn")), F.col("_gn")) - 1
+    t = t.withColumn("j", F.explode(F.when(hi >= lo, F.sequence(lo, hi))))
+    inside = F.col("j") >= F.col("_b")
     for c in stats:
+        t = t.withColumn(f"L{c}", F.when(inside, F.col(f"P{c}")).otherwise(F.lit(0)))
         t = t.withColumn(f"R{c}", F.col(f"T{c}") - F.col(f"L{c}"))
-    cut = linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("_b"))
-    t = t.withColumn("cutoff", cut)
+    t = t.withColumns({
+        "Lxlo": F.when(inside, F.col("Pxlo")), "Lxhi": F.when(inside, F.col("Pxhi")),
+        "Rxlo": F.when(inside, F.col("Qxlo")).otherwise(F.col("Txlo")),
+        "Rxhi": F.when(inside, F.col("Qxhi")).otherwise(F.col("Txhi")),
+        "cutoff": linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("j")),
+    })
 
     def side(s):
         n = F.col(f"{s}n").cast("double")
@@ -293,16 +320,16 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
         full = (F.col(f"{s}n") >= 2) & (F.col(f"{s}xhi") > F.col(f"{s}xlo"))
         slope = F.when(full, sxy / sxx)
         sse = F.when(F.col(f"{s}n") == 0, F.lit(0.0)).when(full, syy - slope * sxy).otherwise(syy)
-        mx = F.col("_mxm") + F.col(f"{s}su") / n
-        my = F.col("_mym") + F.col(f"{s}sv") / n
+        mx = F.col("_rx") + F.col(f"{s}su") / n
+        my = F.col("_ry") + F.col(f"{s}sv") / n
         at_cut = my + slope * (F.col("cutoff") - mx)
         return sse, at_cut, full
 
     sseL, aL, fullL = side("L")
     sseR, aR, fullR = side("R")
     return t.select(
-        *keys, F.col("_b").alias("j"), "cutoff",
-        ((sseL + sseR) / F.col("_nm").cast("double")).alias("mse"),
+        *keys, F.col("j").cast("int").alias("j"), "cutoff",
+        ((sseL + sseR) / F.col("Tn").cast("double")).alias("mse"),
         F.when(fullL & fullR, aR - aL).alias("effect_Z"),
         (~(fullL & fullR)).alias("rank_deficient"),
     ).drop(*drop)

@@ -1,6 +1,6 @@
 """The study's three entry points as library calls.
 
-``monthly_to_yearly``     monthly option files + stock panel -> yearly panel on disk
+``build_yearly_panel``    monthly option files + stock panel -> yearly panel on disk
 ``distribution_tables``   yearly panel -> distribution, share, year and maturity tables
 ``discontinuity_study``   yearly panel + stock panel -> curves, fits, cut-off search, reports
 
@@ -26,7 +26,7 @@ from ..session import materialize
 from ..sources import io
 
 
-def monthly_to_yearly(spark: SparkSession, option_paths: Sequence[str] | str, stock_path: str,
+def build_yearly_panel(spark: SparkSession, option_paths: Sequence[str] | str, stock_path: str,
                       out_path: str | None = None) -> DataFrame:
     """Stage A: all monthly files in one scan -> panel; written partitioned by year
     when ``out_path`` is given (then the written panel is returned)."""
