@@ -278,14 +278,23 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pre = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = order.rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
-    bk = bk.withColumns({"_rx": F.first("mx").over(whole), "_ry": F.first("my").over(whole)})
-    du, dv, n = F.col("mx") - F.col("_rx"), F.col("my") - F.col("_ry"), F.col("n").cast("double")
-    bk = bk.withColumns({          # bucket sums about the model reference (parallel-axis)
-        "su": n * du, "sv": n * dv,
-        "suu": F.col("mxx") + n * du * du, "svv": F.col("myy") + n * dv * dv,
-        "suv": F.col("mxy") + n * du * dv,
-    })
+    # bucket sums about the model reference (parallel-axis shift of the
+    # bucket's centred moments); one select, so the plan is analysed once
+    rx, ry = F.first("mx").over(whole), F.first("my").over(whole)
+    n = F.col("n").cast("double")
+    bk = bk.select(*keys, "_b", "_gs", "_ge", "_gn", "n", "xlo", "xhi", "mx", "my", "mxx", "myy", "mxy",
+                   rx.alias("_rx"), ry.alias("_ry"))
+    du, dv = F.col("mx") - F.col("_rx"), F.col("my") - F.col("_ry")
+    shifted = {"n": F.col("n"), "su": n * du, "sv": n * dv, "suu": F.col("mxx") + n * du * du,
+               "svv": F.col("myy") + n * dv * dv, "suv": F.col("mxy") + n * du * dv}
+    bk = bk.select(*keys, "_b", "_gs", "_ge", "_gn", "_rx", "_ry", "xlo", "xhi",
+                   *[v.alias(k) for k, v in shifted.items() if k != "n"], "n")
     stats = ("n", "su", "sv", "suu", "suv", "svv")
+    # candidates j in [b, next bucket) use the prefix through b; before the
+    # first non-empty bucket the left side is empty
+    nxt = F.lead("_b").over(order)
+    lo = F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.col("_b"))
+    hi = F.least(F.coalesce(nxt, F.col("_gn")), F.col("_gn")) - 1
     t = bk.select(
         *keys, "_b", "_gs", "_ge", "_gn", "_rx", "_ry",
         *[F.sum(c).over(pre).alias(f"P{c}") for c in stats],
@@ -293,45 +302,40 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
         F.min("xlo").over(pre).alias("Pxlo"), F.max("xhi").over(pre).alias("Pxhi"),
         F.min("xlo").over(rest).alias("Qxlo"), F.max("xhi").over(rest).alias("Qxhi"),
         F.min("xlo").over(part).alias("Txlo"), F.max("xhi").over(part).alias("Txhi"),
-        (F.row_number().over(order) == 1).alias("_first"),
-        F.lead("_b").over(order).alias("_next"),
+        lo.alias("_lo"), hi.alias("_hi"),
     )
-    # candidates j in [b, next bucket) use the prefix through b; before the
-    # first non-empty bucket the left side is empty
-    lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_b"))
-    hi = F.least(F.coalesce(F.col("_next"), F.col("_gn")), F.col("_gn")) - 1
-    t = t.withColumn("j", F.explode(F.when(hi >= lo, F.sequence(lo, hi))))
+    t = t.select("*", F.explode(F.when(F.col("_hi") >= F.col("_lo"),
+                                       F.sequence(F.col("_lo"), F.col("_hi")))).alias("j"))
     inside = F.col("j") >= F.col("_b")
-    for c in stats:
-        t = t.withColumn(f"L{c}", F.when(inside, F.col(f"P{c}")).otherwise(F.lit(0)))
-        t = t.withColumn(f"R{c}", F.col(f"T{c}") - F.col(f"L{c}"))
-    t = t.withColumns({
-        "Lxlo": F.when(inside, F.col("Pxlo")), "Lxhi": F.when(inside, F.col("Pxhi")),
-        "Rxlo": F.when(inside, F.col("Qxlo")).otherwise(F.col("Txlo")),
-        "Rxhi": F.when(inside, F.col("Qxhi")).otherwise(F.col("Txhi")),
-        "cutoff": linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("j")),
-    })
+    left = {c: F.when(inside, F.col(f"P{c}")).otherwise(F.lit(0)) for c in stats}
+    t = t.select(
+        *keys, "j", "_rx", "_ry", "Tn",
+        *[v.alias(f"L{c}") for c, v in left.items()],
+        *[(F.col(f"T{c}") - v).alias(f"R{c}") for c, v in left.items()],
+        F.when(inside, F.col("Pxlo")).alias("Lxlo"), F.when(inside, F.col("Pxhi")).alias("Lxhi"),
+        F.when(inside, F.col("Qxlo")).otherwise(F.col("Txlo")).alias("Rxlo"),
+        F.when(inside, F.col("Qxhi")).otherwise(F.col("Txhi")).alias("Rxhi"),
+        linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("j")).alias("cutoff"),
+    )
 
-    def side(s):
-        n = F.col(f"{s}n").cast("double")
-        sxx = F.col(f"{s}suu") - F.col(f"{s}su") * F.col(f"{s}su") / n
-        sxy = F.col(f"{s}suv") - F.col(f"{s}su") * F.col(f"{s}sv") / n
-        syy = F.col(f"{s}svv") - F.col(f"{s}sv") * F.col(f"{s}sv") / n
-        full = (F.col(f"{s}n") >= 2) & (F.col(f"{s}xhi") > F.col(f"{s}xlo"))
-        slope = F.when(full, sxy / sxx)
-        sse = F.when(F.col(f"{s}n") == 0, F.lit(0.0)).when(full, syy - slope * sxy).otherwise(syy)
-        mx = F.col("_rx") + F.col(f"{s}su") / n
-        my = F.col("_ry") + F.col(f"{s}sv") / n
-        at_cut = my + slope * (F.col("cutoff") - mx)
-        return sse, at_cut, full
-
-    sseL, aL, fullL = side("L")
-    sseR, aR, fullR = side("R")
-    return t.select(
-        *keys, F.col("j").cast("int").alias("j"), "cutoff",
-        ((sseL + sseR) / F.col("Tn").cast("double")).alias("mse"),
-        F.when(fullL & fullR, aR - aL).alias("effect_Z"),
-        (~(fullL & fullR)).alias("rank_deficient"),
+    def side(s: str) -> dict[str, str]:
+        """SQL text of one side's fit from its shifted sums (parsed once by Spark)."""
+        n = f"CAST({s}n AS DOUBLE)"
+        sxx = f"({s}suu - {s}su * {s}su / {n})"
+        sxy = f"({s}suv - {s}su * {s}sv / {n})"
+        syy = f"({s}svv - {s}sv * {s}sv / {n})"
+        full = f"({s}n >= 2 AND {s}xhi > {s}xlo)"
+        slope = f"(CASE WHEN {full} THEN {sxy} / {sxx} END)"
+        sse = f"(CASE WHEN {s}n = 0 THEN 0D WHEN {full} THEN {syy} - {slope} * {sxy} ELSE {syy} END)"
+        at_cut = f"((_ry + {s}sv / {n}) + {slope} * (cutoff - (_rx + {s}su / {n})))"
+        return {"sse": sse, "at": at_cut, "full": full}
+
+    L, R = side("L"), side("R")
+    return t.selectExpr(
+        *[f"`{k}`" for k in keys], "CAST(j AS INT) AS j", "cutoff",
+        f"({L['sse']} + {R['sse']}) / CAST(Tn AS DOUBLE) AS mse",
+        f"CASE WHEN {L['full']} AND {R['full']} THEN {R['at']} - {L['at']} END AS effect_Z",
+        f"NOT ({L['full']} AND {R['full']}) AS rank_deficient",
     ).drop(*drop)
 
 
