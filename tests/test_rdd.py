@@ -61,7 +61,7 @@ def test_fit_matches_numpy_sandwich(line, cluster):
         p = coef[(m, "Z")].pval
         z = beta[1] / se[1]
         import math
-        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-9)
+        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-12)
 
 
 def test_singleton_clusters_equal_hc1(spark, line):
@@ -121,3 +121,30 @@ def test_fitted_line(line):
     x = np.array([r[1] for r in rows if r[0] == "a"])
     assert pts[0].x == x.min() and pts[-1].x == x.max()
     np.testing.assert_array_equal([p.x for p in pts], np.linspace(x.min(), x.max(), 400))
+
+
+def test_infinite_and_nan_rows_are_dropped(spark, line):
+    df, rows = line
+    extra = spark.createDataFrame([("a", float("inf"), 1.0, 1), ("a", 5.0, float("-inf"), 1),
+                                   ("a", float("nan"), 0.3, 1), ("a", None, 0.3, 1)],
+                                  "m string, x double, y double, g int")
+    both = df.unionByName(extra)
+
+    def close(r1, r2):
+        for k, v in r1.asDict().items():
+            w = r2[k]
+            if isinstance(v, float):
+                assert w == pytest.approx(v, rel=1e-9, abs=1e-12), k
+            else:
+                assert v == w, k
+
+    a = sorted(rdd.fit_wide(df, "y", "x", 6.0, ["m"]).collect(), key=lambda r: r.m)
+    b = sorted(rdd.fit_wide(both, "y", "x", 6.0, ["m"]).collect(), key=lambda r: r.m)
+    assert len(a) == len(b) == 2
+    for r1, r2 in zip(a, b):
+        close(r1, r2)
+    ca = rdd.cutoff_curve(df, "y", "x", (3.0, 7.0, 11), ["m"]).orderBy("m", "j").collect()
+    cb = rdd.cutoff_curve(both, "y", "x", (3.0, 7.0, 11), ["m"]).orderBy("m", "j").collect()
+    assert len(ca) == len(cb) == 22
+    for r1, r2 in zip(ca, cb):
+        close(r1, r2)

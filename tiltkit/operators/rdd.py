@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import linspace_point, round_half_away
-from ..functions.stats import normal_pvalue
+from ..functions.stats import with_pvalue as add_pvalue
 from ..functions.text import stars
 from ..schema import DEFAULT_GRID_POINTS, FITTED_POINTS, TERMS
 from ..session import materialize
@@ -46,6 +46,12 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[list[str], DataFrame, li
     return ["_model"], df.withColumn("_model", F.lit(0)), ["_model"]
 
 
+def _finite(c: str) -> Column:
+    """Rows the fit uses: NULL, NaN and +-inf are dropped (as the study drops
+    its +-inf / NaN rows before fitting)."""
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+
+
 def _lit_or_col(v) -> Column:
     if isinstance(v, Column):
         return v
@@ -60,8 +66,7 @@ def _model_table(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str],
             _lit_or_col(cutoff).cast("double").alias("_c")]
     if cluster is not None:
         cols.append(F.col(cluster).alias("_g"))
-    d = df.select(*cols).where(
-        F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+    d = df.select(*cols).where(_finite("_x") & _finite("_y"))
     return d.withColumns({"_z": (F.col("_x") >= F.col("_c")).cast("int"),
                           "_xc": F.col("_x") - F.col("_c")})
 
@@ -200,7 +205,7 @@ def coefficients(wide: DataFrame, keys: Sequence[str] = (), with_pvalue: bool =
         *keys, "cutoff", "_t.term", "_t.coef", "_t.bse", "nobs", "rsquared", "rsquared_adj")
     long = long.withColumn("z", F.when(F.col("bse") > 0, F.col("coef") / F.col("bse")))
     if with_pvalue:
-        long = long.withColumn("pval", normal_pvalue("z")).withColumn("stars", stars("pval"))
+        long = add_pvalue(long, "z", "pval").withColumn("stars", stars("pval"))
     return long
 
 
@@ -254,7 +259,7 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     """
     keys, df, drop = _keyed(df, keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
+        .where(_finite("_x") & _finite("_y"))
     d = materialize(d) if checkpoint_input else d
     if grid is None:
         m = d.groupBy(*keys).agg(F.min("_x").alias("_gs"), F.max("_x").alias("_ge")) \

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imbalance as imb
 from ..operators import rdd
+from ..functions.stats import erfc_sql
 from ..schema import RDD_CLASSES, Z_CRIT, dollar_col
 from . import catalog as C
 from . import oracle as orc
@@ -28,9 +29,9 @@ def _fit(spark, sf, x="ln_prc", cutoff=C.FIX_CUTOFF, flags=("C", "P")):
 
 
 def _coef_out(long):
-    out = long.select(*KEYS, "cutoff", "term", "coef", "bse", "z", "stars", "nobs", "rsquared",
+    out = long.select(*KEYS, "cutoff", "term", "coef", "bse", "z", "pval", "stars", "nobs", "rsquared",
                       "rsquared_adj")
-    out = C.rounded(out, ["coef", "bse", "rsquared", "rsquared_adj"], COEF_DP)
+    out = C.rounded(out, ["coef", "bse", "pval", "rsquared", "rsquared_adj"], COEF_DP)
     return C.rounded(out, ["z"], Z_DP)
 
 
@@ -99,6 +100,12 @@ def _curve_ctes(x):
         orc.curve_ctes(x, RDD_CLASSES)
 
 
+def _pvalue_sql(z: str) -> str:
+    """Two-sided normal p-value of a z column in SQL (same expansions as the library)."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    return erfc_sql(x)
+
+
 def _stars_sql(z: str) -> str:
     parts = " ".join(f"WHEN abs({z}) > {crit!r} THEN '{s}'" for crit, s in Z_CRIT)
     return f"CASE {parts} ELSE '' END"
@@ -191,6 +198,7 @@ def _coef_select(cutoff: float) -> str:
     return f"""
 SELECT cp_flag, investor, {cutoff!r}::DOUBLE AS cutoff, term,
        {R('coef', COEF_DP)} AS coef, {R('bse', COEF_DP)} AS bse, {R('zstat', Z_DP)} AS z,
+       {R(_pvalue_sql('zstat'), COEF_DP)} AS pval,
        {_stars_sql('zstat')} AS stars, nobs, {R('r2', COEF_DP)} AS rsquared,
        {R('1 - (nobs - 1)::DOUBLE / (nobs - 4) * (1 - r2)', COEF_DP)} AS rsquared_adj
 FROM coef"""

@@ -27,8 +27,8 @@ def q_regression_table(spark, sf):
 
 
 def q_significance_stars(spark, sf):
-    c = _coef(spark, sf).select(*D.KEYS, "term", "z", "stars")
-    return C.rounded(c, ["z"], D.Z_DP)
+    c = _coef(spark, sf).select(*D.KEYS, "term", "z", "pval", "stars")
+    return C.rounded(C.rounded(c, ["z"], D.Z_DP), ["pval"], D.COEF_DP)
 
 
 def q_volume_distribution_panel(spark, sf):
@@ -91,7 +91,9 @@ def o_regression_table():
 def o_significance_stars():
     return orc.with_ctes(_fit_sql(), f"SELECT split_part(model, '_', -1) AS cp_flag, "
                                      f"regexp_replace(model, '_[CP]$', '') AS investor, term, "
-                                     f"{C._sql_round('zstat', D.Z_DP)} AS z, st AS stars FROM mc")
+                                     f"{C._sql_round('zstat', D.Z_DP)} AS z, "
+                                     f"{C._sql_round(D._pvalue_sql('zstat'), D.COEF_DP)} AS pval, "
+                                     f"st AS stars FROM mc")
 
 
 def o_volume_distribution_panel():
