@@ -60,7 +60,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _month(ts) -> F.Column:
-    return F.to_date(F.date_trunc("month", ts))
+    """First day of the month as a DATE, without any time-zone conversion
+    (the generated timestamps have no zone)."""
+    return F.trunc(F.to_date(ts), "month")
 
 
 def _class_volume(segment: F.Column, side: F.Column, cls: str) -> F.Column:
