@@ -1 +1,27 @@
-"""tiltkit.operators."""
+"""DataFrame operators of the study (DataFrame in, DataFrame out)."""
+
+from .imbalance import (
+    duplicate_keys, imbalance_by_ticker, imbalance_curve, join_stock_panel, short_dated,
+    with_delta_moneyness,
+)
+from .joins import bounded_broadcast, semi_join_keys
+from .panel import aggregate_panel, class_volumes, classify_options, universe_rows, yearly_panel
+from .quantile import approx_quantiles, exact_quantiles, target_rank, wide_quantiles
+from .rdd import coefficients, cutoff_curve, fit_wide, fitted_line, optimal_cutoff
+from .report import distribution_panel, model_comparison, regression_table
+from .tables import (
+    avg_moneyness_share, avg_volume_by_moneyness, daily_totals, maturity_table,
+    moneyness_share_by_year, moneyness_share_daily, share_distribution, volume_distribution,
+    year_table,
+)
+
+__all__ = [
+    "duplicate_keys", "imbalance_by_ticker", "imbalance_curve", "join_stock_panel", "short_dated",
+    "with_delta_moneyness", "bounded_broadcast", "semi_join_keys", "aggregate_panel",
+    "class_volumes", "classify_options", "universe_rows", "yearly_panel", "approx_quantiles",
+    "exact_quantiles", "target_rank", "wide_quantiles", "coefficients", "cutoff_curve", "fit_wide",
+    "fitted_line", "optimal_cutoff", "distribution_panel", "model_comparison", "regression_table",
+    "avg_moneyness_share", "avg_volume_by_moneyness", "daily_totals", "maturity_table",
+    "moneyness_share_by_year", "moneyness_share_daily", "share_distribution", "volume_distribution",
+    "year_table",
+]
