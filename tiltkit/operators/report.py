@@ -19,18 +19,41 @@ from ..functions.text import (
 from ..schema import MONEYNESS, PANEL_TITLES, QUANTILE_LABELS, TERM_ORDER
 
 
-def _lines(rows: list[tuple[str, str, F.Column]]) -> F.Column:
-    """Array of (line_no, row_label, text) structs, exploded by the caller."""
-    return F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(lbl).alias("row_label"),
-                              txt.alias("text")) for i, (lbl, _, txt) in enumerate(rows)])
-
-
 def _pivot_models(long: DataFrame, models: Mapping[str, str], keys=("line_no", "row_label")) -> DataFrame:
     aggs = [F.first(F.when(F.col("model") == m, F.col("text")), ignorenulls=True).alias(name)
             for m, name in models.items()]
     return long.groupBy(*keys).agg(*aggs)
 
 
+def _term_lines(coef: DataFrame, terms: Sequence[str], coef_text, se_text,
+                footer: list[tuple[str, F.Column]], skip: F.Column | None = None) -> DataFrame:
+    """Long (model, line_no, row_label, text) straight from the long coefficient
+    table: each term row gives its coefficient and s.e. lines, the first
+    term's row also carries the model-level footer lines. No aggregation
+    before the final pivot."""
+    order = {t: i for i, t in enumerate(terms)}
+    idx = None
+    for t, i in order.items():
+        idx = F.when(F.col("term") == t, F.lit(i)) if idx is None else idx.when(F.col("term") == t, F.lit(i))
+    rows = coef.where(F.col("term").isin(*terms)).withColumn("_i", idx)
+    base = len(terms) * 2
+    first = F.col("_i") == 0
+    lines = [F.struct((F.col("_i") * 2).alias("line_no"), F.col("term").alias("row_label"),
+                      coef_text.alias("text")),
+             F.struct((F.col("_i") * 2 + 1).alias("line_no"), F.lit("").alias("row_label"),
+                      se_text.alias("text"))]
+    lines += [F.struct(F.lit(base + k).alias("line_no"), F.lit(lbl).alias("row_label"), txt.alias("text"))
+              for k, (lbl, txt) in enumerate(footer)]
+    keep = F.array(*[F.lit(True)] * 2 + [first] * len(footer))
+    long = rows.select("model", F.arrays_zip(F.array(*lines).alias("l"), keep.alias("k")).alias("_z")) \
+        .select("model", F.explode("_z").alias("_e")).where(F.col("_e.k")) \
+        .select("model", F.col("_e.l.line_no").alias("line_no"), F.col("_e.l.row_label").alias("row_label"),
+                F.col("_e.l.text").alias("text"))
+    if skip is not None:
+        long = long.withColumn("text", F.when(skip, F.lit("")).otherwise(F.col("text")))
+    return long
+
+
 def model_comparison(coef: DataFrame, models: Mapping[str, str], decimals: int = 2,
                      terms: Sequence[str] = TERM_ORDER) -> DataFrame:
     """Side-by-side models: per term a coefficient line (with stars) and an
@@ -39,22 +62,12 @@ def model_comparison(coef: DataFrame, models: Mapping[str, str], decimals: int =
     ``coef`` is the long coefficient table with a ``model`` column and
     ``pval``; ``models`` maps model keys to output column names, in order.
     """
-    wide = coef.groupBy("model").agg(
-        *[F.first(F.when(F.col("term") == t, F.struct("coef", "bse", "pval")), ignorenulls=True)
-          .alias(f"_t{i}") for i, t in enumerate(terms)],
-        F.first("rsquared").alias("rsquared"), F.first("rsquared_adj").alias("rsquared_adj"))
-    rows: list[tuple[str, str, F.Column]] = []
-    for i, t in enumerate(terms):
-        c = F.col(f"_t{i}")
-        rows.append((t, "coef", F.when(c.coef.isNull(), "").otherwise(
-            F.concat(fmt_fixed(c.coef, decimals), stars(c.pval)))))
-        rows.append(("", "se", F.when(c.bse.isNull(), "").otherwise(
-            F.concat(F.lit("("), fmt_fixed(c.bse, decimals), F.lit(")")))))
-    rows.append(("R-squared", "r2", fmt_fixed(F.col("rsquared"), decimals)))
-    rows.append(("R-squared Adj.", "r2a", fmt_fixed(F.col("rsquared_adj"), decimals)))
-    long = wide.select("model", F.explode(_lines(rows)).alias("l")).select(
-        "model", "l.line_no", "l.row_label", "l.text")
-    return _pivot_models(long, models)
+    c, b = F.col("coef"), F.col("bse")
+    coef_text = F.when(c.isNull(), "").otherwise(F.concat(fmt_fixed(c, decimals), stars(F.col("pval"))))
+    se_text = F.when(b.isNull(), "").otherwise(F.concat(F.lit("("), fmt_fixed(b, decimals), F.lit(")")))
+    footer = [("R-squared", fmt_fixed(F.col("rsquared"), decimals)),
+              ("R-squared Adj.", fmt_fixed(F.col("rsquared_adj"), decimals))]
+    return _pivot_models(_term_lines(coef, terms, coef_text, se_text, footer), models)
 
 
 def regression_table(coef: DataFrame, models: Mapping[str, str], rows: Sequence[str] = TERM_ORDER,
@@ -65,28 +78,18 @@ def regression_table(coef: DataFrame, models: Mapping[str, str], rows: Sequence[
     decimals with stars) and an s.e. line; then N, R^2 in percent and an
     optional fixed-effects line. Models in ``skip_models`` get blank cells.
     """
-    wide = coef.groupBy("model").agg(
-        *[F.first(F.when(F.col("term") == t, F.struct("coef", "bse", "pval")), ignorenulls=True)
-          .alias(f"_t{i}") for i, t in enumerate(rows)],
-        F.first("nobs").alias("nobs"), F.first("rsquared").alias("rsquared"))
-    lines: list[tuple[str, str, F.Column]] = []
-    for i, t in enumerate(rows):
-        c = F.col(f"_t{i}")
-        lines.append((t, "coef", fmt_coef(c.coef, c.pval)))
-        lines.append(("", "se", fmt_bse(c.bse)))
+    footer: list[tuple[str, F.Column]] = []
     if include_nobs:
-        lines.append(("N", "nobs", fmt_nobs(F.col("nobs"))))
+        footer.append(("N", fmt_nobs(F.col("nobs"))))
     if include_rsquared:
-        lines.append(("R^2(%)", "r2", fmt_rsquared(F.col("rsquared") * 100.0)))
+        footer.append(("R^2(%)", fmt_rsquared(F.col("rsquared") * 100.0)))
     if fixed_effects is not None:
         fe = None
         for m, v in fixed_effects.items():
             fe = F.when(F.col("model") == m, v) if fe is None else fe.when(F.col("model") == m, v)
-        lines.append((fe_label, "fe", fe.otherwise("") if fe is not None else F.lit("")))
-    skip = F.col("model").isin(*skip_models) if skip_models else F.lit(False)
-    long = wide.select("model", skip.alias("_skip"), F.explode(_lines(lines)).alias("l")).select(
-        "model", "l.line_no", "l.row_label",
-        F.when(F.col("_skip"), "").otherwise(F.col("l.text")).alias("text"))
+        footer.append((fe_label, fe.otherwise("") if fe is not None else F.lit("")))
+    skip = F.col("model").isin(*skip_models) if skip_models else None
+    long = _term_lines(coef, rows, fmt_coef("coef", "pval"), fmt_bse("bse"), footer, skip)
     return _pivot_models(long, models)
 
 
