@@ -33,3 +33,9 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == want.count() > 0
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert len(list((tmp_path / "out").glob("batch_id=*"))) == 3
+    # restart from the checkpoint: nothing is reprocessed or duplicated
+    q2 = panel_stream(spark, str(flat), stock, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q2.awaitTermination(300)
+    assert q2.exception() is None
+    assert read_stream_panel(spark, str(tmp_path / "out")).count() == want.count()
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 3
