@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tiltkit",
-                  driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
+                  driver_memory: str = "4g", extra: dict | None = None) -> SparkSession:
     """A local session with AQE on and the web UI off (tests and bench only)."""
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
