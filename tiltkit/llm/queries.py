@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality
+from . import bpe, chat, exact_dedup, mixing, quality, url_filter
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.repeated_pages(pages))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_marks_conversation(table(spark, sf_dir, "conversations"), spark)
+    return chat.digests(chat.format_chats(turns))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -20,5 +34,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op9_bpe, op10_quality_rules)}
-ORACLES = {"op2_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_mix_sources, op7_chat_format, op9_bpe, op10_quality_rules)}
+ORACLES = {"op1_url_filter": url_filter.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.sql(), "op7_chat_format": chat.SQL}
