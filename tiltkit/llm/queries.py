@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, quality, url_filter
+from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_marks_conversation(table(spark, sf_dir, "conversations"), spark)
     return chat.digests(chat.format_chats(turns))
@@ -34,5 +38,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_mix_sources, op7_chat_format, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_exact_dedup, op3_mix_sources, op4_ngram_jaccard, op7_chat_format, op9_bpe, op10_quality_rules)}
 ORACLES = {"op1_url_filter": url_filter.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.sql(), "op7_chat_format": chat.SQL}
