@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, url_filter
+from . import bpe, chat, exact_dedup, mixing, ngram_join, quality, toxicity, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_exact_dedup, op3_mix_sources, op4_ngram_jaccard, op7_chat_format, op9_bpe, op10_quality_rules)}
+    op1_url_filter, op2_exact_dedup, op3_mix_sources, op4_ngram_jaccard, op7_chat_format, op8_toxicity, op9_bpe, op10_quality_rules)}
 ORACLES = {"op1_url_filter": url_filter.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.sql(), "op7_chat_format": chat.SQL}
