@@ -1,6 +1,6 @@
 """Packing of token ids into rows of fixed length, best fit decreasing.
 
-Documents are encoded and cut losslessly into pieces of at most ``length``
+Documents are encoded (strings of special tokens as ordinary text) and cut losslessly into pieces of at most ``length``
 tokens. The pieces are dealt to shards of bounded size by a hash of document
 and piece, so neither a very long document nor a hot source makes a large
 shard. Within a shard the pieces go, longest first, into the open row with the
@@ -22,12 +22,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, encode
+from .bpe import PATTERN
 from .common import col
 
 LENGTH = 2048
 #: Bytes of text per shard; a token has a byte at least.
 SHARD_BYTES = 8 << 20
+#: Ids that a task gathers before it gives them on.
+FLUSH_BYTES = 4 << 20
 PAD = 50256
 
 
@@ -86,48 +88,99 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def _pieces(docs: DataFrame, length: int, vocabulary: str | None) -> DataFrame:
-    """(id, piece, start, n, ids, tie): pieces of the documents' ids."""
-    tokens = encode(docs, "text", vocabulary, drop_text=True)
-    cut = tokens.where("n_tokens > 0").withColumn("piece", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / length))))
-    start = F.col("piece") * length
-    return cut.select(
-        "id", "piece", start.alias("start"), F.least(F.lit(length).cast("long"), F.col("n_tokens") - start).alias("n"),
-        F.substring("ids", (4 * start + 1).cast("int"), F.lit(4 * length)).alias("ids"), F.xxhash64("ids").alias("tie"))
+class _Vocabulary:
+    """A vocabulary of ranks, sent as text and built once per worker."""
+
+    built: dict[int, object] = {}
+
+    def __init__(self, spark, path: str):
+        with open(path, "rb") as f:
+            self.sent = spark.sparkContext.broadcast(f.read())  # under 1 MB
+        self.id = id(self.sent)
+
+    def encoding(self):
+        import base64
+
+        import tiktoken
+
+        if self.id not in self.built:
+            self.built.clear()
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.sent.value.splitlines())}
+            self.built[self.id] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return self.built[self.id]
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _pieces(docs: DataFrame, length: int, vocabulary: _Vocabulary) -> DataFrame:
+    """(id, piece, start, tie, ids) of (id, text): pieces of at most
+    ``length`` ids, as 16-bit numbers (the vocabulary has fewer ids)."""
+    def run(batches: Iterator) -> Iterator:
+        import zlib
+
+        import numpy as np
+
+        encode = vocabulary.encoding().encode_ordinary
+        for batch in batches:
+            out = {"id": [], "start": [], "tie": [], "ids": []}
+            size = 0
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                ids = np.array(encode(text.as_py()), dtype="<u2")
+                tie = zlib.crc32(ids.tobytes())
+                for at in range(0, len(ids), length):
+                    piece = ids[at:at + length].tobytes()
+                    for k, v in zip(out, (i, at, tie, piece)):
+                        out[k].append(v)
+                    size += len(piece)
+                if size > FLUSH_BYTES:
+                    yield _batch(out)
+                    out, size = {k: [] for k in out}, 0
+            yield _batch(out)
+
+    def _batch(out):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+    return docs.mapInArrow(run, "id bigint, start bigint, tie bigint, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
          pad: int = PAD, vocabulary: str | None = None) -> DataFrame:
-    """One row per packed row: shard, row_no, doc_ids, starts (of each segment
+    """Encodes, cuts and packs (the vocabulary is a file of fewer than 2^16
+    ranks). One row per packed row: shard, row_no, doc_ids, starts (of each segment
     in its document, in tokens), cu_seqlens, n_tokens, ids (``length``
     little-endian unsigned 32-bit integers) and position_ids (as ids)."""
     rows = docs.select(col(docs, id_col).cast("long").alias("id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n_shards = 1 + size // SHARD_BYTES
-    pieces = _pieces(rows, length, vocabulary or default_vocabulary())
-    shard = F.pmod(F.xxhash64("id", "piece", "tie"), F.lit(n_shards))
+    pieces = _pieces(rows, length, _Vocabulary(docs.sparkSession, vocabulary or default_ranks()))
+    shard = F.pmod(F.xxhash64("id", "start", "tie"), F.lit(n_shards))
     dealt = pieces.withColumn("shard", shard).repartition(F.col("shard")).sortWithinPartitions(
-        "shard", F.desc("n"), "id", "piece", "tie")
+        "shard", F.desc(F.octet_length("ids")), "id", "start", "tie")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         def rows_of(shard, ids, starts, grams):
-            """grams: ids of the pieces, as bytes, longest first."""
-            made = best_fit([len(g) // 4 for g in grams], length)
-            empty = np.uint32(pad).tobytes()
+            """grams: ids of the pieces, longest first."""
+            made = best_fit([len(g) for g in grams], length)
             for at in range(0, len(made), 256):
                 out = {k: [] for k in ("doc_ids", "starts", "cu_seqlens", "n_tokens", "ids", "position_ids")}
                 for row in made[at:at + 256]:
-                    sizes = [len(grams[i]) // 4 for i in row]
+                    sizes = [len(grams[i]) for i in row]
                     room = length - sum(sizes)
                     out["doc_ids"].append([ids[i] for i in row])
                     out["starts"].append([starts[i] for i in row])
                     out["cu_seqlens"].append([0, *np.cumsum(sizes).tolist()])
                     out["n_tokens"].append(length - room)
-                    out["ids"].append(b"".join([grams[i] for i in row]) + empty * room)
+                    out["ids"].append(np.concatenate([*(grams[i] for i in row), np.full(room, pad, dtype="<u4")]).astype("<u4").tobytes())
                     out["position_ids"].append(np.concatenate([np.arange(n, dtype="<u4") for n in [*sizes, room]]).tobytes())
                 n = len(out["ids"])
                 yield pa.RecordBatch.from_arrays(
@@ -145,7 +198,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                     if grams:
                         yield from rows_of(now, ids, starts, grams)
                     now, ids, starts, grams = s, [], [], []
-                ids.append(i), starts.append(a), grams.append(g.as_py())
+                ids.append(i), starts.append(a), grams.append(np.frombuffer(g.as_py(), dtype="<u2"))
         if grams:
             yield from rows_of(now, ids, starts, grams)
 

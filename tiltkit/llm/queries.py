@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, mixing, ngram_join, packing, quality, toxicity, url_filter
+from . import bpe, chat, exact_dedup, mixing, ngram_join, packing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_marks_conversation(table(spark, sf_dir, "conversations"), spark)
     return chat.digests(chat.format_chats(turns))
@@ -47,5 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_exact_dedup, op3_mix_sources, op4_ngram_jaccard, op5_token_packing, op7_chat_format, op8_toxicity, op9_bpe, op10_quality_rules)}
+    op1_url_filter, op2_exact_dedup, op3_mix_sources, op4_ngram_jaccard, op5_token_packing, op6_pii_surrogates,
+    op7_chat_format, op8_toxicity, op9_bpe, op10_quality_rules)}
 ORACLES = {"op1_url_filter": url_filter.SQL, "op2_exact_dedup": exact_dedup.SQL, "op3_mix_sources": mixing.sql(), "op7_chat_format": chat.SQL}
