@@ -35,6 +35,8 @@ SHORT_SLACK = 1.0
 MIN_REFERENCE = 20_000
 #: Common words of a language's histogram.
 COMMON = 16
+#: The common words are taken among words of so many letters (function words).
+COMMON_LENGTH = 5
 #: Up to so many languages the references are broadcast.
 MAX_BROADCAST_LANGUAGES = 4_000
 #: Patterns of character classes.
@@ -74,13 +76,17 @@ def repeated_words(w: Column) -> Column:
         keys = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
 
         def judged(s: Column) -> Column:
-            top = lambda x: x.bitwiseAND(F.bitwise_not(low))
             pos = lambda x: x.bitwiseAND(low).cast("int")
-            clash = lambda x, y: (top(x) == top(y)) & (F.get(h, pos(x)) != F.get(h, pos(y)))
-            unlike = F.exists(F.sequence(F.lit(0), F.size(s) - 2), lambda j: clash(F.get(s, j), F.get(s, j + 1)))
-            twice = F.filter(s, lambda x, j: (top(x) == top(F.get(s, j - 1))) | (top(x) == top(F.get(s, j + 1))))
-            return F.when(unlike, by_pairs(h)).otherwise(
-                covered(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))))
+            near = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), 24) == 0
+            twice = F.filter(s, lambda x, j: near(x, F.get(s, j + 1)) | near(x, F.get(s, j - 1)))
+
+            def checked(t: Column) -> Column:
+                unlike = F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda j: near(F.get(t, j), F.get(t, j + 1)) & (
+                    F.get(h, pos(F.get(t, j))) != F.get(h, pos(F.get(t, j + 1)))))
+                return F.when(F.size(t) == 0, F.lit(0).cast("long")).when(unlike, by_pairs(h)).otherwise(
+                    covered(F.sort_array(F.transform(t, lambda x: x.bitwiseAND(low)))))
+
+            return let(twice, checked)
 
         return let(keys, judged)
 
@@ -110,35 +116,35 @@ def _distance(p: Column, q: Column) -> Column:
     return let(F.struct(p.alias("p"), q.alias("q"), total(p).alias("np"), total(q).alias("nq")), of)
 
 
-def class_counts(text: Column, n_symbols: Column, newlines: Column, word_chars: Column) -> Column:
-    """Characters per class: upper case, digit, point, symbol, new line, other
-    white space, anything else (mostly lower-case letters)."""
-    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    found = F.struct(n(UPPER).alias("u"), n(DIGIT).alias("d"), n(POINT).alias("p"), n_symbols.alias("s"),
-                     newlines.alias("l"), word_chars.alias("w"), F.char_length(text).cast("long").alias("n"))
-    return let(found, lambda c: F.transform(
-        F.array(c["u"], c["d"], c["p"], c["s"], c["l"], c["n"] - c["w"] - c["l"],
-                c["w"] - c["u"] - c["d"] - c["p"] - c["s"]), lambda x: x.cast("double")))
-
-
 def _measured(text: Column) -> Column:
-    """Struct of the words and the counts that need no reference."""
+    """Struct of the words, the counts that need no reference, and characters
+    per class: upper case, digit, point, symbol, new line, other white space,
+    anything else (mostly lower-case letters). Classes are counted in what is
+    left of the text without a-z and space, which is short."""
     def of(t: Column) -> Column:
-        w = words(t)
-        symbols = F.regexp_count(t, F.lit(SYMBOLS)).cast("long")
+        found = F.struct(words(t).alias("words"), F.regexp_replace(t, "[a-z ]+", "").alias("rest"),
+                         F.char_length(t).cast("long").alias("n"))
 
-        def rest(a: Column) -> Column:
-            chars = F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.char_length(x))
-            return let(chars, lambda c: F.struct(
-                a.alias("words"), F.size(a).cast("long").alias("n_words"), c.alias("word_chars"),
-                symbols.alias("n_symbols"),
-                class_counts(t, symbols, F.size(F.split(t, "\n")) - F.lit(1).cast("long"), c).alias("classes")))
+        def counted(f: Column) -> Column:
+            n = lambda p: F.regexp_count(f["rest"], F.lit(p)).cast("long")
+            counts = F.struct(F.char_length(F.array_join(f["words"], "")).cast("long").alias("w"), n(UPPER).alias("u"),
+                              n(DIGIT).alias("d"), n(POINT).alias("p"), n(SYMBOLS).alias("s"), n("\n").alias("l"))
+            return let(counts, lambda c: F.struct(
+                f["words"].alias("words"), F.size(f["words"]).cast("long").alias("n_words"), c["w"].alias("word_chars"),
+                c["s"].alias("n_symbols"), F.transform(
+                    F.array(c["u"], c["d"], c["p"], c["s"], c["l"], f["n"] - c["w"] - c["l"],
+                            c["w"] - c["u"] - c["d"] - c["p"] - c["s"]), lambda x: x.cast("double")).alias("classes")))
 
-        return let(w, rest)
+        return let(found, counted)
 
     return let(F.coalesce(text, F.lit("")), of)
 
 
+def _short(w: Column) -> Column:
+    """The words that can be common words of a language."""
+    return F.filter(w, lambda x: F.char_length(x) <= COMMON_LENGTH)
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per language, over all documents: its COMMON most common words,
     their counts with all other words last, and the class counts. Words are
@@ -146,7 +152,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     rows = docs.select(col(docs, lang_col).alias("lang"), _measured(col(docs, text_col)).alias("m"))
     classes = rows.groupBy("lang").agg(
         F.sum("m.n_words").alias("n"), F.array(*[F.sum(F.col("m.classes")[i]) for i in range(N_CLASSES)]).alias("ref_classes"))
-    counts = rows.select("lang", F.explode("m.words").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    short = docs.select(col(docs, lang_col).alias("lang"), F.explode(_short(words(col(docs, text_col)))).alias("w"))
+    counts = short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("w")]
     parted = counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
     best = parted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= COMMON)
@@ -161,11 +168,18 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def _word_counts(w: Column, common: Column) -> Column:
-    """Counts of the common words in a document, all other words last."""
-    hits = F.filter(w, lambda x: F.array_contains(common, x))
-    return let(hits, lambda a: F.concat(
-        F.transform(common, lambda c: F.size(F.filter(a, lambda x: x == c)).cast("double")),
-        F.array((F.size(w) - F.size(a)).cast("double"))))
+    """Counts of the common words in a document, all other words last: common
+    words are written as one letter each and the letters counted."""
+    letters = F.array(*[F.lit(x) for x in " " + "abcdefghijklmnopqrstuvwxyz"[:COMMON]])
+    spelt = F.array_join(F.transform(_short(w), lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
+
+    def count(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(common)),
+                           lambda i: F.char_length(t) - F.char_length(F.replace(t, F.get(letters, i), F.lit(""))))
+        return let(each, lambda e: F.transform(F.concat(e, F.array(F.size(w) - F.aggregate(e, F.lit(0), lambda a, x: a + x))),
+                                               lambda x: x.cast("double")))
+
+    return F.when(F.size(common) > 0, let(spelt, count))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
