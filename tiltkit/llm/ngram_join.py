@@ -46,6 +46,7 @@ from .components import components
 BLOCK = 256
 #: Width of a hash range of step 1, as a multiple of 1 - percent / 100.
 RANGE_FACTOR = 2.0
+LEAST_RANGE = 0.02
 #: Words of the filter of classes left (4 bits of a 64-bit word each).
 MAX_WORDS = 1 << 19
 
@@ -239,7 +240,7 @@ def _linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     classes that link."""
     info = materialize(_classes(docs, k))
     classes = info.where("n > 0").groupBy(_key(F.col("sig")).alias("key")).agg(F.first("n").alias("n"), F.lit(0).cast("long").alias("alone"))
-    width = min(1.0, RANGE_FACTOR * (1 - percent / 100))
+    width = min(1.0, max(LEAST_RANGE, RANGE_FACTOR * (1 - percent / 100)))
     texts = docs.select("text")
     left = _left(classes, _in_range(texts, 0.0, width, _from_texts(k)), percent)
     sets = _sets_of(docs, left, k)
