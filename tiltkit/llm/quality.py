@@ -47,13 +47,13 @@ SYMBOLS = r"[#*$%&|<>]"
 N_CLASSES = 7
 
 
-def repeated_words(w: Column) -> Column:
+def repeated_words(w: Column, exact: bool = False) -> Column:
     """Words covered by a 3-word window that the text holds twice or more.
 
     Windows are hashed to 64 bits and sorted with their position packed in the
     low 24 bits, so equal windows become neighbours in n log n steps. If two
     unlike windows agree in the 40 bits kept (or the text has 2^24 words),
-    the sort is done on (hash, position) pairs instead.
+    the sort is done on (hash, position) pairs instead (``exact``: always).
     """
     n = F.size(w)
     hashes = F.transform(F.sequence(F.lit(0), n - 3),
@@ -91,7 +91,7 @@ def repeated_words(w: Column) -> Column:
         return let(keys, judged)
 
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(
-        let(hashes, lambda h: F.when(F.size(h) >= (1 << 24) - 1, by_pairs(h)).otherwise(by_longs(h))))
+        let(hashes, lambda h: by_pairs(h) if exact else F.when(F.size(h) >= (1 << 24) - 1, by_pairs(h)).otherwise(by_longs(h))))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -116,44 +116,49 @@ def _distance(p: Column, q: Column) -> Column:
     return let(F.struct(p.alias("p"), q.alias("q"), total(p).alias("np"), total(q).alias("nq")), of)
 
 
-def _measured(text: Column) -> Column:
-    """Struct of the words, the counts that need no reference, and characters
-    per class: upper case, digit, point, symbol, new line, other white space,
-    anything else (mostly lower-case letters). Classes are counted in what is
-    left of the text without a-z and space, which is short."""
-    def of(t: Column) -> Column:
-        found = F.struct(words(t).alias("words"), F.regexp_replace(t, "[a-z ]+", "").alias("rest"),
-                         F.char_length(t).cast("long").alias("n"))
+def _characters(text: Column) -> Column:
+    """Struct of word_chars, n_symbols and the characters per class: upper
+    case, digit, point, symbol, new line, other white space, anything else
+    (mostly lower-case letters). Classes are counted in what is left of the
+    text without a-z and space, which is short."""
+    found = F.struct(
+        F.regexp_replace(text, "[a-z ]+", "").alias("rest"), F.char_length(text).cast("long").alias("n"),
+        F.char_length(F.replace(text, F.lit(" "), F.lit(""))).cast("long").alias("solid"))
 
-        def counted(f: Column) -> Column:
-            n = lambda p: F.regexp_count(f["rest"], F.lit(p)).cast("long")
-            counts = F.struct(F.char_length(F.array_join(f["words"], "")).cast("long").alias("w"), n(UPPER).alias("u"),
-                              n(DIGIT).alias("d"), n(POINT).alias("p"), n(SYMBOLS).alias("s"), n("\n").alias("l"))
-            return let(counts, lambda c: F.struct(
-                f["words"].alias("words"), F.size(f["words"]).cast("long").alias("n_words"), c["w"].alias("word_chars"),
-                c["s"].alias("n_symbols"), F.transform(
-                    F.array(c["u"], c["d"], c["p"], c["s"], c["l"], f["n"] - c["w"] - c["l"],
-                            c["w"] - c["u"] - c["d"] - c["p"] - c["s"]), lambda x: x.cast("double")).alias("classes")))
+    def counted(f: Column) -> Column:
+        n = lambda p: F.regexp_count(f["rest"], F.lit(p)).cast("long")
+        counts = F.struct(n(UPPER).alias("u"), n(DIGIT).alias("d"), n(POINT).alias("p"), n(SYMBOLS).alias("s"),
+                          n("\n").alias("l"), n(r"[\x09\x0B-\x0D]").alias("t"))
 
-        return let(found, counted)
+        def of(c: Column) -> Column:
+            in_words = f["solid"] - c["l"] - c["t"]
+            return F.struct(in_words.alias("word_chars"), c["s"].alias("n_symbols"), F.transform(
+                F.array(c["u"], c["d"], c["p"], c["s"], c["l"], f["n"] - f["solid"] + c["t"],
+                        in_words - c["u"] - c["d"] - c["p"] - c["s"]), lambda x: x.cast("double")).alias("classes"))
 
-    return let(F.coalesce(text, F.lit("")), of)
+        return let(counts, of)
 
+    return let(found, counted)
 
-def _short(w: Column) -> Column:
-    """The words that can be common words of a language."""
-    return F.filter(w, lambda x: F.char_length(x) <= COMMON_LENGTH)
+
+def _is_short(w: Column) -> Column:
+    """A word that can be a common word of a language."""
+    return F.char_length(w) <= COMMON_LENGTH
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per language, over all documents: its COMMON most common words,
     their counts with all other words last, and the class counts. Words are
     counted before they shuffle, and ranked in 64 parts of a language first."""
-    rows = docs.select(col(docs, lang_col).alias("lang"), _measured(col(docs, text_col)).alias("m"))
-    classes = rows.groupBy("lang").agg(
-        F.sum("m.n_words").alias("n"), F.array(*[F.sum(F.col("m.classes")[i]) for i in range(N_CLASSES)]).alias("ref_classes"))
-    short = docs.select(col(docs, lang_col).alias("lang"), F.explode(_short(words(col(docs, text_col)))).alias("w"))
-    counts = short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    lang, text = col(docs, lang_col).alias("lang"), F.coalesce(col(docs, text_col), F.lit(""))
+    rows = docs.select(lang, _characters(text)["classes"].alias("c"))
+    classes = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(N_CLASSES)]).alias("ref_classes"))
+    # words too long to be common count together, as null
+    spelt = docs.select(lang, F.explode(F.transform(words(text), lambda w: F.when(_is_short(w), w))).alias("w"))
+    counted = materialize(spelt.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    classes = classes.alias("a").join(totals.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.lang", "ref_classes", "n")
+    counts = counted.where("w IS NOT NULL")
     order = [F.desc("n"), F.asc("w")]
     parted = counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
     best = parted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= COMMON)
@@ -171,7 +176,7 @@ def _word_counts(w: Column, common: Column) -> Column:
     """Counts of the common words in a document, all other words last: common
     words are written as one letter each and the letters counted."""
     letters = F.array(*[F.lit(x) for x in " " + "abcdefghijklmnopqrstuvwxyz"[:COMMON]])
-    spelt = F.array_join(F.transform(_short(w), lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
+    spelt = F.array_join(F.transform(F.filter(w, _is_short), lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
 
     def count(t: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(common)),
@@ -190,28 +195,28 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     if ref.count() <= MAX_BROADCAST_LANGUAGES:  # some 600 bytes each
         ref = F.broadcast(ref)
     text = col(docs, text_col)
-    rows = docs.select(packed(docs), col(docs, lang_col).alias("lang"), text.alias("text"))
+    rows = docs.select(packed(docs), col(docs, lang_col).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.join(ref, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
 
-    def verdict(m: Column) -> Column:
-        distances = F.struct(
-            _distance(m["classes"], F.col("ref_classes")).alias("class"),
-            _distance(_word_counts(m["words"], F.col("ref_words")), F.col("ref_counts")).alias("word"),
-            repeated_words(m["words"]).alias("repeated"))
-
-        def of(d: Column) -> Column:
-            n = m["n_words"]
-            failed = (n < MIN_WORDS) | (100 * d["repeated"] > MAX_REPEATED_PERCENT * n)
-            far = (d["class"] > MAX_CLASS_DISTANCE) | (d["word"] > MAX_WORD_DISTANCE + SHORT_SLACK / F.sqrt(n))
-            return F.struct(
-                n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
-                d["repeated"].alias("n_repeat_words"), failed.alias("base_failed"), d["class"].alias("class_distance"),
-                d["word"].alias("word_distance"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
-
-        return let(distances, of)
-
-    judged = rows.select("row_", repeated_lines(F.coalesce("text", F.lit(""))).alias("n_dup_lines"),
-                         let(_measured(F.col("text")), verdict).alias("v"))
+    def verdict(w: Column) -> Column:
+        found = F.struct(
+            F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"), _characters(F.col("text")).alias("m"),
+            _distance(_word_counts(w, F.col("ref_words")), F.col("ref_counts")).alias("word"))
+
+        def of(f: Column) -> Column:
+            def told(apart: Column) -> Column:
+                failed = (f["n"] < MIN_WORDS) | (100 * f["repeated"] > MAX_REPEATED_PERCENT * f["n"])
+                far = (apart > MAX_CLASS_DISTANCE) | (f["word"] > MAX_WORD_DISTANCE + SHORT_SLACK / F.sqrt(f["n"]))
+                return F.struct(
+                    f["n"].alias("n_words"), f["m"]["word_chars"].alias("word_chars"), f["m"]["n_symbols"].alias("n_symbols"),
+                    f["repeated"].alias("n_repeat_words"), failed.alias("base_failed"), apart.alias("class_distance"),
+                    f["word"].alias("word_distance"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
+
+            return let(_distance(f["m"]["classes"], F.col("ref_classes")), told)
+
+        return let(found, of)
+
+    judged = rows.select("row_", repeated_lines(F.col("text")).alias("n_dup_lines"), let(words(F.col("text")), verdict).alias("v"))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
              "word_distance", "kept"]
     keep = [F.col("row_")[c].alias(c) for c in docs.columns if c not in added]
