@@ -112,7 +112,7 @@ def test_stars_and_coef_cells(spark):
     rows = [(0.009, 2.6, 1.23456, 0.1), (0.01, 2.575, -0.5, 0.02), (0.049, 1.97, 0.0004, None),
             (0.05, 1.95, None, 0.1), (0.0999, 1.65, 3.0, 0.3), (0.1, 1.64, 3.0, 0.3), (None, None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "p double, z double, c double, b double")
-    out = df.select(stars("p").alias("s"), stars_from_z("z").alias("sz"), fmt_coef("c", "p").alias("fc"),
+    out = df.select(stars("p").alias("s"), stars_from_z("z").alias("sz"), fmt_coef("c", stars("p")).alias("fc"),
                     fmt_bse("b").alias("fb"), "p", "c", "b").collect()
     want_s = ["***", "**", "**", "*", "*", "", ""]
     assert [r.s for r in out] == want_s

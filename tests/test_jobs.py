@@ -33,4 +33,4 @@ def test_entry_points(spark, tmp_path):
     coef = study["coefficients"].collect()
     assert {r.term for r in coef} == {"Intercept", "Z", "Xc", "Z:Xc"}
     assert study["optimal_cutoff"].count() == study["coefficients"].select("model").distinct().count()
-    assert study["model_comparison"].count() == 10
+    assert study["model_comparison"].count() == 11

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tiltkit.operators import panel as pnl
+from tiltkit.plans import registry
 from tiltkit.sources import io
 from tiltkit.sources import starschema as ss
 
@@ -26,12 +27,12 @@ def _optimized(df):
 
 @pytest.fixture(scope="module")
 def built(spark):
-    return {k: q(spark, SF001) for k, q in E.queries().items()}
+    return {k: q(spark, SF001) for k, q in registry.queries().items()}
 
 
 def test_every_query_has_an_oracle_but_the_approximate_one():
-    qs, sql = E.queries(), E.oracle_sql()
-    assert set(sql) <= set(qs)
+    qs, sql = registry.queries(), registry.oracles()
+    assert set(sql) <= set(qs) <= set(E.queries())
     assert set(qs) - set(sql) == {"volume_distribution_approx"}
 
 
@@ -42,6 +43,11 @@ def test_no_python_udf_anywhere(built):
             assert not PY_UDF.search(plan), k
 
 
+def test_no_round_robin_exchange(built):
+    for k, df in built.items():
+        assert "RoundRobin" not in _physical(df) + _optimized(df), k
+
+
 def test_no_cartesian_products(built):
     for k, df in built.items():
         plan = _physical(df) + _optimized(df)
@@ -85,6 +91,57 @@ def test_panel_sink_roundtrip(spark, tmp_path):
     plan = _physical(back)
     assert "PartitionFilters: [isnotnull(year" in plan and "= 1996" in plan
     assert back.count() == panel.where(F.year("date") == 1996).count() > 0
+    # every file is sorted, and the files of a year cover ranges that do not overlap
+    spans = {}
+    for f in sorted(tmp_path.glob("open_volume/year=*/*.parquet")):
+        rows = [tuple((v is not None, v) for v in r) for r in spark.read.parquet(str(f)).select(*io.PANEL_SORT).collect()]
+        assert rows == sorted(rows), f
+        spans.setdefault(f.parent.name, []).append((rows[0], rows[-1]))
+    assert len(spans) > 1
+    for ends in spans.values():
+        ends.sort()
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
     csv = str(tmp_path / "csv")
     io.write_csv(panel.limit(5), csv)
     assert spark.read.option("header", True).csv(csv).count() == 5
+
+
+def _month_file(spark, path, dtm_type, delta):
+    from tiltkit.schema import OPTION_MONTH
+
+    cols = {"date": "date'2014-01-02'", "ticker": "'A'", "cp_flag": "'C'", "dtm": f"cast(7 as {dtm_type})",
+            "delta": f"double('{delta}')"}
+    spark.range(3).selectExpr(*[f"{cols.get(f.name, 'cast(1.5 as double)')} AS {f.name}" for f in OPTION_MONTH.fields]) \
+        .write.parquet(path)
+
+
+def test_months_of_mixed_types_and_nan(spark, tmp_path):
+    from tiltkit.schema import OPTION_MONTH
+
+    paths = [str(tmp_path / f"m{i}") for i in range(3)]
+    for p, (kind, delta) in zip(paths, (("bigint", "50"), ("int", "NaN"), ("double", "45"))):
+        _month_file(spark, p, kind, delta)
+    got = io.read_months(spark, paths)
+    assert [f.dataType for f in got.schema.fields] == [f.dataType for f in OPTION_MONTH.fields]
+    assert got.count() == 9 and got.where("delta IS NULL").count() == 3 and got.where("dtm = 7").count() == 9
+
+
+def test_impossible_type_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "bad")
+    _month_file(spark, path, "string", "1")
+    with pytest.raises(ValueError, match="dtm"):
+        io.read_months(spark, path)
+
+
+def test_cluster_without_checkpoint_folder_is_an_error():
+    from unittest import mock
+
+    from tiltkit.session import ensure_checkpoint_dir
+
+    fake = mock.MagicMock()
+    fake.conf.get.return_value = None
+    fake.sparkContext.getCheckpointDir.return_value = None
+    fake.sparkContext.getConf.return_value.get.return_value = None
+    fake.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(fake)

@@ -148,3 +148,34 @@ def test_infinite_and_nan_rows_are_dropped(spark, line):
     assert len(ca) == len(cb) == 22
     for r1, r2 in zip(ca, cb):
         close(r1, r2)
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1e-7, 1.0, 1e7])
+def test_optimum_does_not_depend_on_the_scale_of_y(spark, scale):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(3, 7, 400)
+    y = (0.1 * x + 1.0 * (x >= 5.0) + rng.normal(0, 0.01, 400)) * scale
+    df = spark.createDataFrame([("m", float(a), float(b)) for a, b in zip(x, y)], "m string, x double, y double")
+    best = rdd.optimal_cutoff(rdd.cutoff_curve(df, "y", "x", (3.0, 7.0, 9), ["m"]), ["m"]).first()
+    assert (best.j, best.cutoff, best.rank_deficient) == (4, 5.0, False)
+
+
+def test_narrow_side_keeps_its_precision(spark):
+    rng = np.random.default_rng(5)
+    x = np.append(rng.uniform(3, 7, 2000), [7.0, 7.000000001])
+    y = np.append(rng.normal(0, 0.3, 2000), [0.2, 0.9])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    last = rdd.cutoff_curve(df, "y", "x", (3.0, 7.0, 5)).orderBy("j").collect()[-1]
+    left = np.polyfit(x[:-2] - 7.0, y[:-2], 1)
+    sse = ((y[:-2] - np.polyval(left, x[:-2] - 7.0)) ** 2).sum()
+    assert last.cutoff == 7.0 and not last.rank_deficient
+    assert last.mse == pytest.approx(sse / 2002, rel=1e-9)
+    assert last.effect_Z == pytest.approx(0.2 - left[1], rel=1e-6)
+
+
+def test_null_model_key_is_a_model(spark, line):
+    df = line[0] if isinstance(line, tuple) else line
+    df = df.withColumn("m", F.when(F.col("m") == "a", F.col("m")))
+    assert {r.m for r in rdd.fit_wide(df, "y", "x", 6.0, ["m"]).collect()} == {"a", None}
+    curve = rdd.cutoff_curve(df, "y", "x", None, ["m"])
+    assert {r.m for r in rdd.optimal_cutoff(curve, ["m"]).collect()} == {"a", None}

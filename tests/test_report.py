@@ -1,5 +1,6 @@
 """Report cells: regression table options and the model comparison text."""
 
+from tiltkit.functions.text import stars
 from tiltkit.operators import report
 
 
@@ -14,7 +15,7 @@ def _coef(spark):
             ("m2", "Z:Xc", 1.0, 2.0, 0.7, 1234567, 0.5, 0.45)]
     return spark.createDataFrame(
         rows, "model string, term string, coef double, bse double, pval double, nobs long, "
-              "rsquared double, rsquared_adj double")
+              "rsquared double, rsquared_adj double").withColumn("stars", stars("pval"))
 
 
 def test_regression_table_options(spark):
@@ -33,7 +34,8 @@ def test_model_comparison_cells(spark):
     t = report.model_comparison(_coef(spark), {"m1": "first", "m2": "second"})
     rows = sorted(t.collect(), key=lambda r: r.line_no)
     labels = [r.row_label for r in rows]
-    assert labels == ["Z", "", "Xc", "", "Z:Xc", "", "Intercept", "", "R-squared", "R-squared Adj."]
+    assert labels == ["Z", "", "Xc", "", "Z:Xc", "", "Intercept", "", "R-squared", "R-squared Adj.", "N"]
     assert (rows[0].first, rows[0].second) == ("-1.23**", "0.12***")  # 0.125 -> 0.12 (half-even, as '%0.2f')
     assert (rows[4].first, rows[5].first) == ("", "")  # missing term
     assert rows[8].second == "0.50" and rows[9].first == "0.20"
+    assert rows[10].second == "1,234,567"

@@ -14,7 +14,8 @@ def col(c) -> Column:
 
 
 def ieee_ratio(num, den) -> Column:
-    """num / den with float semantics: x/0 is +-inf for x != 0, 0/0 is NULL.
+    """num / den with float semantics: x/0 is +-inf for x != 0, 0/0 is NULL;
+    NULL when either is NULL.
 
     ANSI mode raises on division by zero, so the zero case is branched out.
     NaN is represented as NULL throughout the library.
@@ -22,8 +23,8 @@ def ieee_ratio(num, den) -> Column:
     n, d = col(num), col(den)
     return (
         F.when(d != 0, n / d)
-        .when(n > 0, F.lit(float("inf")))
-        .when(n < 0, F.lit(float("-inf")))
+        .when((d == 0) & (n > 0), F.lit(float("inf")))
+        .when((d == 0) & (n < 0), F.lit(float("-inf")))
     )
 
 

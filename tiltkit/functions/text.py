@@ -48,10 +48,10 @@ def stars_from_z(z) -> Column:
     return out.otherwise("")
 
 
-def fmt_coef(coef, pval, decimals: int = 3) -> Column:
-    """Coefficient with stars; '' when missing."""
+def fmt_coef(coef, marks, decimals: int = 3) -> Column:
+    """Coefficient with its stars (a column); '' when missing."""
     c = col(coef)
-    return F.when(_missing(c), "").otherwise(F.concat(fmt_fixed(c, decimals), stars(pval)))
+    return F.when(_missing(c), "").otherwise(F.concat(fmt_fixed(c, decimals), col(marks)))
 
 
 def fmt_bse(bse, decimals: int = 3) -> Column:
@@ -70,11 +70,3 @@ def fmt_rsquared(r) -> Column:
 
 def fmt_nobs(n) -> Column:
     return fmt_thousands(col(n).cast("double"))
-
-
-def fmt_pct_decimal(p, decimals: int = 2) -> Column:
-    return fmt_fixed(p, decimals)
-
-
-def fmt_pct_no_decimal(p) -> Column:
-    return fmt_fixed(p, 0)

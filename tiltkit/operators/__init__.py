@@ -4,7 +4,7 @@ from .imbalance import (
     duplicate_keys, imbalance_by_ticker, imbalance_curve, join_stock_panel, short_dated,
     with_delta_moneyness,
 )
-from .joins import bounded_broadcast, semi_join_keys
+from .joins import join_null_safe, semi_join_keys
 from .panel import aggregate_panel, class_volumes, classify_options, universe_rows, yearly_panel
 from .quantile import approx_quantiles, exact_quantiles, target_rank, wide_quantiles
 from .rdd import coefficients, cutoff_curve, fit_wide, fitted_line, optimal_cutoff
@@ -17,7 +17,7 @@ from .tables import (
 
 __all__ = [
     "duplicate_keys", "imbalance_by_ticker", "imbalance_curve", "join_stock_panel", "short_dated",
-    "with_delta_moneyness", "bounded_broadcast", "semi_join_keys", "aggregate_panel",
+    "with_delta_moneyness", "join_null_safe", "semi_join_keys", "aggregate_panel",
     "class_volumes", "classify_options", "universe_rows", "yearly_panel", "approx_quantiles",
     "exact_quantiles", "target_rank", "wide_quantiles", "coefficients", "cutoff_curve", "fit_wide",
     "fitted_line", "optimal_cutoff", "distribution_panel", "model_comparison", "regression_table",

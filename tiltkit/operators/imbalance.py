@@ -70,30 +70,24 @@ def short_dated(joined: DataFrame, maturities: Sequence[str] = SHORT_MATURITIES,
     })
 
 
-def _long_investors(df: DataFrame, x: str, investors, moneyness: str,
-                    by: Sequence[str]) -> DataFrame:
-    """Measures -> (investor, volume) rows; ``investors`` maps label -> measure
-    (a plain sequence labels each measure by its own name)."""
-    cols = dict(investors) if isinstance(investors, Mapping) else {m: m for m in investors}
-    ids = [*by, "date", "ticker", x, moneyness]
-    renamed = df.select(*ids, *[F.col(src).alias(lbl) for lbl, src in cols.items()])
-    return renamed.unpivot(ids, list(cols), "investor", "volume")
-
-
 def imbalance_by_ticker(df: DataFrame, x: str, investors: Mapping[str, str] | Sequence[str],
                         moneyness: str = "f_k_moneyness", by: Sequence[str] = ("cp_flag",)) -> DataFrame:
     """Per (by, investor, ticker, x): mean over days of (itm-otm)/(itm+otm).
 
-    Day cells are summed per moneyness with conditional sums (the pivot to
-    itm/otm columns without a second pass), missing cells count as 0, and
-    cells with itm+otm = 0 are dropped.
+    ``investors`` maps label -> measure (a plain sequence labels each measure
+    by its own name). Day cells of all investors are summed per moneyness in
+    one aggregation (conditional sums) and only the aggregated rows become
+    one row per investor; missing cells count as 0, and cells with
+    itm+otm = 0 are dropped.
     """
-    long = _long_investors(df, x, investors, moneyness, by)
-    m, v = F.col(moneyness), F.col("volume")
-    cell = long.groupBy(*by, "investor", "date", x, "ticker").agg(
-        F.coalesce(F.sum(F.when(m == "itm", v)), F.lit(0.0)).alias("itm"),
-        F.coalesce(F.sum(F.when(m == "otm", v)), F.lit(0.0)).alias("otm"),
-    )
+    cols = dict(investors) if isinstance(investors, Mapping) else {m: m for m in investors}
+    m = F.col(moneyness)
+    total = lambda side, src: F.coalesce(F.sum(F.when(m == side, F.col(src))), F.lit(0.0))
+    sums = {f"_{side}{k}": total(side, src) for k, src in enumerate(cols.values()) for side in ("itm", "otm")}
+    days = df.groupBy(*by, "date", x, "ticker").agg(*[v.alias(c) for c, v in sums.items()])
+    cell = days.select(*by, "date", x, "ticker", F.inline(F.array(*[
+        F.struct(F.lit(lbl).alias("investor"), F.col(f"_itm{k}").alias("itm"), F.col(f"_otm{k}").alias("otm"))
+        for k, lbl in enumerate(cols)])))
     tot = F.col("itm") + F.col("otm")
     cell = cell.where(tot > 0).withColumn("itm_otm", safe_ratio(F.col("itm") - F.col("otm"), tot))
     return cell.groupBy(*by, "investor", "ticker", x).agg(F.avg("itm_otm").alias("itm_otm"))

@@ -1,35 +1,29 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Join helpers."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
-# A side is broadcast only when it has at most this many rows (a ticker
-# universe has tens of thousands of names; far below this bound).
-BROADCAST_MAX_ROWS = 2_000_000
-
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``small`` is proven small; else leave it to the planner.
-
-    Runs one count job over ``small`` (an action). Beyond the bound the
-    join falls back to a shuffle join chosen by the optimizer / AQE.
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``cols`` where NULL matches NULL (group and model keys may be NULL)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond).drop(*[f"_r_{c}" for c in cols])
 
 
-def semi_join_keys(big: DataFrame, keys: DataFrame, on: str | list[str],
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def semi_join_keys(big: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """``big`` rows whose key is in ``keys`` (a left-semi join on a distinct key set).
 
     The key set is de-duplicated first (partial aggregation makes that
-    cheap) and checkpointed, so that what may be broadcast is the set of
-    names, not a panel, and the size check does not recompute it.
+    cheap), so whatever side the planner moves is the set of names, not a
+    panel. Runs no job; AQE broadcasts the set if it turns out small.
     """
     on = [on] if isinstance(on, str) else list(on)
-    distinct_keys = materialize(keys.select(*on).distinct())  # computed once, counted, joined
-    return big.join(bounded_broadcast(distinct_keys, max_rows), on, "left_semi")
+    return big.join(keys.select(*on).distinct(), on, "left_semi")

@@ -7,7 +7,7 @@ bucket chosen by the previous pass; a running sum over at most 65,536 digit
 rows per (group, quantile) picks the bucket that holds the target rank.
 Counting is a partial/final aggregation, so a group holding a third of all
 rows, or millions of ties, costs no more than a small one, and no window
-ever sees more than max(65,536, FINISH_ROWS) rows. The result is exact (the
+ever sees more than 65,536 rows. The result is exact (the
 value itself, not an interpolation).
 
 Rank rules (0-based target rank r of n sorted values):
@@ -25,13 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ordered_key, round_half_away
 from ..session import ensure_checkpoint_dir
-from .joins import BROADCAST_MAX_ROWS
+from .joins import join_null_safe
 
 _BITS = 16
 _MASK = (1 << _BITS) - 1
 _PASSES = 64 // _BITS
-# Largest bucket that may be finished by a sort inside one window partition.
-FINISH_ROWS = 1 << 18
 
 
 def _rank(n: Column, q: Column, rule: str) -> Column:
@@ -62,16 +60,6 @@ def _prefix(k: Column, i: int) -> Column:
     return F.shiftrightunsigned(k, 64 - _BITS * i)
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Inner equi-join on ``cols`` where NULL matches NULL (group keys may be NULL)."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(r[f"_r_{c}"])
-        cond = e if cond is None else cond & e
-    return left.join(r, cond).drop(*[f"_r_{c}" for c in cols])
-
-
 def _choose(hist: DataFrame, keys: list[str]) -> DataFrame:
     """For every (group, q) the digit whose running count covers the rank r.
 
@@ -91,34 +79,16 @@ def _choose(hist: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _finish_by_sort(data: DataFrame, chosen: DataFrame, keys: list[str], bits: int,
-                    small) -> DataFrame:
-    """Exact pick inside the chosen buckets (each at most FINISH_ROWS rows)."""
-    sel = chosen.select(*keys, "q", "_r", F.col("_p").alias("_sel"))
-    rows = join_null_safe(data.withColumn("_sel", F.shiftrightunsigned(F.col("_k"), 64 - bits)),
-                          small(sel), [*keys, "_sel"])
-    w = Window.partitionBy(*keys, "q").orderBy("_v")
-    ranked = rows.withColumn("_rn", F.row_number().over(w) - 1)
-    return ranked.where(F.col("_rn") == F.col("_r")).select(*keys, "q", F.col("_v").alias("_vmin"))
-
-
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    qs: Sequence[float], rule: str = "nearest", with_stats: bool = False,
-                    few_groups: bool | None = None, finish_rows: int = FINISH_ROWS) -> DataFrame:
+                    qs: Sequence[float], rule: str = "nearest", with_stats: bool = False) -> DataFrame:
     """Long result (group..., q, value[, n, total]) of exact quantiles per group.
 
     NULL and NaN values are ignored. The (group, value, key) rows are written
     once with a reliable ``checkpoint()`` (the session's checkpoint folder),
     so the four counting passes re-read them instead of recomputing the
     input, and lineage is cut. The per-pass chosen-bucket tables (groups x
-    len(qs) rows) are checkpointed as well and broadcast when ``few_groups``
-    states that the groups come from a small closed domain; ``None`` counts
-    the groups once and broadcasts only below ``BROADCAST_MAX_ROWS``.
-    After each pass the largest chosen bucket is read (one number); when it
-    holds at most ``finish_rows`` rows, a row_number inside the chosen
-    buckets finishes exactly, so small inputs need one pass and large or
-    skewed ones keep refining. This function runs Spark jobs (the
-    checkpoints and that size read).
+    len(qs) rows) are checkpointed as well; their joins are left to the
+    planner. This function runs Spark jobs (the checkpoints).
     """
     if rule not in ("nearest", "lower", "higher"):
         raise ValueError(f"unknown rank rule {rule!r}")
@@ -135,29 +105,17 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_vmin"), F.sum("_v").alias("_s")
     ).checkpoint(eager=True)
     stats = h0.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum("_s").alias("total"))
-    if few_groups is None:
-        n_groups = stats.limit(BROADCAST_MAX_ROWS + 1).count()
-        few_groups = n_groups * max(len(qs), 1) <= BROADCAST_MAX_ROWS
-
-    def small(x: DataFrame) -> DataFrame:
-        return F.broadcast(x) if few_groups else x
-
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     cand = stats.select(*keys, "n", F.explode(qarr).alias("q")).select(
         *keys, "q", _rank(F.col("n"), F.col("q"), rule).alias("_r"),
         F.lit(0).cast("long").alias("_p"))
-    hist = join_null_safe(h0.drop("_s"), small(cand), keys)
+    hist = join_null_safe(h0.drop("_s"), cand, keys)
     chosen = _choose(hist, keys).checkpoint(eager=True)
 
     for i in range(1, _PASSES):
-        # once every chosen bucket is small, an exact sort inside it finishes
-        biggest = chosen.agg(F.max("_c")).first()[0]
-        if biggest is None or biggest <= finish_rows:
-            chosen = _finish_by_sort(data, chosen, keys, _BITS * i, small)
-            break
         # rows of the chosen bucket, once per quantile that chose it
         sel = chosen.select(*keys, "q", "_r", F.col("_p").alias("_sel"))
-        rows = join_null_safe(data.withColumn("_sel", _prefix(F.col("_k"), i)), small(sel),
+        rows = join_null_safe(data.withColumn("_sel", _prefix(F.col("_k"), i)), sel,
                               [*keys, "_sel"])
         hist = rows.groupBy(*keys, "q", "_r", F.col("_sel").alias("_p"),
                             _digit(F.col("_k"), i).alias("_d")).agg(

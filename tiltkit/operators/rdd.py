@@ -7,18 +7,18 @@ y on Xc, one per side: Intercept = a_L, Xc = b_L, Z = a_R - a_L,
 Z:Xc = b_R - b_L. Everything is grouped sums over any number of models at
 once (model keys are group keys):
 
-  pass 1  per (model, side): n, mean Xc, mean y, min/max x
-  pass 2  centred moments Sxx, Sxy, Syy -> slopes, intercepts, SSE, SST
-  pass 3  residual sums for the robust covariance (HC1, or per-cluster
+  pass 1  per (model, side): n, means, min/max x and centred moments
+          (Spark's stable var_pop / covar_pop) -> slopes, intercepts, SSE, SST
+  pass 2  residual sums for the robust covariance (HC1, or per-cluster
           scores for the cluster-robust one)
 
-Every pass joins back a parameter table with one row per (model, side), so
-what is broadcast is bounded by the number of models, never by the data.
+Every pass joins back a parameter table with one row per (model, side).
+Model keys may be NULL; NULL is a model of its own.
 
 The cut-off search fits all candidates of a grid in one pass: rows are
 bucketed between consecutive grid points, the six centred sums are
-aggregated per bucket, and prefix sums over the (at most grid+1) buckets give
-the statistics left and right of every candidate.
+aggregated per bucket, and merging the (at most grid+1) buckets from either
+end gives the statistics left and right of every candidate.
 """
 
 from __future__ import annotations
@@ -28,14 +28,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import linspace_point, round_half_away
+from ..functions.numeric import linspace_point
 from ..functions.stats import with_pvalue as add_pvalue
-from ..functions.text import stars
+from ..functions.text import stars_from_z
 from ..schema import DEFAULT_GRID_POINTS, FITTED_POINTS, TERMS
 from ..session import materialize
-from .joins import BROADCAST_MAX_ROWS
+from .joins import join_null_safe
 
 K_PARAMS = 4
+# Relative tolerance of equal MSEs in the cut-off search, and the relative
+# spread of x below which a side holds one x value only.
+TIE = 1e-9
+X_RESOLUTION = 1e-13
+# A side whose squared residuals are a smaller part of its variation is fit exactly.
+SSE_NOISE = 1e-12
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[list[str], DataFrame, list[str]]:
@@ -75,27 +81,15 @@ def _side(col: str, z: int) -> Column:
     return F.max(F.when(F.col("_z") == z, F.col(col)))
 
 
-def _is_few(per_model: DataFrame, few: bool | None) -> bool:
-    """A per-model table may be broadcast: stated small, or counted below the bound."""
-    if few is None:
-        return per_model.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    return few
-
-
-def _bc(df: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(df) if few else df
-
-
 def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
-             cluster: str | None = None, checkpoint_input: bool = True,
-             few_models: bool | None = None) -> DataFrame:
+             cluster: str | None = None, checkpoint_input: bool = True) -> DataFrame:
     """One row per model: cutoff, nobs, side coefficients, robust variances, fit stats.
 
-    The (model, x, y) rows are checkpointed once (a Spark job), so the three
+    The (model, x, y) rows are checkpointed once (a Spark job), so the two
     passes read them instead of recomputing the input; pass
     ``checkpoint_input=False`` when ``df`` is already checkpointed. The
-    per-(model, side) parameter tables are broadcast back when
-    ``few_models`` says the models are few, or (None) after counting them.
+    per-(model, side) parameter tables are joined back null-safe (a NULL
+    model key is a model of its own), by the planner's choice.
 
     ``cutoff`` is a number, a column name or a Column (per-model cut-offs).
     Variances are HC1 (k = 4), or cluster-robust with the
@@ -107,14 +101,12 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
     keys, df, drop = _keyed(df, keys)
     d = _model_table(df, y, x, cutoff, keys, cluster)
     d = materialize(d) if checkpoint_input else d
-    p1 = d.groupBy(*keys, "_z").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_xc").alias("_mx"), F.avg("_y").alias("_my"),
-        F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"), F.first("_c").alias("_cut"))
-    few = _is_few(p1, few_models)  # p1 and p2 have one row per (model, side)
-    j1 = d.join(_bc(p1, few), [*keys, "_z"])
-    dx, dy = F.col("_xc") - F.col("_mx"), F.col("_y") - F.col("_my")
-    p2 = j1.groupBy(*keys, "_z", "_n", "_mx", "_my", "_xmin", "_xmax", "_cut").agg(
-        F.sum(dx * dx).alias("_sxx"), F.sum(dx * dy).alias("_sxy"), F.sum(dy * dy).alias("_syy"))
+    n = F.count(F.lit(1))
+    p2 = d.groupBy(*keys, "_z").agg(
+        n.alias("_n"), F.avg("_xc").alias("_mx"), F.avg("_y").alias("_my"),
+        F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"), F.first("_c").alias("_cut"),
+        (F.var_pop("_xc") * n).alias("_sxx"), (F.covar_pop("_xc", "_y") * n).alias("_sxy"),
+        (F.var_pop("_y") * n).alias("_syy"))
     ok = (F.col("_n") >= 2) & (F.col("_xmax") > F.col("_xmin"))
     b = F.when(ok, F.col("_sxy") / F.col("_sxx"))
     p2 = p2.withColumns({"_b": b, "_a": F.col("_my") - b * F.col("_mx")})
@@ -122,8 +114,8 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
                                       F.col("_syy") - F.col("_b") * F.col("_sxy"))
                        .otherwise(F.col("_syy")))
 
-    # pass 3: residual sums with the side parameters broadcast back
-    j2 = d.join(_bc(p2.select(*keys, "_z", "_n", "_mx", "_my", "_sxx", "_b"), few), [*keys, "_z"])
+    # pass 2: residual sums with the side parameters joined back
+    j2 = join_null_safe(d, p2.select(*keys, "_z", "_n", "_mx", "_my", "_sxx", "_b"), [*keys, "_z"])
     dx = F.col("_xc") - F.col("_mx")
     fitted = F.col("_b").isNotNull()
     # a side of two points is fit exactly: its residuals are 0, not float noise
@@ -155,7 +147,7 @@ def fit_wide(df: DataFrame, y: str, x: str, cutoff, keys: Sequence[str] = (),
         *[_side(c, z).alias(f"{c}{s}") for c in ("_n", "_a", "_b", "_mx", "_my", "_syy", "_sse", "_xmin", "_xmax")
           for z, s in ((0, "L"), (1, "R"))],
         F.first("_cut").alias("cutoff"))
-    w = sides.join(var, keys)
+    w = join_null_safe(sides, var, keys)
     nL, nR = F.coalesce(F.col("_nL"), F.lit(0)), F.coalesce(F.col("_nR"), F.lit(0))
     n = (nL + nR).cast("long")
     ybar = (F.coalesce(F.col("_myL") * nL, F.lit(0.0)) + F.coalesce(F.col("_myR") * nR, F.lit(0.0))) / n
@@ -204,9 +196,10 @@ def coefficients(wide: DataFrame, keys: Sequence[str] = (), with_pvalue: bool =
     long = wide.select(*keys, "cutoff", "nobs", "rsquared", "rsquared_adj", rows.alias("_t")).select(
         *keys, "cutoff", "_t.term", "_t.coef", "_t.bse", "nobs", "rsquared", "rsquared_adj")
     long = long.withColumn("z", F.when(F.col("bse") > 0, F.col("coef") / F.col("bse")))
-    if with_pvalue:
-        long = add_pvalue(long, "z", "pval").withColumn("stars", stars("pval"))
-    return long
+    # stars by the critical values of |z|: the long p-value expression is
+    # evaluated only where the p-value itself is asked for
+    long = long.withColumn("stars", stars_from_z("z"))
+    return add_pvalue(long, "z", "pval") if with_pvalue else long
 
 
 def fitted_line(wide: DataFrame, keys: Sequence[str] = (), points: int = FITTED_POINTS) -> DataFrame:
@@ -241,7 +234,7 @@ def _bucket(x: Column, start: Column, stop: Column, num: Column) -> Column:
 
 
 def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] = (),
-                 checkpoint_input: bool = True, few_models: bool | None = None) -> DataFrame:
+                 checkpoint_input: bool = True) -> DataFrame:
     """In-sample MSE and jump for every candidate cut-off of a grid, per model.
 
     ``grid`` is (start, stop, num) of a linspace; None uses the study's
@@ -252,10 +245,10 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
 
     Two shuffles: (1) rows are bucketed between grid points and each bucket
     keeps its count, means and centred second moments (Spark's stable
-    var_pop / covar_pop); (2) one window per model shifts those to a common
-    in-range reference (the first bucket's means) and accumulates them, and
-    every non-empty bucket emits the candidates up to the next one. Work is
-    O(rows + grid), never rows x grid.
+    var_pop / covar_pop); (2) a model's buckets (grid + 1 at most) are merged
+    pairwise from the left and from the right, without any subtraction of
+    sums, and every non-empty bucket emits the candidates up to the next one.
+    Work is O(rows + grid), never rows x grid.
     """
     keys, df, drop = _keyed(df, keys)
     d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
@@ -264,7 +257,7 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
     if grid is None:
         m = d.groupBy(*keys).agg(F.min("_x").alias("_gs"), F.max("_x").alias("_ge")) \
             .withColumn("_gn", F.lit(DEFAULT_GRID_POINTS))
-        d = d.join(_bc(m, _is_few(m, few_models)), keys)
+        d = join_null_safe(d, m, keys)
     else:
         gs, ge, gn = _grid_columns(grid)
         if grid[2] < 2:
@@ -278,77 +271,69 @@ def cutoff_curve(df: DataFrame, y: str, x: str, grid=None, keys: Sequence[str] =
         (F.covar_pop("_x", "_y") * F.count(F.lit(1))).alias("mxy"),
         F.min("_x").alias("xlo"), F.max("_x").alias("xhi"))
 
-    part = Window.partitionBy(*keys)
-    order = part.orderBy("_b")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pre = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = order.rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
-    # bucket sums about the model reference (parallel-axis shift of the
-    # bucket's centred moments); one select, so the plan is analysed once
-    rx, ry = F.first("mx").over(whole), F.first("my").over(whole)
-    n = F.col("n").cast("double")
-    bk = bk.select(*keys, "_b", "_gs", "_ge", "_gn", "n", "xlo", "xhi", "mx", "my", "mxx", "myy", "mxy",
-                   rx.alias("_rx"), ry.alias("_ry"))
-    du, dv = F.col("mx") - F.col("_rx"), F.col("my") - F.col("_ry")
-    shifted = {"n": F.col("n"), "su": n * du, "sv": n * dv, "suu": F.col("mxx") + n * du * du,
-               "svv": F.col("myy") + n * dv * dv, "suv": F.col("mxy") + n * du * dv}
-    bk = bk.select(*keys, "_b", "_gs", "_ge", "_gn", "_rx", "_ry", "xlo", "xhi",
-                   *[v.alias(k) for k, v in shifted.items() if k != "n"], "n")
-    stats = ("n", "su", "sv", "suu", "suv", "svv")
+    # at most grid + 1 buckets per model, in order
+    names = ("n", "mx", "my", "mxx", "myy", "mxy", "xlo", "xhi")
+    one = F.struct("_b", F.struct(F.col("n").cast("double").alias("n"), *names[1:]).alias("s"))
+    t = bk.groupBy(*keys, "_gs", "_ge", "_gn").agg(F.sort_array(F.collect_list(one)).alias("_a"))
+    stats = F.transform("_a", lambda e: e["s"])
+    t = t.withColumns({"_left": _running(stats), "_right": F.reverse(_running(F.reverse(stats)))})
     # candidates j in [b, next bucket) use the prefix through b; before the
     # first non-empty bucket the left side is empty
-    nxt = F.lead("_b").over(order)
-    lo = F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.col("_b"))
-    hi = F.least(F.coalesce(nxt, F.col("_gn")), F.col("_gn")) - 1
-    t = bk.select(
-        *keys, "_b", "_gs", "_ge", "_gn", "_rx", "_ry",
-        *[F.sum(c).over(pre).alias(f"P{c}") for c in stats],
-        *[F.sum(c).over(part).alias(f"T{c}") for c in stats],
-        F.min("xlo").over(pre).alias("Pxlo"), F.max("xhi").over(pre).alias("Pxhi"),
-        F.min("xlo").over(rest).alias("Qxlo"), F.max("xhi").over(rest).alias("Qxhi"),
-        F.min("xlo").over(part).alias("Txlo"), F.max("xhi").over(part).alias("Txhi"),
-        lo.alias("_lo"), hi.alias("_hi"),
-    )
-    t = t.select("*", F.explode(F.when(F.col("_hi") >= F.col("_lo"),
-                                       F.sequence(F.col("_lo"), F.col("_hi")))).alias("j"))
-    inside = F.col("j") >= F.col("_b")
-    left = {c: F.when(inside, F.col(f"P{c}")).otherwise(F.lit(0)) for c in stats}
-    t = t.select(
-        *keys, "j", "_rx", "_ry", "Tn",
-        *[v.alias(f"L{c}") for c, v in left.items()],
-        *[(F.col(f"T{c}") - v).alias(f"R{c}") for c, v in left.items()],
-        F.when(inside, F.col("Pxlo")).alias("Lxlo"), F.when(inside, F.col("Pxhi")).alias("Lxhi"),
-        F.when(inside, F.col("Qxlo")).otherwise(F.col("Txlo")).alias("Rxlo"),
-        F.when(inside, F.col("Qxhi")).otherwise(F.col("Txhi")).alias("Rxhi"),
-        linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("j")).alias("cutoff"),
-    )
-
-    def side(s: str) -> dict[str, str]:
-        """SQL text of one side's fit from its shifted sums (parsed once by Spark)."""
-        n = f"CAST({s}n AS DOUBLE)"
-        sxx = f"({s}suu - {s}su * {s}su / {n})"
-        sxy = f"({s}suv - {s}su * {s}sv / {n})"
-        syy = f"({s}svv - {s}sv * {s}sv / {n})"
-        full = f"({s}n >= 2 AND {s}xhi > {s}xlo)"
-        slope = f"(CASE WHEN {full} THEN {sxy} / {sxx} END)"
-        sse = f"(CASE WHEN {s}n = 0 THEN 0D WHEN {full} THEN {syy} - {slope} * {sxy} ELSE {syy} END)"
-        at_cut = f"((_ry + {s}sv / {n}) + {slope} * (cutoff - (_rx + {s}su / {n})))"
-        return {"sse": sse, "at": at_cut, "full": full}
-
-    L, R = side("L"), side("R")
-    return t.selectExpr(
-        *[f"`{k}`" for k in keys], "CAST(j AS INT) AS j", "cutoff",
-        f"({L['sse']} + {R['sse']}) / CAST(Tn AS DOUBLE) AS mse",
-        f"CASE WHEN {L['full']} AND {R['full']} THEN {R['at']} - {L['at']} END AS effect_Z",
-        f"NOT ({L['full']} AND {R['full']}) AS rank_deficient",
-    ).drop(*drop)
-
-
-def optimal_cutoff(curve: DataFrame, keys: Sequence[str] = (), tie_decimals: int = 12) -> DataFrame:
-    """Candidate with the smallest MSE per model; ties (to ``tie_decimals``) go
-    to the first candidate of the grid, as a strict '<' scan would pick."""
+    last = F.size("_a") - 1
+    at = F.explode(F.sequence(F.lit(-1), last)).alias("_i")
+    t = t.select(*keys, "_gs", "_ge", "_gn", "_a", "_left", "_right", at)
+    i = F.col("_i")
+    lo = F.when(i < 0, F.lit(0)).otherwise(F.get("_a", i)["_b"])
+    hi = F.least(F.coalesce(F.get("_a", i + 1)["_b"], F.col("_gn")), F.col("_gn")) - 1
+    t = t.select(*keys, "_gs", "_ge", "_gn", F.get("_left", i).alias("L"), F.get("_right", i + 1).alias("R"),
+                 F.explode(F.when(hi >= lo, F.sequence(lo, hi))).alias("j"))
+    t = t.withColumn("cutoff", linspace_point(F.col("_gs"), F.col("_ge"), F.col("_gn"), F.col("j")))
+
+    def side(s: str) -> tuple[Column, Column, Column]:
+        """(SSE, value at the cut-off, whether a line can be fit) of one side."""
+        c = F.col(s)
+        spread = c["xhi"] - c["xlo"]
+        full = F.coalesce((c["n"] >= 2) & (c["mxx"] > 0)
+                          & (spread > X_RESOLUTION * F.greatest(F.abs(c["xlo"]), F.abs(c["xhi"]))), F.lit(False))
+        slope = F.when(full, c["mxy"] / c["mxx"])
+        line = c["myy"] - slope * c["mxy"]
+        sse = (F.when(c.isNull() | (full & (line <= SSE_NOISE * c["myy"])), F.lit(0.0))
+               .when(full, line).otherwise(c["myy"]))
+        return sse, c["my"] + slope * (F.col("cutoff") - c["mx"]), full
+
+    (sse_l, at_l, ok_l), (sse_r, at_r, ok_r) = side("L"), side("R")
+    n = F.coalesce(F.col("L")["n"], F.lit(0.0)) + F.coalesce(F.col("R")["n"], F.lit(0.0))
+    return t.select(
+        *keys, F.col("j").cast("int").alias("j"), "cutoff", ((sse_l + sse_r) / n).alias("mse"),
+        F.when(ok_l & ok_r, at_r - at_l).alias("effect_Z"), (~(ok_l & ok_r)).alias("rank_deficient")).drop(*drop)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Count, means, centred moments and range of two sets together: only
+    additions of like-signed terms, so a narrow side loses nothing."""
+    n = a["n"] + b["n"]
+    dx, dy, w = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * b["n"] / n
+    return F.struct(
+        n.alias("n"), (a["mx"] + dx * b["n"] / n).alias("mx"), (a["my"] + dy * b["n"] / n).alias("my"),
+        (a["mxx"] + b["mxx"] + dx * dx * w).alias("mxx"), (a["myy"] + b["myy"] + dy * dy * w).alias("myy"),
+        (a["mxy"] + b["mxy"] + dx * dy * w).alias("mxy"),
+        F.least(a["xlo"], b["xlo"]).alias("xlo"), F.greatest(a["xhi"], b["xhi"]).alias("xhi"))
+
+
+def _running(stats: Column) -> Column:
+    """Merged statistics of the first 1, 2, ... elements of an array."""
+    kind = "array<struct<n:double,mx:double,my:double,mxx:double,myy:double,mxy:double,xlo:double,xhi:double>>"
+    return F.aggregate(stats, F.array().cast(kind), lambda acc, e: F.when(
+        F.size(acc) == 0, F.array(e)).otherwise(F.array_append(acc, _merged(F.element_at(acc, -1), e))).cast(kind))
+
+
+def optimal_cutoff(curve: DataFrame, keys: Sequence[str] = (), tie: float = TIE) -> DataFrame:
+    """Candidate with the smallest MSE per model. Candidates within the
+    relative tolerance ``tie`` of it are ties (equal but for float noise), and
+    the first of the grid wins, as a strict '<' scan would pick."""
     keys, curve, drop = _keyed(curve, keys)
-    key = F.struct(round_half_away(F.col("mse"), tie_decimals).alias("m"), F.col("j").alias("j"))
-    best = curve.groupBy(*keys).agg(F.min(key).alias("_best"))
-    return curve.join(best, keys).where(F.col("j") == F.col("_best.j")).select(
-        *keys, "j", "cutoff", "mse", "effect_Z", "rank_deficient").drop(*drop)
+    least = F.min("mse").over(Window.partitionBy(*keys))  # a grid's rows per model
+    row = F.struct("j", "cutoff", "mse", "effect_Z", "rank_deficient")
+    near = curve.withColumn("_least", least).where(F.col("mse") <= F.col("_least") * (1 + tie))
+    best = near.groupBy(*keys).agg(F.min_by(row, F.col("j")).alias("_best"))
+    return best.select(*keys, "_best.*").drop(*drop)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    fmt_bse, fmt_coef, fmt_fixed, fmt_nobs, fmt_rsquared, fmt_share_pct, fmt_thousands, stars,
+    fmt_bse, fmt_coef, fmt_fixed, fmt_nobs, fmt_rsquared, fmt_share_pct, fmt_thousands,
 )
 from ..schema import MONEYNESS, PANEL_TITLES, QUANTILE_LABELS, TERM_ORDER
 
@@ -57,16 +57,17 @@ def _term_lines(coef: DataFrame, terms: Sequence[str], coef_text, se_text,
 def model_comparison(coef: DataFrame, models: Mapping[str, str], decimals: int = 2,
                      terms: Sequence[str] = TERM_ORDER) -> DataFrame:
     """Side-by-side models: per term a coefficient line (with stars) and an
-    s.e. line in parentheses, then R-squared and adjusted R-squared.
+    s.e. line in parentheses, then R-squared, adjusted R-squared and N.
 
     ``coef`` is the long coefficient table with a ``model`` column and
-    ``pval``; ``models`` maps model keys to output column names, in order.
+    ``stars``; ``models`` maps model keys to output column names, in order.
     """
     c, b = F.col("coef"), F.col("bse")
-    coef_text = F.when(c.isNull(), "").otherwise(F.concat(fmt_fixed(c, decimals), stars(F.col("pval"))))
+    coef_text = F.when(c.isNull(), "").otherwise(F.concat(fmt_fixed(c, decimals), F.col("stars")))
     se_text = F.when(b.isNull(), "").otherwise(F.concat(F.lit("("), fmt_fixed(b, decimals), F.lit(")")))
     footer = [("R-squared", fmt_fixed(F.col("rsquared"), decimals)),
-              ("R-squared Adj.", fmt_fixed(F.col("rsquared_adj"), decimals))]
+              ("R-squared Adj.", fmt_fixed(F.col("rsquared_adj"), decimals)),
+              ("N", fmt_nobs(F.col("nobs")))]
     return _pivot_models(_term_lines(coef, terms, coef_text, se_text, footer), models)
 
 
@@ -89,7 +90,7 @@ def regression_table(coef: DataFrame, models: Mapping[str, str], rows: Sequence[
             fe = F.when(F.col("model") == m, v) if fe is None else fe.when(F.col("model") == m, v)
         footer.append((fe_label, fe.otherwise("") if fe is not None else F.lit("")))
     skip = F.col("model").isin(*skip_models) if skip_models else None
-    long = _term_lines(coef, rows, fmt_coef("coef", "pval"), fmt_bse("bse"), footer, skip)
+    long = _term_lines(coef, rows, fmt_coef("coef", "stars"), fmt_bse("bse"), footer, skip)
     return _pivot_models(long, models)
 
 

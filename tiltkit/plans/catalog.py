@@ -28,16 +28,16 @@ from ..operators import imbalance as imb
 from ..operators import panel as pnl
 from ..operators import tables as tb
 from ..schema import (
-    CLASSES, MATURITIES, MEASURES, MONEYNESS, PANEL_KEYS, QUANTILES, RDD_CLASSES, TABLE_CLASSES,
+    CLASSES, MATURITIES, MEASURES, MONEYNESS, PANEL_KEYS, QUANTILES, RDD_CLASSES, SHORT_MATURITIES, TABLE_CLASSES,
     dollar_col, trade_col,
 )
 from ..sources import starschema as ss
 from . import oracle as orc
 
 # Parameters of the registered queries on the generated data (the study's
-# own 6.3 / 6.7 and (3, 7) stay the library defaults): the short maturity
-# buckets are too thin at small scale factors, so the fit uses 30-90 days.
-FIX_MATURITIES = ("30_90_days",)
+# own 6.3 / 6.7 and (3, 7) stay the library defaults); the maturities are the
+# study's short ones.
+FIX_MATURITIES = SHORT_MATURITIES
 FIX_CUTOFF = 8.0
 FIX_GRID = (7.5, 8.5, 100)
 
@@ -78,9 +78,6 @@ def short(spark: SparkSession, sf: str) -> DataFrame:
     return imb.short_dated(joined, maturities=FIX_MATURITIES)
 
 
-RDD_INVESTORS = tuple(dollar_col(c) for c in RDD_CLASSES)
-
-
 def curve(spark: SparkSession, sf: str, x: str = "ln_prc", flags=("C", "P")) -> DataFrame:
     s = short(spark, sf).where(F.col("cp_flag").isin(*flags))
     return imb.imbalance_curve(s, x, {c: dollar_col(c) for c in RDD_CLASSES})
@@ -215,19 +212,18 @@ def joined(spark, sf):
 
 
 def q_stock_panel_join(spark, sf):
-    j = joined(spark, sf).select(*PANEL_KEYS, "delta_moneyness", "comnam", "mcap", "prc")
-    return rounded(rounded(j, ["mcap"], MCAP_DP), ["prc"], RATIO_DP)
+    j = joined(spark, sf).select(*PANEL_KEYS, "delta_moneyness", "comnam", "mcap", "prc", *MEASURES)
+    return rounded(rounded(rounded(j, ["mcap"], MCAP_DP), ["prc"], RATIO_DP), DOLLARS, RAW_DP)
 
 
 SHORT_COLS = ("date", "ticker", "cp_flag", "f_k_moneyness", "maturity", "f_k", "impl_volatility",
               "delta", "prc", "mcap", "ln_prc", "ln_mcap", "ln_impl_volatility")
-SHORT_MONEY = tuple(dollar_col(c) for c in RDD_CLASSES)
 
 
 def q_short_dated_filter(spark, sf):
-    s = short(spark, sf).select(*SHORT_COLS, *SHORT_MONEY)
+    s = short(spark, sf).select(*SHORT_COLS, *MEASURES)
     return rounded(rounded(s, ["ln_prc", "ln_mcap", "ln_impl_volatility"], RATIO_DP),
-                   SHORT_MONEY, RAW_DP)
+                   DOLLARS, RAW_DP)
 
 
 def q_imbalance_by_mcap(spark, sf):
@@ -406,7 +402,8 @@ FROM option_month GROUP BY ALL""")
 
 def o_forward_moneyness():
     fk = ("(CASE WHEN strike_price <> 0 THEN forward_price / strike_price "
-          "WHEN forward_price > 0 THEN 'inf'::DOUBLE WHEN forward_price < 0 THEN '-inf'::DOUBLE END)")
+          "WHEN strike_price = 0 AND forward_price > 0 THEN 'inf'::DOUBLE "
+          "WHEN strike_price = 0 AND forward_price < 0 THEN '-inf'::DOUBLE END)")
     return orc.with_ctes([orc.option_month_cte()], f"""
 SELECT CASE WHEN {fk} > 0.975::DOUBLE AND {fk} < 1.025::DOUBLE THEN 'atm'
             WHEN {fk} <= 0.975::DOUBLE AND cp_flag = 'P' THEN 'itm'
@@ -438,10 +435,15 @@ SELECT ticker, count(*) AS n_rows FROM option_month
 WHERE ticker IN (SELECT ticker FROM stock_daily) GROUP BY ticker""")
 
 
+def _measures() -> str:
+    return ", ".join(f"{R(m, RAW_DP)} AS {m}" if m in DOLLARS else m for m in MEASURES)
+
+
 def o_stock_panel_join():
     keys = ", ".join(PANEL_KEYS)
     return orc.with_ctes(orc.base_ctes() + [orc.joined_cte()], f"""
-SELECT {keys}, delta_moneyness, comnam, {R('mcap', MCAP_DP)} AS mcap, {R('prc', RATIO_DP)} AS prc
+SELECT {keys}, delta_moneyness, comnam, {R('mcap', MCAP_DP)} AS mcap, {R('prc', RATIO_DP)} AS prc,
+       {_measures()}
 FROM joined""")
 
 
@@ -449,7 +451,7 @@ def o_short_dated_filter():
     cols = []
     for c in SHORT_COLS:
         cols.append(f"{R(c, RATIO_DP)} AS {c}" if c.startswith("ln_") else c)
-    cols += [f"{R(c, RAW_DP)} AS {c}" for c in SHORT_MONEY]
+    cols.append(_measures())
     return orc.with_ctes(orc.base_ctes() + [orc.joined_cte(), orc.short_cte(FIX_MATURITIES)],
                          f"SELECT {', '.join(cols)} FROM short")
 

@@ -14,6 +14,8 @@ from . import oracle as orc
 
 KEYS = ("cp_flag", "investor")
 MCAP_CUTOFF = 1.5
+# Cut-off of each class in the class-by-flag models (the study's differ by class too).
+CLASS_CUTOFFS = {"customer_100": 8.0, "professional": 7.9, "firm": 8.2}
 MCAP_GRID = (0.5, 2.5, 61)
 COEF_DP, Z_DP, MSE_DP = 6, 4, 9
 R = C._sql_round
@@ -25,7 +27,7 @@ def _price_curve(spark, sf):
 
 def _fit(spark, sf, x="ln_prc", cutoff=C.FIX_CUTOFF, flags=("C", "P")):
     cur = C.curve(spark, sf, x, flags)
-    return rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, few_models=True)
+    return rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS)
 
 
 def _coef_out(long):
@@ -43,8 +45,7 @@ def q_rdd_price_cluster(spark, sf):
     s = C.short(spark, sf)
     per_ticker = imb.imbalance_by_ticker(s, "ln_prc", {c: dollar_col(c) for c in RDD_CLASSES}) \
         .where(F.col("ln_prc").isNotNull())
-    wide = rdd.fit_wide(per_ticker, "itm_otm", "ln_prc", C.FIX_CUTOFF, keys=KEYS, cluster="ticker",
-                        few_models=True)
+    wide = rdd.fit_wide(per_ticker, "itm_otm", "ln_prc", C.FIX_CUTOFF, keys=KEYS, cluster="ticker")
     return _coef_out(rdd.coefficients(wide, KEYS))
 
 
@@ -59,23 +60,22 @@ def _curve_out(df):
 
 
 def q_cutoff_mse_curve(spark, sf):
-    return _curve_out(rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS,
-                                       few_models=True))
+    return _curve_out(rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS))
 
 
 def q_optimal_cutoff(spark, sf):
-    cur = rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS, few_models=True)
+    cur = rdd.cutoff_curve(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS)
     return _curve_out(rdd.optimal_cutoff(cur, KEYS))
 
 
 def _summary(cur, x, cutoff, grid):
     """Fit at the cut-off plus the MSE-optimal cut-off, one row per model."""
     cur = rdd.materialize(cur)  # one curve for the fit and the search
-    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, checkpoint_input=False, few_models=True)
+    wide = rdd.fit_wide(cur, "itm_otm", x, cutoff, keys=KEYS, checkpoint_input=False)
     z = rdd.coefficients(wide, KEYS).where(F.col("term") == "Z").select(
         *KEYS, "cutoff", "nobs", F.col("coef").alias("effect_Z"), F.col("bse").alias("bse_Z"),
         F.col("z").alias("z_Z"), F.col("stars").alias("stars_Z"), "rsquared")
-    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS, checkpoint_input=False, few_models=True),
+    best = rdd.optimal_cutoff(rdd.cutoff_curve(cur, "itm_otm", x, grid, KEYS, checkpoint_input=False),
                               KEYS).select(
         *KEYS, F.col("cutoff").alias("optimal_cutoff"), F.col("mse").alias("optimal_mse"),
         F.col("effect_Z").alias("optimal_effect_Z"))
@@ -85,7 +85,8 @@ def _summary(cur, x, cutoff, grid):
 
 
 def q_rdd_by_class_and_flag(spark, sf):
-    return _summary(_price_curve(spark, sf), "ln_prc", C.FIX_CUTOFF, C.FIX_GRID)
+    of_class = F.create_map(*[F.lit(v) for kv in CLASS_CUTOFFS.items() for v in kv])[F.col("investor")]
+    return _summary(_price_curve(spark, sf), "ln_prc", of_class, C.FIX_GRID)
 
 
 def q_rdd_mcap(spark, sf):
@@ -111,12 +112,19 @@ def _stars_sql(z: str) -> str:
     return f"CASE {parts} ELSE '' END"
 
 
-def _fit_ctes(src: str, cutoff: float, cluster: str | None = None) -> list[str]:
+def _sql_cutoff(cutoff) -> str:
+    """A number, or one number per class."""
+    if not isinstance(cutoff, dict):
+        return f"{float(cutoff)!r}::DOUBLE"
+    return "(CASE investor " + " ".join(f"WHEN '{c}' THEN {float(v)!r}::DOUBLE" for c, v in cutoff.items()) + " END)"
+
+
+def _fit_ctes(src: str, cutoff, cluster: str | None = None) -> list[str]:
     g = f", {cluster} AS g" if cluster else ""
     ctes = [f"""
 d AS (
   SELECT cp_flag, investor, x, itm_otm AS y {g},
-         CASE WHEN x >= {cutoff!r} THEN 1 ELSE 0 END AS z, x - {cutoff!r} AS xc
+         CASE WHEN x >= {_sql_cutoff(cutoff)} THEN 1 ELSE 0 END AS z, x - {_sql_cutoff(cutoff)} AS xc
   FROM {src}
 )""", """
 side AS (
@@ -252,13 +260,17 @@ gside AS (
          CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_intercept(y, xc) END AS a, avg(y) AS my
   FROM gd GROUP BY ALL
 )""", """
-gsse AS (
-  SELECT gd.cp_flag, gd.investor, gd.j, gd.c,
+gpart AS (
+  SELECT gd.cp_flag, gd.investor, gd.j, gd.c, gd.z, count(*) AS n,
          sum(power(CASE WHEN s.b IS NOT NULL THEN gd.y - s.a - s.b * gd.xc ELSE gd.y - s.my END, 2)) AS sse,
-         count(*) AS n
+         sum(power(gd.y - s.my, 2)) AS syy
   FROM gd JOIN gside s USING (cp_flag, investor, j, z)
   GROUP BY ALL
 )""", """
+gsse AS (
+  SELECT cp_flag, investor, j, c, sum(CASE WHEN sse <= 1e-12 * syy THEN 0 ELSE sse END) AS sse, sum(n) AS n
+  FROM gpart GROUP BY ALL
+)""", """
 gcurve AS (
   SELECT e.cp_flag, e.investor, e.j, e.c AS cutoff, e.sse / e.n AS mse,
          CASE WHEN l.b IS NOT NULL AND r.b IS NOT NULL THEN r.a - l.a END AS effect_Z,
@@ -279,21 +291,21 @@ def o_cutoff_mse_curve():
                          f"SELECT {_curve_cols()} FROM gcurve")
 
 
-_BEST = ("QUALIFY row_number() OVER (PARTITION BY cp_flag, investor "
-         "ORDER BY round(mse * 1e12) / 1e12, j) = 1")
+_BEST = ("(SELECT * EXCLUDE (least) FROM (SELECT *, min(mse) OVER (PARTITION BY cp_flag, investor) AS least FROM gcurve) "
+         "WHERE mse <= least * (1 + 1e-9) QUALIFY row_number() OVER (PARTITION BY cp_flag, investor ORDER BY j) = 1)")
 
 
 def o_optimal_cutoff():
     return orc.with_ctes(_curve_ctes("ln_prc") + _grid_ctes("curve", C.FIX_GRID),
-                         f"SELECT {_curve_cols()} FROM gcurve {_BEST}")
+                         f"SELECT {_curve_cols()} FROM {_BEST}")
 
 
 def _o_summary(x, cutoff, grid, flags):
     src = f"(SELECT * FROM curve WHERE cp_flag IN {orc._in(flags)})"
     ctes = _curve_ctes(x) + _fit_ctes(src, cutoff) + _grid_ctes(src, grid) + [
-        f"best AS (SELECT * FROM gcurve {_BEST})"]
+        f"best AS {_BEST}"]
     return orc.with_ctes(ctes, f"""
-SELECT c.cp_flag, c.investor, {cutoff!r}::DOUBLE AS cutoff, c.nobs,
+SELECT c.cp_flag, c.investor, {_sql_cutoff(cutoff).replace("investor", "c.investor")} AS cutoff, c.nobs,
        {R('c.coef', COEF_DP)} AS effect_Z, {R('c.bse', COEF_DP)} AS bse_Z, {R('c.zstat', Z_DP)} AS z_Z,
        {_stars_sql('c.zstat')} AS stars_Z, {R('c.r2', COEF_DP)} AS rsquared,
        {R('b.cutoff', COEF_DP)} AS optimal_cutoff, {R('b.mse', MSE_DP)} AS optimal_mse,
@@ -303,7 +315,7 @@ WHERE c.term = 'Z'""")
 
 
 def o_rdd_by_class_and_flag():
-    return _o_summary("ln_prc", C.FIX_CUTOFF, C.FIX_GRID, ("C", "P"))
+    return _o_summary("ln_prc", CLASS_CUTOFFS, C.FIX_GRID, ("C", "P"))
 
 
 def o_rdd_mcap():

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from ..schema import CLASS_SOURCES, MEASURES, PANEL_KEYS, dollar_col, trade_col
 from ..sources.starschema import (
-    DTM_MODULUS, SEGMENT_CLASS, STOCK_EXCLUDED_BRANDS,
+    DTM_MODULUS, NO_MATURITY_EVERY, NO_STRIKE_EVERY, NO_VOLUME_EVERY, SEGMENT_CLASS, STOCK_EXCLUDED_BRANDS,
+    STOCK_GAP_EVERY, STOCK_HIGH_EVERY, STOCK_HIGH_FACTOR,
 )
 
 
@@ -33,7 +34,7 @@ def _segments(cls: str) -> str:
 def _vol(cls: str, side: str) -> str:
     flags = "('A', 'N')" if side == "buy" else "('R')"
     return (f"CASE WHEN c_mktsegment IN {_segments(cls)} THEN "
-            f"(CASE WHEN l_returnflag IN {flags} THEN l_quantity ELSE 0.0::DOUBLE END) "
+            f"(CASE WHEN l_returnflag IN {flags} AND l_orderkey % {NO_VOLUME_EVERY} <> 0 THEN l_quantity ELSE 0.0::DOUBLE END) "
             f"ELSE 0.0::DOUBLE END")
 
 
@@ -48,9 +49,10 @@ option_month AS (
     CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
     p_brand AS ticker,
     CASE l_linestatus WHEN 'F' THEN 'C' WHEN 'O' THEN 'P' END AS cp_flag,
-    CAST(abs(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE)) % {DTM_MODULUS} AS INTEGER) AS dtm,
+    CAST(CASE WHEN l_orderkey % {NO_MATURITY_EVERY} = 0 THEN -1
+         ELSE abs(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE)) % {DTM_MODULUS} END AS INTEGER) AS dtm,
     CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS forward_price,
-    p_retailprice * 2.2::DOUBLE AS strike_price,
+    CASE WHEN p_partkey % {NO_STRIKE_EVERY} <> 0 THEN p_retailprice * 2.2::DOUBLE END AS strike_price,
     l_tax * 10.0::DOUBLE AS impl_volatility,
     CASE l_linestatus WHEN 'F' THEN l_discount * 10.0::DOUBLE
                       WHEN 'O' THEN -(l_discount * 10.0::DOUBLE) END AS delta,
@@ -77,15 +79,20 @@ option_month AS (
 
 def stock_daily_cte() -> str:
     return f"""
-stock_daily AS (
+stock_all AS (
   SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
          p_brand AS ticker,
-         p_brand AS comnam,
-         avg(CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END) AS prc,
+         avg(CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END) AS avg_price,
          sum(l_quantity) AS shrout
   FROM lineitem JOIN part ON l_partkey = p_partkey
   WHERE p_brand NOT IN {_in(STOCK_EXCLUDED_BRANDS)}
   GROUP BY 1, 2
+),
+stock_daily AS (
+  SELECT date, ticker, ticker AS comnam,
+         avg_price * CASE WHEN turn % {STOCK_HIGH_EVERY} = 0 THEN {_f(STOCK_HIGH_FACTOR)} ELSE 1.0::DOUBLE END AS prc, shrout
+  FROM (SELECT *, 12 * year(date) + month(date) + CAST(substr(ticker, 7) AS INTEGER) AS turn FROM stock_all)
+  WHERE turn % {STOCK_GAP_EVERY} <> 0
 )"""
 
 
@@ -99,7 +106,8 @@ def _rha(expr: str, decimals: int) -> str:
 
 def classified_cte() -> str:
     fk = ("(CASE WHEN strike_price <> 0 THEN forward_price / strike_price "
-          "WHEN forward_price > 0 THEN 'inf'::DOUBLE WHEN forward_price < 0 THEN '-inf'::DOUBLE END)")
+          "WHEN strike_price = 0 AND forward_price > 0 THEN 'inf'::DOUBLE "
+          "WHEN strike_price = 0 AND forward_price < 0 THEN '-inf'::DOUBLE END)")
     vols = []
     for cls, (buy, sell) in CLASS_SOURCES.items():
         vols.append(f"({buy} + {sell}) AS {trade_col(cls)}")

@@ -13,8 +13,8 @@ from . import oracle as orc
 MODELS = {f"{c}_{f}": f"{c}_{f}" for f in ("C", "P") for c in RDD_CLASSES}
 
 
-def _coef(spark, sf):
-    long = rdd.coefficients(D._fit(spark, sf), D.KEYS)
+def _coef(spark, sf, with_pvalue=False):
+    long = rdd.coefficients(D._fit(spark, sf), D.KEYS, with_pvalue)
     return long.withColumn("model", F.concat_ws("_", "investor", "cp_flag"))
 
 
@@ -27,7 +27,7 @@ def q_regression_table(spark, sf):
 
 
 def q_significance_stars(spark, sf):
-    c = _coef(spark, sf).select(*D.KEYS, "term", "z", "pval", "stars")
+    c = _coef(spark, sf, with_pvalue=True).select(*D.KEYS, "term", "z", "pval", "stars")
     return C.rounded(C.rounded(c, ["z"], D.Z_DP), ["pval"], D.COEF_DP)
 
 
@@ -68,6 +68,8 @@ def o_model_comparison():
                  f"FROM mc WHERE term = 'Z'")
     parts.append(f"SELECT model, {i + 1} AS line_no, 'R-squared Adj.' AS row_label, "
                  f"printf('%.2f', r2a) AS text FROM mc WHERE term = 'Z'")
+    parts.append(f"SELECT model, {i + 2} AS line_no, 'N' AS row_label, format('{{:,.0f}}', nobs::DOUBLE) AS text "
+                 f"FROM mc WHERE term = 'Z'")
     return orc.with_ctes(_fit_sql(), _pivot("\n UNION ALL ".join(parts)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # no Python call-site capture per Column call (driver-side cost only)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -36,8 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when none is set.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system). Only when the session names none (local tests) a fresh
-    temporary folder is used.
+    file system), and a session that names none is an error. Only a local
+    master (tests, bench) gets a fresh temporary folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -50,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tiltkit-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return sc.getCheckpointDir()
@@ -64,18 +68,3 @@ def materialize(df):
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df, factor: int = 2):
-    """Round-robin a scan that has fewer input files than the session has cores.
-
-    Generated single-file tables hold one row group, which one task would
-    read and push through the whole stage; a table of many files (any real
-    one) is left alone, so this costs nothing at scale.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001
-        return df
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores * factor)
-    return df

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import safe_ratio
-from ..session import spread
 
 # --------------------------------------------------------------------------
 # Fixed values of the test-data mapping.
@@ -32,6 +31,13 @@ BUY_FLAGS = ("A", "N")
 SELL_FLAGS = ("R",)
 # Brands left out of the stock panel, so the left and semi joins have misses.
 STOCK_EXCLUDED_BRANDS = ("Brand#5", "Brand#10", "Brand#15", "Brand#20", "Brand#25")
+# Every so many order keys / part keys have a day to maturity of -1, no
+# volume, or no strike price, so that the 'nan' labels, HAVING and NULL ratios
+# have rows.
+NO_MATURITY_EVERY, NO_VOLUME_EVERY, NO_STRIKE_EVERY = 97, 13, 89
+# Stock months (12 * year + month + brand number) left out, and with prices
+# above any limit, so that the left join has misses and the price filter drops.
+STOCK_GAP_EVERY, STOCK_HIGH_EVERY, STOCK_HIGH_FACTOR = 11, 17, 1000.0
 # Days to maturity wrap at this modulus.
 DTM_MODULUS = 181
 STRIKE_FACTOR = 2.2
@@ -72,10 +78,10 @@ def _class_volume(segment: F.Column, side: F.Column, cls: str) -> F.Column:
 
 def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders x customer x part as monthly option quotes and volumes."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-    ))
+    )
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
@@ -90,8 +96,9 @@ def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
     cp, fwd = F.col("_cp"), F.col("_fwd")
     disc = F.col("l_discount") * DELTA_FACTOR
-    buy = F.when(F.col("l_returnflag").isin(*BUY_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
-    sell = F.when(F.col("l_returnflag").isin(*SELL_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
+    traded = F.col("l_orderkey") % NO_VOLUME_EVERY != 0
+    buy = F.when(traded & F.col("l_returnflag").isin(*BUY_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
+    sell = F.when(traded & F.col("l_returnflag").isin(*SELL_FLAGS), F.col("l_quantity")).otherwise(F.lit(0.0))
     seg = F.col("c_mktsegment")
 
     def pair(cls):
@@ -104,10 +111,10 @@ def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         _month(F.col("l_shipdate")).alias("date"),
         F.col("p_brand").alias("ticker"),
         cp.alias("cp_flag"),
-        (F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))) % DTM_MODULUS)
-        .cast("int").alias("dtm"),
+        F.when(F.col("l_orderkey") % NO_MATURITY_EVERY == 0, F.lit(-1)).otherwise(
+            F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))) % DTM_MODULUS).cast("int").alias("dtm"),
         fwd.alias("forward_price"),
-        (F.col("p_retailprice") * STRIKE_FACTOR).alias("strike_price"),
+        F.when(F.col("p_partkey") % NO_STRIKE_EVERY != 0, F.col("p_retailprice") * STRIKE_FACTOR).alias("strike_price"),
         (F.col("l_tax") * IV_FACTOR).alias("impl_volatility"),
         F.when(cp == "C", disc).when(cp == "P", -disc).alias("delta"),
         (fwd * (1.0 - F.col("l_discount"))).alias("best_bid"),
@@ -128,17 +135,16 @@ def option_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock panel per (month, brand): price = mean unit price, shares = quantity."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    """Stock panel per (month, brand): price = mean unit price, shares = quantity.
+    Some months are missing, some have a price above any limit."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand") \
         .where(~F.col("p_brand").isin(*STOCK_EXCLUDED_BRANDS))
     j = li.join(pa, li.l_partkey == pa.p_partkey)
-    return (
-        j.groupBy(_month(F.col("l_shipdate")).alias("date"), F.col("p_brand").alias("ticker"))
-        .agg(
-            F.avg(safe_ratio("l_extendedprice", "l_quantity")).alias("prc"),
-            F.sum("l_quantity").alias("shrout"),
-        )
-        .select("date", "ticker", F.col("ticker").alias("comnam"), "prc", "shrout")
-    )
+    months = j.groupBy(_month(F.col("l_shipdate")).alias("date"), F.col("p_brand").alias("ticker")).agg(
+        F.avg(safe_ratio("l_extendedprice", "l_quantity")).alias("prc"), F.sum("l_quantity").alias("shrout"))
+    turn = 12 * F.year("date") + F.month("date") + F.substring("ticker", 7, 4).cast("int")
+    high = F.when(turn % STOCK_HIGH_EVERY == 0, F.lit(STOCK_HIGH_FACTOR)).otherwise(F.lit(1.0))
+    return months.where(turn % STOCK_GAP_EVERY != 0).select(
+        "date", "ticker", F.col("ticker").alias("comnam"), (F.col("prc") * high).alias("prc"), "shrout")

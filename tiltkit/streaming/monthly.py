@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.joins import bounded_broadcast
 from ..operators.panel import aggregate_panel, classify_options
 from ..schema import OPTION_MONTH
 from ..session import materialize
@@ -39,11 +38,11 @@ def panel_stream(spark: SparkSession, source_dir: str, universe: DataFrame, outp
     """Start the stream; returns the running query (``awaitTermination`` it).
 
     ``universe`` (a frame with ``ticker``) is reduced to its distinct names
-    once and broadcast under the size bound of ``bounded_broadcast``.
+    once; the join of each batch is left to the planner.
     ``checkpoint_dir`` must be on a shared file system on a cluster.
     """
     # the universe is reduced and written once, not recomputed per micro-batch
-    tickers = bounded_broadcast(materialize(universe.select("ticker").distinct()))
+    tickers = materialize(universe.select("ticker").distinct())
 
     def write_month(batch: DataFrame, batch_id: int) -> None:
         kept = batch.join(tickers, "ticker", "left_semi")
