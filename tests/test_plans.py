@@ -30,10 +30,10 @@ def built(spark):
     return {k: q(spark, SF001) for k, q in registry.queries().items()}
 
 
-def test_every_query_has_an_oracle_but_the_approximate_one():
+def test_every_query_has_an_oracle():
     qs, sql = registry.queries(), registry.oracles()
     assert set(sql) <= set(qs) <= set(E.queries())
-    assert set(qs) - set(sql) == {"volume_distribution_approx"}
+    assert set(qs) == set(sql)
 
 
 def test_no_python_udf_anywhere(built):

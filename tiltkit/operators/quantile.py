@@ -144,6 +144,21 @@ def approx_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         "value", *extra)
 
 
+def rank_errors(df: DataFrame, group_cols: Sequence[str], value_col: str, quantiles: DataFrame,
+                accuracy: int = 10000) -> DataFrame:
+    """(group..., q, n, within): whether each approximate quantile lies within
+    n / accuracy ranks of its target rank (n - 1) * q, by counting."""
+    keys = list(group_cols)
+    rows = df.select(*keys, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    j = join_null_safe(rows, quantiles.select(*keys, "q", F.col("value").alias("_q")), keys)
+    c = j.groupBy(*keys, "q").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("_v") < F.col("_q")).cast("long")).alias("_lt"),
+        F.sum((F.col("_v") <= F.col("_q")).cast("long")).alias("_le"))
+    target, slack = (F.col("n") - 1) * F.col("q"), F.col("n") / accuracy + 1
+    within = (F.col("_lt") <= target + slack) & (F.col("_le") - 1 >= target - slack)
+    return c.select(*keys, "q", "n", within.alias("within"))
+
+
 def wide_quantiles(long: DataFrame, group_cols: Sequence[str], qs: Sequence[float],
                    names: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Long (group, q, value) -> one column per quantile (conditional aggregation)."""

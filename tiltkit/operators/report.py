@@ -112,3 +112,8 @@ def distribution_panel(dist: DataFrame) -> DataFrame:
     m = F.col("f_k_moneyness")
     return long.groupBy("cp_flag", "panel", "investor", "stat_order", "stat").agg(
         *[F.first(F.when(m == lbl, F.col("text")), ignorenulls=True).alias(lbl) for lbl in MONEYNESS])
+
+
+def share_cells(avg: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Average shares (in percent after ``* 100``) as '(NN\\%)' cells."""
+    return avg.select("f_k_moneyness", "cp_flag", *[fmt_share_pct(F.col(c) * 100.0).alias(c) for c in columns])

@@ -82,6 +82,21 @@ def volume_distribution(daily: DataFrame, columns: Mapping[str, str] | None = No
     return out.where(F.col("f_k_moneyness").isin(*MONEYNESS))
 
 
+SIDE_STATS = ("mean", *QCOLS, "total", "share_pct")
+
+
+def side_by_side(dist: DataFrame, classes: Sequence[str] = TABLE_CLASSES) -> DataFrame:
+    """The class tables side by side: one row per (flag, statistic), one column
+    per class and moneyness. The columns are a closed list, so this is one
+    conditional aggregation over a table of a few rows per class."""
+    stats = F.inline(F.array(*[F.struct(F.lit(i).alias("stat_order"), F.lit(c).alias("stat"), F.col(c).alias("v"))
+                               for i, c in enumerate(SIDE_STATS)]))
+    long = dist.select("cp_flag", "investor", "f_k_moneyness", stats)
+    at = lambda c, m: F.max(F.when((F.col("investor") == c) & (F.col("f_k_moneyness") == m), F.col("v")))
+    return long.groupBy("cp_flag", "stat_order", "stat").agg(
+        *[at(c, m).alias(f"{c}_{m}") for c in classes for m in MONEYNESS])
+
+
 def share_distribution(shares: DataFrame, classes: Sequence[str] = TABLE_CLASSES) -> DataFrame:
     """The distribution table over daily moneyness shares (in place of volumes)."""
     return volume_distribution(shares, dollar_classes(classes, "_f_k_pct"))

@@ -26,6 +26,7 @@ from ..functions.buckets import delta_moneyness, forward_moneyness, maturity_buc
 from ..functions.numeric import ieee_ratio
 from ..operators import imbalance as imb
 from ..operators import panel as pnl
+from ..operators import quantile, report
 from ..operators import tables as tb
 from ..schema import (
     CLASSES, MATURITIES, MEASURES, MONEYNESS, PANEL_KEYS, QUANTILES, RDD_CLASSES, SHORT_MATURITIES, TABLE_CLASSES,
@@ -143,7 +144,19 @@ def q_volume_distribution(spark, sf):
 
 
 def q_volume_distribution_approx(spark, sf):
-    return _dist_out(tb.volume_distribution(daily(spark, sf), exact=False))
+    """Rank check of the approximate quantiles (their values are a sketch's)."""
+    long = tb.class_long(daily(spark, sf).where(F.col("cp_flag").isin("C", "P") & F.col("f_k_moneyness").isin(*MONEYNESS)),
+                         ["cp_flag", "f_k_moneyness"], tb.dollar_classes()).where(F.col("value") > 0)
+    g = ["investor", "cp_flag", "f_k_moneyness"]
+    return quantile.rank_errors(long, g, "value", quantile.approx_quantiles(long, g, "value", QUANTILES))
+
+
+def q_class_tables_side_by_side(spark, sf):
+    return tb.side_by_side(q_volume_distribution(spark, sf))
+
+
+def q_avg_share_cells(spark, sf):
+    return report.share_cells(q_avg_moneyness_share(spark, sf), PCT)
 
 
 def q_share_distribution(spark, sf):
@@ -286,6 +299,29 @@ def o_volume_distribution():
                      {c: dollar_col(c) for c in TABLE_CLASSES}, SCALED_DP, SCALED_MEAN_DP)
 
 
+def o_volume_distribution_approx():
+    union = _classes_union("daily", "cp_flag, f_k_moneyness", {c: dollar_col(c) for c in TABLE_CLASSES})
+    qs = ", ".join(f"({q!r}::DOUBLE)" for q in QUANTILES)
+    return orc.with_ctes(orc.base_ctes() + [daily_cte()], f"""
+SELECT investor, cp_flag, f_k_moneyness, q, count(*) AS n, TRUE AS within
+FROM ({union}), (VALUES {qs}) v(q)
+WHERE value > 0 AND cp_flag IN ('C', 'P') AND f_k_moneyness IN ('itm', 'otm', 'atm')
+GROUP BY investor, cp_flag, f_k_moneyness, q""")
+
+
+def o_class_tables_side_by_side():
+    long = " UNION ALL ".join(f"SELECT cp_flag, investor, f_k_moneyness, {i} AS stat_order, '{c}' AS stat, {c} AS v FROM dist"
+                              for i, c in enumerate(tb.SIDE_STATS))
+    cols = ", ".join(f"max(CASE WHEN investor = '{c}' AND f_k_moneyness = '{m}' THEN v END) AS {c}_{m}"
+                     for c in TABLE_CLASSES for m in MONEYNESS)
+    return f"WITH dist AS ({o_volume_distribution()}) SELECT cp_flag, stat_order, stat, {cols} FROM ({long}) GROUP BY ALL"
+
+
+def o_avg_share_cells():
+    cols = ", ".join(f"'(' || format('{{:,.0f}}', {c} * 100.0::DOUBLE) || '\\%)' AS {c}" for c in PCT)
+    return f"SELECT f_k_moneyness, cp_flag, {cols} FROM ({o_avg_moneyness_share()})"
+
+
 def _dist_sql(src_ctes: list[str], src: str, cols: dict[str, str], value_dp: int, mean_dp: int) -> str:
     """Distribution table by brute force: row_number per group picks the nearest rank."""
     union = _classes_union(src, "cp_flag, f_k_moneyness", cols)
@@ -487,6 +523,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "maturity_table": q_maturity_table,
     "volume_distribution": q_volume_distribution,
     "volume_distribution_approx": q_volume_distribution_approx,
+    "class_tables_side_by_side": q_class_tables_side_by_side,
+    "avg_share_cells": q_avg_share_cells,
     "share_distribution": q_share_distribution,
     "universe_semi_join": q_universe_semi_join,
     "stock_panel_join": q_stock_panel_join,
@@ -496,6 +534,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
+    "volume_distribution_approx": o_volume_distribution_approx,
+    "class_tables_side_by_side": o_class_tables_side_by_side,
+    "avg_share_cells": o_avg_share_cells,
     "yearly_panel": o_yearly_panel,
     "imbalance_by_price": o_imbalance_by_price,
     "maturity_bucket": o_maturity_bucket,

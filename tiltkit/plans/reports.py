@@ -37,6 +37,10 @@ def q_volume_distribution_panel(spark, sf):
     return report.distribution_panel(C.q_volume_distribution(spark, sf))
 
 
+def q_share_distribution_panel(spark, sf):
+    return report.distribution_panel(C.q_share_distribution(spark, sf))
+
+
 # ------------------------------------------------------------------ oracles
 
 def _fit_sql() -> list[str]:
@@ -99,7 +103,14 @@ def o_significance_stars():
 
 
 def o_volume_distribution_panel():
-    dist = C.o_volume_distribution()
+    return _panel_sql(C.o_volume_distribution())
+
+
+def o_share_distribution_panel():
+    return _panel_sql(C.o_share_distribution())
+
+
+def _panel_sql(dist: str) -> str:
     stats = [("Mean", "mean")] + list(zip(QUANTILE_LABELS, C.QCOLS))
     parts = [f"SELECT cp_flag, investor, f_k_moneyness, {i} AS stat_order, '{lbl}' AS stat, "
              f"format('{{:,.0f}}', {c}) AS text FROM dist" for i, (lbl, c) in enumerate(stats)]
@@ -117,6 +128,7 @@ QUERIES = {
     "regression_table": q_regression_table,
     "significance_stars": q_significance_stars,
     "volume_distribution_panel": q_volume_distribution_panel,
+    "share_distribution_panel": q_share_distribution_panel,
 }
 
 ORACLES = {
@@ -124,4 +136,5 @@ ORACLES = {
     "regression_table": o_regression_table,
     "significance_stars": o_significance_stars,
     "volume_distribution_panel": o_volume_distribution_panel,
+    "share_distribution_panel": o_share_distribution_panel,
 }
