@@ -77,6 +77,7 @@ def test_components_match_brute_force(spark, k, percent):
 def test_hot_bucket_in_blocks(spark, monkeypatch):
     """One group of unlike near copies over many blocks: no link is lost."""
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "WHOLE_GRAMS", 1000)
     r = random.Random(1)
     words = [f"w{i}" for i in range(120)]
     rows = [(i, edited(r, words, r.randrange(5))) for i in range(90)]

@@ -18,7 +18,9 @@ with the same set form a class, and only classes are joined. Two sets link when
    the overlap plus what remains of either set is below what a link needs.
    Members that are connected already are not compared again, so a bucket gives
    at most one link per member, never all pairs. Buckets of more than ``BLOCK``
-   members are split into blocks, and every pair of blocks is a group of its own.
+   members are dealt to blocks first; what is not connected then meets the
+   bucket's other members block by block, which leaves out the pairs within
+   the largest component.
 4. ``components`` connects the links.
 
 Numbers of hash ranges, blocks and rounds depend on the data's size only in
@@ -44,6 +46,10 @@ from .components import components
 
 #: Most members of a block of a bucket.
 BLOCK = 256
+#: Most n-grams of a group that has all classes which a chain of buckets reaches.
+WHOLE_GRAMS = 2_000_000
+#: Documents whose sets a task holds at a time.
+ROWS = 500
 #: Width of a hash range of step 1, as a multiple of 1 - percent / 100.
 RANGE_FACTOR = 2.0
 LEAST_RANGE = 0.02
@@ -60,7 +66,7 @@ def _sets(batches: Iterator, k: int) -> Iterator:
 
     from .shingles import shingle_sets
 
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         texts = batch.column("text").cast(pa.binary())
         sets = list(shingle_sets((t.as_py() or b"" for t in texts), k))
         yield batch, sets, [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -188,49 +194,108 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return own.select(F.explode(F.transform(F.slice("g", F.lit(1), F.col("take")), lambda x: x["h"])).alias("h"), "key")
 
 
-def _groups(prefixes: DataFrame) -> DataFrame:
-    """(bucket, i, j, key, side): the blocks of classes to compare. A class of
-    block b takes part in the groups (b, j) and (i, b)."""
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """(h, key, m, least): members of the buckets, their number and the least
+    of them. Of buckets with the same members one is left."""
     kept = materialize(prefixes)
-    members = kept.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("key")).alias("x"),
+    members = kept.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("least"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                     F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    buckets = members.where("m > 1").groupBy("m", "x", "y").agg(F.min("h").alias("h"))
-    buckets = materialize(buckets.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = kept.join(buckets, "h").withColumn("b", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.col("h").alias("bucket"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "key",
-                       (F.col("b") > F.col("o")).alias("right"))
+    once = members.where("m > 1").groupBy("m", "least", "x", "y").agg(F.min("h").alias("h"))
+    return materialize(kept.join(materialize(once.select("h", "m", "least")), "h"))
+
+
+def _blocks(m: Column) -> Column:
+    return F.ceil(m / BLOCK)
+
+
+def _block(n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(seed)), n)
+
+
+def _split(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets whose chain of buckets reaches little in all
+    (with ``root``, the least class reached), and the other members."""
+    reach = components(members.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    reach = reach.unionByName(reach.select(F.col("root").alias("node"), "root").distinct())
+    reach = reach.join(sets.select(F.col("key").alias("node"), "n"), "node")
+    small = reach.groupBy("root").agg((F.sum("n") <= WHOLE_GRAMS).alias("small"))
+    named = materialize(members.join(reach.join(small, "root").select(F.col("node").alias("key"), "root", "small"), "key"))
+    return named.where("small"), named.where("NOT small")
+
+
+def _first_groups(small: DataFrame, rest: DataFrame) -> DataFrame:
+    """(kind, i, j, key, right, buckets): groups that hold every class with
+    candidates. All that a small chain of buckets reaches is one group of
+    several buckets, so a set travels once. Else every bucket is a group, or
+    if larger than a block, dealt to blocks twice, by two hashes: copies that
+    differ a little are then nearly all connected."""
+    # the buckets of a class are n-grams of its prefix, so they are few
+    whole = small.groupBy("root", "key").agg(F.collect_list("h").alias("buckets")).select(
+        F.lit(0).alias("kind"), F.col("root").alias("i"), F.lit(0).cast("long").alias("j"), "key", "buckets")
+    n, one = _blocks(F.col("m")), F.array(F.lit(0).cast("long")).alias("buckets")
+    deals = [rest.where("m > 0" if d == 1 else F.col("m") > BLOCK).select(
+        F.lit(d).alias("kind"), F.col("h").alias("i"), _block(n, d).alias("j"), "key", one) for d in (1, 2)]
+    return whole.unionByName(deals[0]).unionByName(deals[1]).withColumn("right", F.lit(False))
+
+
+def _rest_groups(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups for what the first ones have not compared: in each bucket above
+    a block, members outside its largest component so far (right) meet all
+    members (left), block by block."""
+    big = members.where(F.col("m") > BLOCK).select("h", "key", "m")
+    named = big.join(components(found), F.col("key") == F.col("node"), "left").select(
+        "h", "key", "m", F.coalesce("root", "key").alias("part"))
+    named = materialize(named)
+    parts = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("h").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("m"))
+    main = materialize(main.select("h", F.col("main.part").alias("main"), (F.col("m") - F.col("main.n")).alias("out")).where("out > 0"))
+    named = named.join(main, "h")
+    lefts, rights = _blocks(F.col("m")), _blocks(F.col("out"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = named.select("h", _block(lefts, 3).alias("l"), each(rights).alias("r"), "key", F.lit(False).alias("right"))
+    right = named.where("part <> main").select("h", each(lefts).alias("l"), _block(rights, 4).alias("r"), "key", F.lit(True).alias("right"))
+    return left.unionByName(right).select(
+        F.lit(3).alias("kind"), F.col("h").alias("i"), (F.col("l") * (1 << 31) + F.col("r")).alias("j"), "key", "right",
+        F.array(F.lit(0).cast("long")).alias("buckets"))
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect the same classes as all links do."""
-    groups = _groups(_prefixes(sets, percent)).join(sets.select("key", "grams"), "key")
-    dealt = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    members = _buckets(_prefixes(sets, percent))
+    small, rest = _split(members, sets)
+    found = materialize(_compared(_first_groups(small, rest), sets, percent))
+    return found.unionByName(materialize(_compared(_rest_groups(rest, found), sets, percent)))
+
+
+def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect the classes of each group."""
+    dealt = groups.join(sets.select("key", "grams"), "key").repartition("kind", "i", "j").sortWithinPartitions("kind", "i", "j")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from .trie import linked
-
-        def told(keys, rights, grams):
-            pairs = linked([np.frombuffer(g, dtype=np.uint64) for g in grams], rights, percent)
-            return [(keys[a], keys[b]) for a, b in pairs]
+        from .trie import linked, linked_buckets
 
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def told(keys, rights, buckets, grams):
+            sets = [np.frombuffer(g, dtype=np.uint64) for g in grams]
+            alike = all(b == buckets[0] for b in buckets)
+            pairs = linked(sets, rights, percent) if alike else linked_buckets(sets, buckets, percent)
+            return pa.RecordBatch.from_arrays([pa.array([keys[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        now, keys, rights, grams = None, [], [], []
+        now, held = None, ([], [], [], [])
         for batch in batches:
-            group = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")))
-            for g, key, right, s in zip(group, batch.column("key").to_pylist(), batch.column("right").to_pylist(), batch.column("grams")):
+            group = zip(*(batch.column(c).to_pylist() for c in ("kind", "i", "j")))
+            columns = (batch.column(c).to_pylist() for c in ("key", "right", "buckets"))
+            for g, key, right, buckets, s in zip(group, *columns, batch.column("grams")):
                 if g != now:
-                    if len(keys) > 1:
-                        yield batch_of(told(keys, rights, grams))
-                    now, keys, rights, grams = g, [], [], []
-                keys.append(key), rights.append(right), grams.append(s.as_py())
-        if len(keys) > 1:
-            yield batch_of(told(keys, rights, grams))
+                    if len(held[0]) > 1:
+                        yield told(*held)
+                    now, held = g, ([], [], [], [])
+                for store, v in zip(held, (key, right, buckets, s.as_py())):
+                    store.append(v)
+        if len(held[0]) > 1:
+            yield told(*held)
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 

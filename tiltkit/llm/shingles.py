@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 

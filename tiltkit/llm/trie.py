@@ -42,10 +42,37 @@ def build(sets: list[np.ndarray], sizes: list[int]) -> Node:
     return root
 
 
-def linked(grams: list[np.ndarray], rights: list[bool], percent: int) -> list[tuple[int, int]]:
+def find(parent: list[int], x: int) -> int:
+    """The root of x, with its path halved."""
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def linked_buckets(grams: list[np.ndarray], buckets: list[list[int]], percent: int) -> list[tuple[int, int]]:
+    """``linked`` for each bucket of a group, where ``buckets`` has the
+    buckets of each set: what one bucket has connected the next ones skip."""
+    members: dict[int, list[int]] = {}
+    for x, own in enumerate(buckets):
+        for b in own:
+            members.setdefault(b, []).append(x)
+    parent, pairs = list(range(len(grams))), []
+    for b in sorted(members, key=lambda b: (-len(members[b]), b)):
+        m = members[b]
+        roots = [find(parent, x) for x in m]
+        if len(set(roots)) > 1:
+            for i, j in linked([grams[x] for x in m], [False] * len(m), percent, roots):
+                pairs.append((m[i], m[j]))
+                parent[find(parent, m[j])] = find(parent, m[i])
+    return pairs
+
+
+def linked(grams: list[np.ndarray], rights: list[bool], percent: int, roots: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of positions that connect the same sets as all links do. If some
     sets are on the right side and some are not, only links between the sides
-    count; else links between any two."""
+    count; else links between any two. Sets with equal ``roots`` are
+    connected already."""
     values, ranks = np.unique(np.concatenate(grams), return_inverse=True)
     counts = np.bincount(ranks, minlength=len(values))
     # common first; those of one set only are left out
@@ -60,13 +87,8 @@ def linked(grams: list[np.ndarray], rights: list[bool], percent: int) -> list[tu
     probes = [i for i in range(len(sets)) if rights[i]] if two_sided else range(len(sets))
     stored = [i for i in range(len(sets)) if not rights[i]] if two_sided else list(range(len(sets)))
     root = build([sets[i] for i in stored], [sizes[i] for i in stored])
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    first = {r: i for i, r in reversed(list(enumerate(roots or range(len(sets)))))}
+    parent = [first[r] for r in (roots or range(len(sets)))]
 
     pairs = []
     mark = np.zeros(n_shared, dtype=bool)
@@ -78,7 +100,7 @@ def linked(grams: list[np.ndarray], rights: list[bool], percent: int) -> list[tu
             at, overlap = todo.pop()
             if 100 * min(size, at.most) < percent * max(size, at.least):
                 continue
-            if all(find(stored[m]) == find(x) for m in at.members):
+            if all(find(parent, stored[m]) == find(parent, x) for m in at.members):
                 continue
             rest = len(own)
             if len(at.run):
@@ -89,8 +111,8 @@ def linked(grams: list[np.ndarray], rights: list[bool], percent: int) -> list[tu
                 continue
             for m in at.ends:
                 y = stored[m]
-                if 100 * overlap >= percent * (size + sizes[y] - overlap) and find(x) != find(y):
-                    parent[find(y)] = find(x)
+                if 100 * overlap >= percent * (size + sizes[y] - overlap) and find(parent, x) != find(parent, y):
+                    parent[find(parent, y)] = find(parent, x)
                     pairs.append((x, y))
             todo += [(b, overlap) for b in at.below]
         mark[own] = False
