@@ -8,12 +8,13 @@ import numpy as np
 class Node:
     """A run of n-grams that all sets below share."""
 
-    __slots__ = ("run", "ends", "below", "members", "least", "most", "depth")
+    __slots__ = ("run", "ends", "below", "members", "least", "most", "depth", "joined")
 
     def __init__(self, run, depth, members, sizes, ends):
         self.run, self.depth, self.members, self.ends = run, depth, members, ends
         self.least, self.most = min(sizes[m] for m in members), max(sizes[m] for m in members)
         self.below: list[Node] = []
+        self.joined = False  # whether all members are known to be connected
 
 
 def build(sets: list[np.ndarray], sizes: list[int]) -> Node:
@@ -90,6 +91,17 @@ def linked(grams: list[np.ndarray], rights: list[bool], percent: int, roots: lis
     first = {r: i for i, r in reversed(list(enumerate(roots or range(len(sets)))))}
     parent = [first[r] for r in (roots or range(len(sets)))]
 
+    def apart(at: Node, x: int) -> bool:
+        """Whether a member is not connected with x. A member found so moves
+        to the front, where the next set meets it first."""
+        r, ms = find(parent, x), at.members
+        for i in range(1 if at.joined else len(ms)):
+            if find(parent, stored[ms[i]]) != r:
+                ms[0], ms[i] = ms[i], ms[0]
+                return True
+        at.joined = True
+        return False
+
     pairs = []
     mark = np.zeros(n_shared, dtype=bool)
     for x in probes:
@@ -100,7 +112,7 @@ def linked(grams: list[np.ndarray], rights: list[bool], percent: int, roots: lis
             at, overlap = todo.pop()
             if 100 * min(size, at.most) < percent * max(size, at.least):
                 continue
-            if all(find(parent, stored[m]) == find(parent, x) for m in at.members):
+            if not apart(at, x):
                 continue
             rest = len(own)
             if len(at.run):
