@@ -206,7 +206,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         def of(f: Column) -> Column:
             def told(apart: Column) -> Column:
                 failed = (f["n"] < MIN_WORDS) | (100 * f["repeated"] > MAX_REPEATED_PERCENT * f["n"])
-                far = (apart > MAX_CLASS_DISTANCE) | (f["word"] > MAX_WORD_DISTANCE + SHORT_SLACK / F.sqrt(f["n"]))
+                far = (apart > MAX_CLASS_DISTANCE) | (f["word"] > MAX_WORD_DISTANCE + SHORT_SLACK / F.sqrt(F.greatest(f["n"], F.lit(1))))
                 return F.struct(
                     f["n"].alias("n_words"), f["m"]["word_chars"].alias("word_chars"), f["m"]["n_symbols"].alias("n_symbols"),
                     f["repeated"].alias("n_repeat_words"), failed.alias("base_failed"), apart.alias("class_distance"),
