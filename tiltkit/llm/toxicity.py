@@ -183,7 +183,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         F.lit(int(share(0, TRAIN_OTHER) * parts)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(parts)) < limit)
     rows = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
-    return materialize(rows.join(chosen, "doc_id").select("text", "toxic"))
+    # about TRAIN_TOXIC + TRAIN_OTHER ids by construction
+    return materialize(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
 
 def lexicon(train: DataFrame) -> list[tuple[str, float]]:
