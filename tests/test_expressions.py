@@ -120,3 +120,23 @@ def test_stars_and_coef_cells(spark):
     for r, w in zip(out, want_s):
         assert r.fc == ("" if r.c is None else f"{r.c:0.3f}{w}")
         assert r.fb == ("" if r.b is None else f"({r.b:0.3f})")
+
+
+def test_tstat_and_finite_or_null(spark):
+    from tiltkit.functions import finite_or_null, fmt_tstat
+
+    df = spark.createDataFrame([(1.234,), (-0.5,), (float("nan"),), (float("inf"),), (None,)], "x double")
+    out = df.select(fmt_tstat("x").alias("t"), finite_or_null("x").alias("f")).collect()
+    assert [r.t for r in out[:2]] == ["[1.23]", "[-0.50]"]
+    assert [r.f for r in out] == [1.234, -0.5, None, None, None]
+
+
+def test_erfc_on_a_grid(spark):
+    import math
+
+    from tiltkit.functions.stats import erfc_sql
+
+    rows = spark.range(0, 2601).selectExpr("id / 100D AS x").selectExpr("x", f"{erfc_sql('x')} AS e").collect()
+    for r in rows:
+        want = math.erfc(r.x)
+        assert abs(r.e - want) <= 1e-12 * want or want < 1e-300

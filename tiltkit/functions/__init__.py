@@ -1,6 +1,6 @@
 """Column-level expressions (classification, rounding, formats, p-values)."""
 
-from .buckets import delta_moneyness, forward_moneyness, maturity_bucket, when_map
+from .buckets import delta_moneyness, forward_moneyness, maturity_bucket
 from .numeric import (
     finite_or_null,
     ieee_ratio,
@@ -24,7 +24,7 @@ from .text import (
 )
 
 __all__ = [
-    "delta_moneyness", "forward_moneyness", "maturity_bucket", "when_map",
+    "delta_moneyness", "forward_moneyness", "maturity_bucket",
     "finite_or_null", "ieee_ratio", "linspace_point", "ln_or_null", "ordered_key",
     "round_half_away", "safe_ratio",
     "fmt_bse", "fmt_coef", "fmt_fixed", "fmt_nobs", "fmt_rsquared", "fmt_share_pct",

@@ -60,14 +60,3 @@ def delta_moneyness(delta="delta", cp_flag="cp_flag") -> Column:
         .when((d >= -DELTA_LOW) & (cp == "P"), "otm")
         .otherwise(UNCLASSIFIED)
     )
-
-
-def when_map(key, mapping: dict, default=None) -> Column:
-    """CASE key WHEN k1 THEN v1 ... as a Column (small literal maps only)."""
-    k = col(key)
-    out = None
-    for name, value in mapping.items():
-        out = F.when(k == name, F.lit(value)) if out is None else out.when(k == name, F.lit(value))
-    if out is None:
-        return F.lit(default)
-    return out.otherwise(F.lit(default)) if default is not None else out

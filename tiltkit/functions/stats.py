@@ -50,18 +50,3 @@ def with_pvalue(df: DataFrame, z: str = "z", out: str = "pval") -> DataFrame:
     x = "_pv_x"
     tmp = df.withColumn(x, F.abs(F.col(z)) / math.sqrt(2.0))
     return tmp.withColumn(out, F.expr(erfc_sql(f"`{x}`"))).drop(x)
-
-
-def normal_pvalue(z) -> Column:
-    """The same p-value as a Column expression."""
-    zc = F.col(z) if isinstance(z, str) else z
-    x = F.abs(zc) / math.sqrt(2.0)
-    h = F.lit(1.0)
-    for k in range(SERIES_TERMS - 1, 0, -1):
-        h = 1.0 + 2.0 * x * x / float(2 * k + 1) * h
-    series = 1.0 - (2 / math.sqrt(math.pi)) * F.exp(-x * x) * x * h
-    t = x
-    for k in range(FRACTION_LEVELS, 0, -1):
-        t = x + (k / 2) / t
-    fraction = F.exp(-x * x) * (1 / math.sqrt(math.pi)) / t
-    return F.when(x < SWITCH, series).otherwise(fraction)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
 from ..schema import (
-    CONTRACT_MULTIPLIER, MATURITIES, MEASURES, MONEYNESS, QUANTILE_LABELS, QUANTILES,
+    CONTRACT_MULTIPLIER, MATURITIES, MEASURES, MONEYNESS, QUANTILES,
     TABLE_CLASSES, UNCLASSIFIED, dollar_col, trade_col,
 )
 from .quantile import exact_quantiles, approx_quantiles, wide_quantiles
@@ -177,17 +177,8 @@ def maturity_table(panel: DataFrame, classes: Sequence[str] = TABLE_CLASSES) ->
                 F.posexplode(F.array(*[F.lit(m) for m in MATURITIES])).alias("maturity_order", "maturity"))
     )
     # means has at most measures x {C, P} x 7 maturity labels rows
+    # measures x flags x the closed list of maturities
+    means = means.where(F.col("maturity").isin(*MATURITIES))
     return domain.join(F.broadcast(means), ["measure", "cp_flag", "maturity"], "left").select(
         "measure", "cp_flag", "maturity", F.col("maturity_order").cast("int").alias("maturity_order"),
         *MONEYNESS)
-
-
-def distribution_long(dist: DataFrame) -> DataFrame:
-    """Statistics as rows (Mean, quantiles, share) for the report panels."""
-    stats = {"Mean": "mean", **dict(zip(QUANTILE_LABELS, QCOLS))}
-    return dist.select(
-        "investor", "cp_flag", "f_k_moneyness", "share_pct",
-        F.explode(F.array(*[F.struct(F.lit(lbl).alias("stat"), F.lit(i).alias("stat_order"),
-                                     F.col(c).alias("value"))
-                            for i, (lbl, c) in enumerate(stats.items())])).alias("s"),
-    ).select("investor", "cp_flag", "f_k_moneyness", "s.stat", "s.stat_order", "s.value", "share_pct")

@@ -51,7 +51,6 @@ DEFAULT_GRID_POINTS = 101
 # Quantiles of the distribution tables and their row labels.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 QUANTILE_LABELS = ("5th", "25th", "Median", "75th", "95th")
-STAT_ROWS = ("Mean",) + QUANTILE_LABELS + ("Total Percentage",)
 
 # Contract multiplier applied to volumes in the distribution tables.
 CONTRACT_MULTIPLIER = 100.0
@@ -63,14 +62,6 @@ TERM_ORDER = ("Z", "Xc", "Z:Xc", "Intercept")
 Z_CRIT = ((2.5758293035489004, "***"), (1.959963984540054, "**"), (1.6448536269514722, "*"))
 
 # Display labels.
-CLASS_LABELS = {
-    "customer": "Customers",
-    "customer_100": "Customers <100",
-    "customer_100_199": "Customers 100-199",
-    "customer_199": "Customers >199",
-    "professional": "Professionals",
-    "firm": "Firms",
-}
 PANEL_TITLES = {"C": "A. Call Options", "P": "B. Put Options"}
 
 # --------------------------------------------------------------------------
