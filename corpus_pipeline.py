@@ -15,10 +15,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tiltkit.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from tiltkit.llm.common import table
+from tiltkit.llm.common import BATCH_ROWS, table
 from tiltkit.session import ensure_checkpoint_dir
 
 
+def _few_texts(spark: SparkSession) -> None:
+    """Python workers get few whole texts at a time in the pipeline's session,
+    so their memory stays small beside the JVM's."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep_good(docs)
@@ -26,11 +32,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    _few_texts(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.8."""
+    _few_texts(spark)
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
@@ -41,6 +49,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    _few_texts(spark)
     tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), drop_text=True)
     return tokens.select("doc_id", "lang", "source", "n_tokens", "ids")
 

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .common import BATCH_ROWS
+
 #: Words above this many bytes merge with a heap instead of array scans.
 SHORT = 96
-#: Encoded words a task remembers at most (the cache is emptied when full).
-CACHE = 400_000
+#: Encoded words a task remembers at most, in each of two generations.
+CACHE = 60_000
 #: The pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
            r"|\s+(?!\S)|\s+")
@@ -80,7 +82,7 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache.age()
         if not self.cuts or not any(s in text for s in self.special):
             return b"".join(map(self.cache.__getitem__, self.words.findall(text)))
         out, at = [], 0
@@ -97,11 +99,21 @@ class Vocabulary:
 
 
 class _Encoded(dict):
+    """Ids of words, made when first asked for. When full, the words become
+    the old generation, from which those asked for again come back."""
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.old = vocabulary, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if word in self.old:
+            self[word] = self.old[word]
+            return self[word]
         piece = word.encode()
         if piece in self.v.ids and len(piece) == 1:
             parts = [piece]
@@ -206,7 +218,7 @@ def _map_column(df: DataFrame, source: str, added: list[StructField], fn, drop:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             rows = batch.column(batch.schema.get_field_index(source))
             out = fn(rows)
             yield pa.RecordBatch.from_arrays(

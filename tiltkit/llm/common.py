@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,20 @@ class Rounds:
         path = f"{self.folder}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of whole texts that travel to Python at a time.
+BATCH_ROWS = 500
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside send at most so many rows to Python at a time, so a
+    worker's memory is bounded by few texts; the session's setting returns."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)

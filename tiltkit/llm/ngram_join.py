@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, packed, unpacked
+from .common import col, packed, small_batches, unpacked
 from .components import components
 
 #: Most members of a block of a bucket.
@@ -302,7 +302,12 @@ def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, sig) per row of (id, text), and (sig key, root key) of the
-    classes that link."""
+    classes that link. All its jobs run here."""
+    with small_batches(docs.sparkSession):
+        return _found(docs, k, percent)
+
+
+def _found(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     info = materialize(_classes(docs, k))
     classes = info.where("n > 0").groupBy(_key(F.col("sig")).alias("key")).agg(F.first("n").alias("n"), F.lit(0).cast("long").alias("alone"))
     width = min(1.0, max(LEAST_RANGE, RANGE_FACTOR * (1 - percent / 100)))
