@@ -102,3 +102,31 @@ def test_too_few_surrogates_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(P, "MAX_ROUNDS", 3)
     with pytest.raises(ValueError, match="surrogates"):
         P.surrogates(spark.createDataFrame([("phone", f"+1 {i}") for i in range(10)], "kind string, value string"))
+
+
+#: Each of one format; the surrogate keeps the shape and what stands before "|".
+PHONES = ["(4|15) 555-2671", "4|15-555-2671", "4|15 555 2671", "4|15.555.2671", "1-4|15-555-2671", "03|0 1234567", "03|0/1234567",
+          "(03|0) 123456", "0049| 30 1234567", "0049| (0)30 1234567", "01| 23 45 67 89", "01|.23.45.67.89", "01|23456789",
+          "01|711234567", "07|911 123456", "02|0 7946 0958", "02| 9876 5432", "06|-12345678", "+33| 1 23 45 67 89", "+49| 30/1234567"]
+TOKENS = ["ghp_|abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "github_pat_|11ABCDE0Y0abcdefghij_k9", "sk-|proj-Ab12Cd34Ef56Gh78Ij90",
+          "sk-|abcdefghijklmnopqrstuvwx", "glpat-|x1Y2z3W4x1Y2z3W4x1Y2", "xoxb-|123456789012-abcdEFGH", "sk_live_|4eC39HqLyjWDarjtT1zd",
+          "AIza|SyA1bC2dE3fG4hI5jK6lM7nO8pQ9rS0tU1v", "npm_|abcdefghijklmnopqrstuvwxyz0123456789", "hf_|abcdefghijklmnopqrstuvwxyzABCDEFGH",
+          "ASIA|ABCDEFGHIJKLMN12", "eyJ|hbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N"]
+
+
+@pytest.mark.parametrize("found", [PHONES, TOKENS])
+def test_national_phones_and_issued_tokens(spark, found):
+    got = run(spark, {i: f"x:{f.replace('|', '')}, y" for i, f in enumerate(found)})
+    for i, f in enumerate(found):
+        kept, rest = f.split("|")
+        new = got[i].text.removeprefix("x:").removesuffix(", y")
+        assert got[i].n_entities == 1 and new != kept + rest and new.startswith(kept), (f, got[i].text)
+        shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)))
+        assert shape(new) == shape(kept + rest), (f, new)
+
+
+def test_numbers_that_are_no_phones_stay(spark):
+    texts = ["on 01.02.2024 10:30 and 01/02/2024, 2024-01-02 12:00", "open 0900-1700, 0.5 and 1.045 678901", "J. 12 (1998) 123-145", "sk-learn-like-things-in-css",
+             "0000012345 and 1,234,567.89 and 100 200 300", "978-3-16-148410-0 INV-0123456789 a/0123456789", "1.2.3.4.5 0x0123456789"]
+    got = run(spark, dict(enumerate(texts)))
+    assert [(got[i].n_entities, got[i].text) for i in range(len(texts))] == [(0, t) for t in texts]

@@ -34,19 +34,37 @@ MAX_ROUNDS = 64
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Srta|госпожа|г-жа|κυρία"
 TITLES = "|".join(t for group in (MALE, FEMALE) for t in (group, group.upper()))
+#: Tokens with a prefix of their issuer, and the prefixes alone (they stay).
+TOKENS = (r"gh[pousr]_[A-Za-z0-9]{16,}+|github_pat_[A-Za-z0-9_]{16,}+|glpat-[A-Za-z0-9_\-]{16,}+|xox[a-z]-[A-Za-z0-9\-]{10,}+"
+          r"|sk-(?=[a-z\-]*+[A-Z0-9_]|[a-z]{16})[A-Za-z0-9_\-]{16,}+|[spr]k_(?:live|test)_[A-Za-z0-9]{10,}+|AIza[A-Za-z0-9_\-]{30,}+"
+          r"|npm_[A-Za-z0-9]{30,}+|hf_[A-Za-z0-9]{30,}+|pypi-[A-Za-z0-9_\-]{16,}+|ASIA[0-9A-Z]{16}(?![\p{L}\p{N}])"
+          r"|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+")
+TOKEN_STARTS = "gh[pousr]_|github_pat_|glpat-|xox[a-z]-|sk-|[spr]k_(?:live|test)_|AIza|npm_|hf_|pypi-|ASIA|eyJ"
+#: Numbers after a country code, and national ones: area code in
+#: brackets, trunk 0 (French pairs; two digits and seven or more; longer area
+#: codes; nine digits or more in all, so times and dates are none), 3-3-4 groups.
+ABROAD = r"[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?(?:\d{2,4}|\d(?:[ .\-]\d{2,4}){2})(?:[ .\-/]?\d{2,4}){1,4}(?!\d)"
+NATIONAL = (r"\((?!(?:19|20)\d\d\))\d{2,5}\)(?: ?/ ?|[ .\-])?(?=(?:[ .\-]?\d){6})\d{2,8}(?:[ .\-]\d{2,6}){0,3}"
+            r"|0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4}|[ \-](?:\d{4}[ \-]\d{4}|\d{7,8})|\d{8,9})"
+            r"|(?=0(?:[ .\-/]{0,3}\d){8})0[1-9]\d{1,4}(?: ?/ ?|[ .\-])\d{3,8}(?:[ .\-]\d{2,8}){0,3}"
+            r"|(?:1[ .\-])?(?:[2-9]\d\d[ .\-]\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})")
 #: Patterns of entities, tried in this order.
 PATTERNS = (
     r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]++)*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
     r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
-    r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)",
+    r"(?=[Aeghnprsx])(?<![\p{L}\p{N}])(?:" + TOKENS + ")",
+    r"(?<![\p{L}\p{N}+])\+\d{1,3}" + ABROAD,
     r"(?<![\p{L}\p{N}.])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\p{L}\p{N}])",
+    r"(?=[0-9(])(?<![\p{L}\p{N}+/])(?<![\p{L}\p{N}]-|\d[.,:])(?:00[1-9]\d{0,2}" + ABROAD + "|(?:" + NATIONAL + r")(?!\d|[.\-/]\d))",
     r"(?<![\p{L}\p{N}])(?:" + TITLES + r")\.?(?: (?!(?:" + TITLES + r")\b)\p{Lu}[\p{L}'’\-]++(?!\p{N})){1,3}",
 )
 ANY = "|".join(PATTERNS)
 #: No entity is in a text without one of these (a quick first look).
-HINT = r"[@0-9]|(?:" + TITLES + r")\.? \p{Lu}"
+HINT = "[@0-9]|" + TOKEN_STARTS + "|(?:" + TITLES + r")\.? \p{Lu}"
+#: What stays of a phone number: the country code, or the trunk 0 and the next digit.
+DIALLED = r"^(?:\+\d{1,3}|00[1-9]\d{0,2}|(?:1[ .\-])?\(?0?\d)"
 #: Letters by script, and syllables of surrogate names.
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 SYLLABLES = {
@@ -76,9 +94,11 @@ def atoms(found: Column) -> Column:
 
     return (F.when(F.contains(found, F.lit("@")), mail)
             .when(found.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.array(part("ipv4", found)))
-            .when(F.startswith(found, F.lit("+")), F.array(part("phone", found)))
-            .when(found.rlike(r"^\d[\d \-]*$") & (F.char_length(found) < 24), F.array(part("card", found)))
+            .when(found.rlike(r"^(?:\+|\(|00[1-9](?![0-9A-Fa-f]{29}))"), F.array(part("phone", found)))
+            .when(found.rlike(r"^(\d{13,19}|\d{4}([ \-]\d{4}){3})$"), F.array(part("card", found)))
+            .when(found.rlike(r"^\d[\d ./\-]{5,30}$"), F.array(part("phone", found)))
             .when(found.rlike("^AKIA[0-9A-Z]{16}$"), F.array(part("key", found)))
+            .when(found.rlike("^(?:" + TOKEN_STARTS + ")"), F.array(part("token", found)))
             .when(found.rlike("^[0-9A-Fa-f]+$"), F.array(part("hex", found)))
             .otherwise(let(F.split(found, " "), person)))
 
@@ -138,7 +158,8 @@ def _name(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The surrogate that an atom draws at an attempt."""
     def of(seed: Column) -> Column:
-        kept = (F.when(kind == "key", 4).when(kind == "phone", F.char_length(F.regexp_extract(value, r"^\+\d{1,3}", 0))).otherwise(0))
+        kept = (F.when(kind == "key", 4).when(kind == "phone", F.char_length(F.regexp_extract(value, DIALLED, 0)))
+                .when(kind == "token", F.char_length(F.regexp_extract(value, "^(?:" + TOKEN_STARTS + ")", 0))).otherwise(0))
         tld = F.regexp_extract(value, r"\.[^.]*$", 0)
         host = F.substr(value, F.lit(1), F.char_length(value) - F.char_length(tld))
         plain = _redrawn(F.when(kind == "domain", host).otherwise(value), seed, kept, kind == "hex")
