@@ -62,7 +62,7 @@ PATTERNS = (
 )
 ANY = "|".join(PATTERNS)
 #: No entity is in a text without one of these (a quick first look).
-HINT = "[@0-9]|" + TOKEN_STARTS + "|(?:" + TITLES + r")\.? \p{Lu}"
+HINT = "[@0-9]|AKIA|[a-f]{32}|[A-F]{32}|" + TOKEN_STARTS + "|(?:" + TITLES + r")\.? \p{Lu}"
 #: What stays of a phone number: the country code, or the trunk 0 and the next digit.
 DIALLED = r"^(?:\+\d{1,3}|00[1-9]\d{0,2}|(?:1[ .\-])?\(?0?\d)"
 #: Letters by script, and syllables of surrogate names.
