@@ -137,3 +137,15 @@ def test_secrets_without_digits(spark):
     got = run(spark, dict(enumerate(texts)))
     assert [got[i].n_entities for i in range(4)] == [1, 1, 1, 0] and got[3].text == texts[3]
     assert all(got[i].text != texts[i] for i in range(3)) and re.fullmatch("key AKIA[A-Z]{16} here", got[0].text)
+
+
+def test_crowded_spaces_are_permuted(spark):
+    """More addresses of a range, and phone numbers of a shape, than half of all there are."""
+    atoms = [("ipv4", f"192.168.{i >> 8}.{i & 255}") for i in range(50_000)] + [("ipv4", f"8.8.{i}.1") for i in range(256)]
+    atoms += [("phone", f"+123{i:02}") for i in range(100)] + [("phone", f"0049 {i // 100:02}-{i % 100:02}") for i in range(6_000)]
+    got = P.surrogates(spark.createDataFrame(atoms, "kind string, value string")).collect()
+    assert {(r.kind, r.value) for r in got} == set(atoms) and len({(r.kind, r.surrogate) for r in got}) == len(got) == len(atoms)
+    shapes = {"192": r"192\.168\.\d{1,3}\.\d{1,3}", "8.8": r"(?!192\.168|10\.)\d+\.\d+\.\d+\.\d+", "+12": r"\+123\d\d", "004": r"0049 \d\d-\d\d"}
+    for r in got:
+        assert r.surrogate != r.value and re.fullmatch(shapes[r.value[:3]], r.surrogate)
+        assert r.kind != "ipv4" or max(map(int, r.surrogate.split("."))) < 256

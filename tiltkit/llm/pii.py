@@ -7,8 +7,12 @@ drawn from a keyed digest of (kind, atom, attempt) that keeps its type: letters
 stay letters of their script and case, digits stay digits, a card keeps its
 Luhn validity, an address its private range, a name its script, case and
 gender. Atoms whose surrogate another atom has, or which is itself an atom of
-the corpus, draw again until there is none, so unlike atoms stay unlike. One
-table holds the surrogates, so the same atom becomes the same everywhere.
+the corpus, draw again until there is none, so unlike atoms stay unlike. Where
+more than a quarter of the addresses of a range, or of the phone numbers of a
+beginning and shape, are atoms, a keyed permutation of all of them without fixed
+points is taken instead: still distinct and never the atom itself, but it may be
+another atom. One table holds the surrogates, so the same atom becomes the same
+everywhere.
 
 Texts without an entity are not shuffled. The others meet their surrogates by a
 digest of the text, after atoms are made distinct.
@@ -30,6 +34,8 @@ from .common import col, let, packed
 #: Default key of the surrogates; a real run passes its own secret.
 KEY = "corpus-key"
 MAX_ROUNDS = 64
+#: Rounds of the permutation of a crowded space.
+FEISTEL = 24
 #: Titles that show a gender.
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Srta|госпожа|г-жа|κυρία"
@@ -121,13 +127,55 @@ def _redrawn(value: Column, seed: Column, kept: Column, hexed: Column) -> Column
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _kept_octets(value: Column) -> Column:
+    return F.when(value.rlike(r"^(10|127)\."), 1).when(value.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01])|169\.254)\."), 2).otherwise(0)
+
+
 def _address(value: Column, seed: Column) -> Column:
     """An IPv4 address of the same range: loopback and private prefixes stay."""
-    kept = (F.when(value.rlike(r"^(10|127)\."), 1).when(value.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01])|169\.254)\."), 2).otherwise(0))
-    octet = lambda x, i: F.when(i < kept, x).otherwise((F.pmod(F.xxhash64(seed, i), F.lit(223)) + 1).cast("string"))
+    drawn = lambda i: F.when(i == 0, F.pmod(F.xxhash64(seed, i), F.lit(223)) + 1).otherwise(F.pmod(F.xxhash64(seed, i), F.lit(256)))
+    octet = lambda x, i: F.when(i < _kept_octets(value), x).otherwise(drawn(i).cast("string"))
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
+def _space(kind: Column, value: Column) -> Column:
+    """What an address or phone number shares with all its surrogates, with #
+    for each octet or digit that is drawn. Spaces do not overlap."""
+    octets = F.transform(F.split(value, r"\."), lambda x, i: F.when(i < _kept_octets(value), x).otherwise(F.lit("#")))
+    head = F.regexp_extract(value, DIALLED, 0)
+    rest = F.substr(value, F.char_length(head) + 1, F.char_length(value))
+    return F.when(kind == "ipv4", F.array_join(octets, ".")).otherwise(F.concat(head, F.regexp_replace(rest, "[0-9]", "#")))
+
+
+def _permuted(kind: Column, value: Column, space: Column, key: str) -> Column:
+    """The surrogate by a keyed permutation of the space: a Feistel network, a
+    shift by a constant that is not 0, and the network backwards."""
+    base = F.when(kind == "ipv4", F.lit(256)).otherwise(F.lit(10))
+    free = F.char_length(F.regexp_replace(space, "[^#]", ""))
+    parts = F.when(kind == "ipv4", F.split(value, r"\.")).otherwise(F.split(F.regexp_replace(value, "[^0-9]", ""), ""))
+    parts = F.transform(F.slice(parts, F.size(parts) - free + 1, free), lambda x: x.cast("int"))
+
+    def of(seed: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.lit(FEISTEL))
+        told = lambda rest, i: F.pmod(F.xxhash64(seed, i, rest), base)
+        int_ = lambda x: F.array(F.pmod(x, base).cast("int"))
+
+        def forth(a: Column, i: Column) -> Column:
+            return let(F.slice(a, F.lit(2), free - 1), lambda rest: F.concat(rest, int_(F.get(a, F.lit(0)) + told(rest, i))))
+
+        def back(a: Column, i: Column) -> Column:
+            return let(F.slice(a, F.lit(1), free - 1), lambda rest: F.concat(int_(F.get(a, free - 1) - told(rest, FEISTEL + 1 - i)), rest))
+
+        shift = F.pmod(F.xxhash64(seed, F.lit(0)), base - 1) + 1
+        shifted = lambda a: F.concat(int_(F.get(a, F.lit(0)) + shift), F.slice(a, F.lit(2), free - 1))
+        new = let(F.aggregate(rounds, parts, forth), lambda a: F.aggregate(rounds, shifted(a), back))
+        # the n-th # of the space gets the n-th part
+        return let(new, lambda a: F.array_join(F.zip_with(F.split(space, "#"), F.transform(a, lambda x: x.cast("string")),
+                                                          lambda s, x: F.concat(s, F.coalesce(x, F.lit("")))), ""))
+
+    return let(F.sha2(F.concat_ws("\n", F.lit(key), kind, space), 256), of)
+
+
 def _card(value: Column, seed: Column) -> Column:
     """Same network digit and grouping; valid by Luhn if the number was."""
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
@@ -175,17 +223,29 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value) -> also surrogate; one row per distinct atom, no
-    surrogate twice in a kind and none that is an atom itself."""
+    surrogate twice in a kind and none that is an atom itself (in a crowded
+    space: none that is its own atom)."""
     now = materialize(found.distinct().withColumn("attempt", F.lit(0)))
+    told, spaced = None, now.withColumn("space", F.when(F.col("kind").isin("ipv4", "phone"), _space(F.col("kind"), F.col("value"))))
+    free = F.char_length(F.regexp_replace("space", "[^#]", ""))
+    room = F.pow(F.when(F.col("kind") == "ipv4", F.lit(256.0)).otherwise(F.lit(10.0)), free)
+    crowded = materialize(spaced.where("space IS NOT NULL").groupBy("kind", "space").agg(F.count(F.lit(1)).alias("n")).where(
+        (free > 1) & (4 * F.col("n") > room)).select("kind", "space"))
+    if not crowded.isEmpty():
+        told = materialize(spaced.join(crowded, ["kind", "space"]).select(
+            "kind", "value", _permuted(F.col("kind"), F.col("value"), F.col("space"), key).alias("surrogate")))
+        now = materialize(spaced.join(crowded, ["kind", "space"], "left_anti").drop("space"))
     real = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(MAX_ROUNDS):
         drawn = materialize(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("keeper"))
         judged = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").withColumn(
-            "again", (F.col("value") != F.col("keeper")) | F.col("real").isNotNull())
+            "again", (F.col("value") != F.col("keeper")) | F.col("real").isNotNull() | (
+                (F.col("kind") == "ipv4") & (_kept_octets(F.col("value")) != _kept_octets(F.col("surrogate")))))
         judged = materialize(judged.select("kind", "value", "attempt", "surrogate", "again"))
         if judged.where("again").isEmpty():
-            return judged.select("kind", "value", "surrogate")
+            drawn = judged.select("kind", "value", "surrogate")
+            return drawn.unionByName(told) if told is not None else drawn
         now = judged.select("kind", "value", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
     raise ValueError("a kind has more atoms than surrogates")
 
