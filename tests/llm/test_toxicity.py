@@ -46,6 +46,24 @@ def test_clauses(scorer, clause, want):
     assert scorer.sums(clause)[0] == pytest.approx(want)
 
 
+@pytest.mark.parametrize(("clause", "want"), [
+    ("d'idiot", 4.0), ("l’idiot", 4.0), ("'idiot'", 4.0), ("‘idiot’", 4.0), ("'d'idiot'", 4.0), ("the idiot's", 4.0), ("qu'il idiot", 4.0 * T.TARGETED),
+    ("lorsqu'il a b idiot", 4.0 * T.TARGETED), ("isn't idiot", 4.0 * T.NEGATED), ("isn’t an idiot", 4.0 * T.NEGATED), ("'not' an idiot", 4.0 * T.NEGATED),
+    ("you're an idiot", 4.0 * T.TARGETED), ("'kill'", T.THREAT_WEIGHT), ("d'idiots", 0.0), ("ce n'est pas l'idiot", 4.0 * T.NEGATED)])
+def test_words_at_apostrophes(scorer, clause, want):
+    assert scorer.clause(clause) == pytest.approx(want)
+    assert scorer.sums(clause)[0] == pytest.approx(want)
+
+
+def test_learning_and_scoring_split_alike(spark):
+    near = [a + b for a in "bcfgk" for b in "aeiouyäö"]  # contexts count once
+    texts = [(f"{w} d'imbécile {w} isn’t {w}" if i % 2 else f"{w} calm {w} fine {w}", i % 2) for i, w in enumerate(near)]
+    lex = dict(T.lexicon(spark.createDataFrame(texts, "text string, toxic int")))
+    starts = {w.rstrip("$") for w in lex}
+    assert any("imbécile".startswith(w) for w in starts) and not {*lex} & {"d$", "isn$", "t$"}
+    assert T.Scorer(list(lex.items())).sums("il est d'imbécile")[0] > 0
+
+
 def test_clauses_add_up(scorer):
     total, top, _ = scorer.sums("Not. Idiot! you blöde; nothing\nidiot IDIOT")
     assert total == pytest.approx(4 + 3 * T.TARGETED + 8) and top == pytest.approx(8)

@@ -11,6 +11,8 @@ The lexicon is learned: word beginnings of 3 to 12 letters and whole words,
 whose log odds between toxic and other training documents are high. Their
 support is counted in distinct contexts (neighbouring words), so copies of one
 document count once. A logistic curve over three clause sums gives the score.
+Learning and scoring split words alike: elided beginnings (l', d', qu'), endings
+('s, 're) and outer apostrophes are left out, isn't and the like stay whole.
 Learning uses at most about ``TRAIN_TOXIC`` + ``TRAIN_OTHER`` labelled
 documents, chosen by a hash of the id; scoring reads every whole text.
 
@@ -54,6 +56,14 @@ THREAT_WEIGHT = 2.5
 NEGATED, REPORTED, TARGETED = 0.5, 0.5, 1.5
 NEGATION_REACH, TARGET_REACH = 2, 3
 CLAUSE_END = ".!?;\n"
+#: A word in lower case with straight apostrophes, as learning and scoring read it.
+WORD = (r"(?<![\p{L}\p{M}])(?:[\p{L}\p{M}]+n't(?![\p{L}\p{M}])|(?!(?:\p{L}|(?:jus|lors|puis|quoi)?qu)'[\p{L}\p{M}])"
+        r"(?!(?<=[\p{L}\p{M}]')(?:s|d|m|re|ve|ll)(?![\p{L}\p{M}]))[\p{L}\p{M}]+)")
+
+
+def plain(text: str) -> str:
+    """Lower case, with straight apostrophes."""
+    return text.lower().replace("’", "'")
 
 
 # --- transducers ------------------------------------------------------------
@@ -120,7 +130,7 @@ class Scorer:
         self.whole = {w[:-1]: x for w, x in lexicon if w.endswith("$")} | {w: THREAT_WEIGHT for w in THREATS}
         self.starts = {w: x for w, x in lexicon if not w.endswith("$")}
         self.sizes = sorted({len(w) for w in self.starts}, reverse=True)
-        self.words = regex.compile(r"[\p{L}\p{M}']+|[\"“„«]")
+        self.words = regex.compile(WORD + r"|[\"“„«]")
         self.ends = regex.compile("[" + regex.escape(CLAUSE_END) + "]")
         self.scan = ahocorasick.Automaton()
         for w in {*self.whole, *self.starts}:
@@ -135,7 +145,7 @@ class Scorer:
     def clause(self, text: str) -> float:
         """What the machine adds up over one clause."""
         state, total = 0, 0.0
-        for word in self.words.findall(text):
+        for word in self.words.findall(plain(text)):
             w = self.weight(word)
             if w:
                 kind = "threat" if word in THREATS else "insult"
@@ -149,7 +159,7 @@ class Scorer:
     def sums(self, text: str) -> tuple[float, float, float]:
         """All clause scores, the largest, and all per square root of the
         text's length in words (about)."""
-        low = text.lower()
+        low = plain(text)
         scores, done = [], -1
         if len(self.scan):
             for end, size in self.scan.iter(low):
@@ -195,10 +205,10 @@ def lexicon(train: DataFrame) -> list[tuple[str, float]]:
         import pyarrow as pa
         import regex
 
-        words = regex.compile(r"[\p{L}\p{M}]+")
+        words = regex.compile(WORD)
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                ws = words.findall((text.as_py() or "").lower())
+                ws = words.findall(plain(text.as_py() or ""))
                 seen = {}
                 for i, w in enumerate(ws):
                     around = zlib.crc32(f"{ws[i - 1] if i else ''} {ws[i + 1] if i + 1 < len(ws) else ''}".encode())
