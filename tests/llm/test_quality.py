@@ -8,7 +8,7 @@ import pytest
 
 from tiltkit.llm import quality as Q
 
-from .conftest import SF01, frame, odd_rows
+from .conftest import SF001, SF01, frame, odd_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,3 +122,19 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert sum(r.kept for r in rows if r.quality == 0) <= 0.02 * sum(r.quality == 0 for r in rows)
     kept = {r.doc_id for r in Q.keep_good(docs).collect()}
     assert {r.doc_id for r in rows if r.kept} <= kept
+
+
+def test_small_languages_are_judged(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")  # de, es and fr have 7,000 to 11,000 words
+    kept = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
+    assert not any(kept[i] for i in (14, 17, 47, 48, 83, 148, 179))
+    good = {r.doc_id for r in spark.read.parquet(f"{SF001}/labels.parquet").where("quality = 1").collect()}
+    assert all(r.kept or r.base_failed for r in Q.judge(docs).collect() if r.doc_id in good)
+
+
+def test_languages_of_few_words_are_judged_by_all(spark):
+    prose = lambda n: " ".join(f"wort{'abcdefgh'[i % 8]}{'klmnopqr'[i * 5 % 7]}{'stuvw'[i * 3 % 5]}" for i in range(n))
+    rows = [(1, prose(3000), "en", "a"), (2, prose(200), "xx", "a"), (3, " ".join(f"#{i}$%|" for i in range(200)), "yy", "a")]
+    got = {r.doc_id: r for r in Q.judge(frame(spark, rows)).collect()}
+    assert got[2].class_distance < 0.3 and got[2].word_distance is None
+    assert not got[3].base_failed and got[3].class_distance > 0.3 and not got[3].kept

@@ -6,8 +6,8 @@ divergence in bits, 0 to 1): character classes, and the language's most common
 words plus "any other word". The references are sums over all documents of a
 language. A document is rejected by the base rules, or if a histogram is far
 from its reference. Guards: the distance counts only for documents of at least
-``MIN_WORDS`` words and languages with at least ``MIN_REFERENCE`` words, and
-the limit of the word histogram is wider for short documents, as a histogram
+``MIN_WORDS`` words; languages with fewer than ``MIN_REFERENCE`` words in all
+are judged by the character classes of all languages together; and the limit of the word histogram is wider for short documents, as a histogram
 of n words strays from its source by about 1 / sqrt(n) without any fault.
 
 Cases: a null text has no words and fails the base rules; a null language is a
@@ -31,8 +31,9 @@ MAX_REPEATED_PERCENT = 50
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.22
 SHORT_SLACK = 1.0
-#: A language with fewer words in all has no reference.
-MIN_REFERENCE = 20_000
+#: A language with fewer words in all has no reference of its own (one of so
+#: many words strays by about 1 / sqrt(words), a tenth of the word limit).
+MIN_REFERENCE = 2_000
 #: Common words of a language's histogram.
 COMMON = 16
 #: The common words are taken among words of so many letters (function words).
@@ -148,11 +149,14 @@ def _is_short(w: Column) -> Column:
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per language, over all documents: its COMMON most common words,
-    their counts with all other words last, and the class counts. Words are
+    their counts with all other words last, and the class counts. Languages of
+    few words have no common words and the class counts of all. Words are
     counted before they shuffle, and ranked in 64 parts of a language first."""
     lang, text = col(docs, lang_col).alias("lang"), F.coalesce(col(docs, text_col), F.lit(""))
     rows = docs.select(lang, _characters(text)["classes"].alias("c"))
-    classes = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(N_CLASSES)]).alias("ref_classes"))
+    classes = materialize(rows.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(N_CLASSES)]).alias("ref_classes")))
+    pooled = classes.agg(*[F.sum(F.col("ref_classes")[i]) for i in range(N_CLASSES)]).first()
+    pooled = F.array(*[F.lit(float(x or 0)) for x in pooled])
     # words too long to be common count together, as null
     spelt = docs.select(lang, F.explode(F.transform(words(text), lambda w: F.when(_is_short(w), w))).alias("w"))
     counted = materialize(spelt.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
@@ -164,12 +168,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     best = parted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= COMMON)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= COMMON)
     top = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
-    ref = classes.where(F.col("n") >= MIN_REFERENCE).alias("c").join(top.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")))
+    own = F.col("n") >= MIN_REFERENCE
+    ref = classes.alias("c").join(top.alias("t"), F.col("c.lang").eqNullSafe(F.col("t.lang")), "left").withColumn("top", F.when(own, F.col("top")))
     kept = F.transform("top", lambda x: x["n"].cast("double"))
     return ref.select(
         F.col("c.lang").alias("ref_lang"), F.transform("top", lambda x: x["w"]).alias("ref_words"),
         F.concat(kept, F.array(F.col("n").cast("double") - F.aggregate(kept, F.lit(0.0), lambda s, x: s + x))).alias("ref_counts"),
-        "ref_classes")
+        F.when(own, F.col("ref_classes")).otherwise(pooled).alias("ref_classes"))
 
 
 def _word_counts(w: Column, common: Column) -> Column:
