@@ -133,3 +133,24 @@ def test_trie_finds_all_links():
         want = [(a, b) for a in range(25) for b in range(a) if over(sets[a], sets[b]) and (not cross or rights[a] != rights[b])]
         assert classes(pairs) == classes(want)
         assert all(over(sets[a], sets[b]) for a, b in pairs)
+
+
+def test_words_that_a_power_sum_confuses(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash
+    modulo 2^64; here they must not."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    short, both = word[:64], other[:64]
+    a, b, c, d = (s[0] for s in shingle_sets(iter(t.encode() for t in (word, other, short, both)), 3))
+    assert len({int(a), int(b), int(c), int(d)}) == 4
+    got = {r.doc_id: r.component_id for r in N.join_groups(frame(spark, [(1, word, "", ""), (2, other, "", ""), (3, word, "", "")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_lanes_of_words_of_every_length():
+    words = ["x" * n for n in range(1, 200)] + ["x" * n + "y" for n in range(200)] + ["y" + "x" * n for n in range(1, 200)]
+    hashes = [int(s[0]) for s in shingle_sets(iter(w.encode() for w in words), 3)]
+    assert len(set(hashes)) == len(set(words))
+    joined = next(shingle_sets(iter([" ".join(words).encode()]), 1))
+    alone = {int(s[0]) for s in shingle_sets(iter(w.encode() for w in words), 1)}
+    assert alone == {int(h) for h in joined}

@@ -77,3 +77,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         yield
     finally:
         spark.conf.set(name, was)
+
+
+@contextlib.contextmanager
+def sized_shuffles(spark: SparkSession, rows: int, task_rows: int) -> Iterator[None]:
+    """Jobs run inside shuffle to as many partitions as so many rows need, at
+    most to the session's own number; the session's setting returns."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(was), -(-rows // task_rows)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)

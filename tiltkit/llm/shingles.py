@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 18
@@ -22,33 +23,35 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x2545F4914F6CDD1D
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse mod 2^64, n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a byte array: differences of one
-    running polynomial sum, scaled back by the word's start."""
+    """Start and hash of each word of a byte array. A word is read in lanes of
+    8 bytes; every lane is mixed into the hash before the next one is read, so
+    a hash depends on the lanes' order as well as on each bit of them."""
     gap = np.concatenate([[True], _GAP[data], [True]])
     turn = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = turn[::2], turn[1::2]
-    up, down = _grown(len(data) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64)])
-    return starts, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    # the 8 bytes from every position on (the last ones are padded)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    lanes = np.ndarray(shape=len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    hashes = _mix(sizes.astype(np.uint64) + _U(0x2545F4914F6CDD1D))
+    now = np.flatnonzero(sizes <= LONG_WORD)
+    at = 0
+    while len(now):
+        left = np.minimum(sizes[now] - at, 8).astype(np.uint64)
+        lane = lanes[starts[now] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left))
+        hashes[now] = _mix((hashes[now] ^ lane) * _U(0xD1342543DE82EF95) + _U(at))
+        at += 8
+        now = now[sizes[now] > at]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]].tobytes())
+    return starts, hashes
 
 
 def _fold(w: np.ndarray, k: int) -> np.ndarray:
