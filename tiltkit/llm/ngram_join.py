@@ -47,7 +47,7 @@ from .components import components
 #: Most members of a block of a bucket.
 BLOCK = 256
 #: Most n-grams of a group that has all classes which a chain of buckets reaches.
-WHOLE_GRAMS = 1_000_000
+WHOLE_GRAMS = 100_000
 #: Documents whose sets a task holds at a time.
 ROWS = 500
 #: Width of a hash range of step 1, as a multiple of 1 - percent / 100.
