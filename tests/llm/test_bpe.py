@@ -8,7 +8,7 @@ import pytest
 
 from tiltkit.llm import bpe
 
-from .conftest import SF001, odd_rows
+from .conftest import SF001, SF01, odd_rows
 
 LETTERS = [chr(c) for c in [*range(0x250), *range(0x300, 0x380), *range(0x2000, 0x2070), 0x3000, 0x4E00, 0x1F600, 0x85, 0xFEFF]]
 
@@ -50,7 +50,7 @@ def test_array_and_heap_merge_alike(vocabulary):
     r = random.Random(3)
     for _ in range(300):
         piece = bytes(r.choices(b"aeinrst othe", k=r.randrange(2, 90)))
-        assert bpe.merge_short(piece, vocabulary.ranks) == bpe.merge_long(piece, vocabulary.ranks)
+        assert bpe.merge_short(piece, vocabulary) == bpe.merge_long(piece, vocabulary)
 
 
 def test_decoding_broken_utf8(vocabulary, library):
@@ -77,3 +77,22 @@ def test_whole_table_round_trip(spark):
 
 def test_columns_named_as_results_are_replaced(odd):
     assert bpe.encode(odd).columns.count("ids") == 1
+
+
+def test_cache_is_bounded_in_bytes_within_one_text(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        v = bpe.Vocabulary(f.read())
+    r = random.Random(11)
+    text = " ".join("".join(r.choices("abcdefgh", k=r.randrange(1, 12))) for _ in range(20_000))
+    assert numbers(v.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert v.cache.held <= 20_000 and len(v.cache) + len(v.cache.old) < 20_000 // bpe.ENTRY_BYTES * 2 + 2 * len(v.cache.entries)
+
+
+def test_whole_table_equals_the_library(spark, library):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs).collect()}
+    for i, t in docs.collect():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert got[i] == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())

@@ -6,8 +6,10 @@ smallest rank is scanned for, its boundary deleted and the two neighbouring
 ranks refreshed, until no pair can merge. Words above ``SHORT`` bytes use a
 heap with the same merge order, as scanning is quadratic in the word's length.
 
-Spark partitions the documents and each task encodes its rows one by one, so
-memory is bounded by one Arrow batch plus a bounded cache of encoded words.
+Parts are known by their ids and a pair of ids, as one number, has its rank, so
+no bytes are cut. Spark partitions the documents and each task encodes its rows
+one by one, so memory is bounded by one Arrow batch plus a cache of encoded words
+bounded in bytes.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to an
 empty text; repeated rows are encoded each; other columns pass unchanged
@@ -19,19 +21,24 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import BATCH_ROWS
 
 #: Words above this many bytes merge with a heap instead of array scans.
 SHORT = 96
-#: Encoded words a task remembers at most, in each of two generations.
-CACHE = 60_000
+#: Bytes of encoded words a task remembers at most, in each of two generations
+#: (some 150,000 words).
+CACHE_BYTES = 24 << 20
+#: Bytes that a remembered word takes beside its letters and ids.
+ENTRY_BYTES = 140
+#: Bits of an id in a pair.
+PAIR = 24
 #: The pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
            r"|\s+(?!\S)|\s+")
@@ -66,7 +73,12 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        # a pair of ids, as one number -> its rank; the id that a rank makes
+        self.ranks, self.made = {}, []
+        for i, (x, y) in enumerate((raw(a), raw(b)) for a, b in pairs):
+            self.ranks[self.ids[x] << PAIR | self.ids[y]] = i
+            self.made.append(self.ids[x + y])
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.pieces = [b""] * size
         for piece, i in self.ids.items():
@@ -81,16 +93,15 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache.age()
+        known = self.cache.__getitem__
         if not self.cuts or not any(s in text for s in self.special):
-            return b"".join(map(self.cache.__getitem__, self.words.findall(text)))
+            return b"".join(map(known, self.words.findall(text)))
         out, at = [], 0
         for m in self.cuts.finditer(text):
-            out += map(self.cache.__getitem__, self.words.findall(text[at:m.start()]))
+            out += map(known, self.words.findall(text[at:m.start()]))
             out.append(self.special[m.group()].to_bytes(4, "little"))
             at = m.end()
-        out += map(self.cache.__getitem__, self.words.findall(text[at:]))
+        out += map(known, self.words.findall(text[at:]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -99,85 +110,83 @@ class Vocabulary:
 
 
 class _Encoded(dict):
-    """Ids of words, made when first asked for. When full, the words become
-    the old generation, from which those asked for again come back."""
+    """Ids of words, made when first asked for. Of words that are no entries
+    of the vocabulary, the bytes remembered are bounded, also within one text:
+    when full, the words become the old generation, from which those asked for
+    again come back. What entries become is settled once."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v, self.old = vocabulary, {}
-
-    def age(self) -> None:
-        self.old = dict(self)
-        self.clear()
+        self.v, self.old, self.entries, self.held = vocabulary, {}, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if word in self.old:
-            self[word] = self.old[word]
-            return self[word]
-        piece = word.encode()
-        if piece in self.v.ids and len(piece) == 1:
-            parts = [piece]
-        else:
-            parts = (merge_short if len(piece) <= SHORT else merge_long)(piece, self.v.ranks)
-        out = b"".join(self.v.ids[p].to_bytes(4, "little") for p in parts)
-        if len(piece) <= SHORT:
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            piece = word.encode()
+            out = array("I", (merge_short if len(piece) <= SHORT else merge_long)(piece, self.v))
+            if sys.byteorder == "big":
+                out.byteswap()
+            out = out.tobytes()
+            if piece in self.v.ids:
+                self[word] = self.entries[word] = out
+                return out
+            if len(piece) > SHORT:
+                return out
+        self.held += ENTRY_BYTES + 2 * len(word) + len(out)
+        if self.held > CACHE_BYTES:
+            self.old, self.held = dict(self), 0
+            self.clear()
+            self.update(self.entries)
+        self[word] = out
         return out
 
 
 def _numbers(ids: bytes) -> array:
-    import sys
-
     a = array("I", ids)
     if sys.byteorder == "big":
         a.byteswap()
     return a
 
 
-def merge_short(piece: bytes, ranks: dict) -> list[bytes]:
-    """The parts of a word by repeated scans of one contiguous rank array."""
-    bounds = list(range(len(piece) + 1))
-
-    def rank(i: int) -> int:
-        """Of the parts left and right of boundary i + 1."""
-        a, b, c = bounds[i:i + 3]
-        return ranks.get((piece[a:b], piece[b:c]), NO_RANK)
-
-    around = [ranks.get((piece[i:i + 1], piece[i + 1:i + 2]), NO_RANK) for i in range(len(piece) - 1)]
+def merge_short(piece: bytes, v: Vocabulary) -> list[int]:
+    """The ids of a word by repeated scans of one contiguous rank array: part
+    i is known by its id, and around[i] is the rank of parts i and i + 1."""
+    ids = [v.bytes[b] for b in piece]
+    rank = v.ranks.get
+    around = [rank(a << PAIR | b, NO_RANK) for a, b in zip(ids, ids[1:])]
     while around and (least := min(around)) < NO_RANK:
         i = around.index(least)
-        del bounds[i + 1], around[i]
+        made = ids[i] = v.made[least]
+        del ids[i + 1], around[i]
         if i < len(around):
-            around[i] = rank(i)
+            around[i] = rank(made << PAIR | ids[i + 1], NO_RANK)
         if i:
-            around[i - 1] = rank(i - 1)
-    return [piece[a:b] for a, b in zip(bounds, bounds[1:])]
+            around[i - 1] = rank(ids[i - 1] << PAIR | made, NO_RANK)
+    return ids
 
 
-def merge_long(piece: bytes, ranks: dict) -> list[bytes]:
+def merge_long(piece: bytes, v: Vocabulary) -> list[int]:
     """The same merges in the same order (least rank, then leftmost) in
     O(n log n), by a heap over linked part starts."""
     n = len(piece)
+    ids = [v.bytes[b] for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive = bytearray(b"\1" * n)
-
-    def rank(a: int) -> int:
-        b = after[a]
-        return ranks.get((piece[a:b], piece[b:after[b]]), NO_RANK) if b < n else NO_RANK
-
-    heap = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := rank(a)) < NO_RANK]
+    rank = v.ranks.get
+    heap = [(r, a, x, y) for a, (x, y) in enumerate(zip(ids, ids[1:])) if (r := rank(x << PAIR | y, NO_RANK)) < NO_RANK]
     heapq.heapify(heap)
     while heap:
-        _, a, b, c = heapq.heappop(heap)
-        if not alive[a] or after[a] != b or b >= n or not alive[b] or after[b] != c:
+        r, a, x, y = heapq.heappop(heap)
+        b = after[a]
+        if ids[a] != x or b >= n or ids[b] != y:
             continue  # one of its parts has merged meanwhile
-        alive[b], after[a] = 0, c
+        ids[a], ids[b], c = v.made[r], -1, after[b]
+        after[a] = c
         if c < n:
             before[c] = a
-        for x in (before[a], a):
-            if x >= 0 and (r := rank(x)) < NO_RANK:
-                heapq.heappush(heap, (r, x, after[x], after[after[x]]))
-    return [piece[a:after[a]] for a in range(n) if alive[a]]
+        for s in (before[a], a):
+            if s >= 0 and (t := after[s]) < n and (r := rank(ids[s] << PAIR | ids[t], NO_RANK)) < NO_RANK:
+                heapq.heappush(heap, (r, s, ids[s], ids[t]))
+    return [i for i in ids if i >= 0]
 
 
 _LOADED: dict[int, Vocabulary] = {}
@@ -260,9 +269,20 @@ def decode(tokens: DataFrame, ids_col: str = "ids", vocabulary: str | None = Non
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             vocabulary: str | None = None) -> DataFrame:
     """Per document: id, number of tokens, digest of the ids and of the text
-    that decoding them gives."""
-    tokens = encode(docs.select(id_col, text_col), text_col, vocabulary, drop_text=True)
-    back = decode(tokens, "ids", vocabulary)
-    return back.select(
-        id_col, "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    that decoding them gives (encoded and decoded a row at a time)."""
+    shared = _Shared(docs.sparkSession, vocabulary or default_vocabulary())
+
+    def fn(texts):
+        import hashlib
+
+        import pyarrow as pa
+
+        v, rows = _vocabulary(shared), []
+        for t in texts:
+            ids = v.encode(t.as_py() or "")
+            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(v.decode(ids).encode()).hexdigest()))
+        n, of_ids, of_text = zip(*rows) if rows else ((), (), ())
+        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+    added = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return _map_column(docs.select(id_col, text_col), text_col, added, fn, True)
