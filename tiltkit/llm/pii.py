@@ -14,7 +14,8 @@ points is taken instead: still distinct and never the atom itself, but it may be
 another atom. One table holds the surrogates, so the same atom becomes the same
 everywhere.
 
-Texts without an entity are not shuffled. The others meet their surrogates by a
+Texts are searched once, and written with what was found. Those without an
+entity are not shuffled. The others meet their surrogates by a
 digest of the text, after atoms are made distinct.
 
 Cases: a null text stays null, an empty text empty; other columns pass
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, let, packed
+from .common import Rounds, col, let, packed
 
 #: Default key of the surrogates; a real run passes its own secret.
 KEY = "corpus-key"
@@ -252,7 +253,9 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """The rows of ``docs`` with surrogates in the text, and ``n_entities``."""
-    rows = docs.select(packed(docs), col(docs, text_col).alias("text"), find(col(docs, text_col)).alias("found"))
+    # rows with what was found in them are written once, as the search is the cost
+    rows = Rounds(docs.sparkSession).write(docs.select(packed(docs), find(col(docs, text_col)).alias("found")))
+    rows = rows.select("row_", F.col("row_")[text_col].alias("text"), "found")
     parts = lambda found: F.transform(found, atoms)
     private = rows.where(F.size("found") > 0).withColumn("digest", F.md5("text"))
     asked = materialize(private.select("digest", F.explode(F.flatten(parts(F.col("found")))).alias("a")).select(
