@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from tiltkit.functions.numeric import ordered_key
-from tiltkit.operators.quantile import approx_quantiles, exact_quantiles
+from tiltkit.operators import quantile
+from tiltkit.operators.quantile import approx_quantiles, bracket_quantiles, exact_quantiles
 
 QS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -71,3 +72,45 @@ def test_approx_within_rank_tolerance(spark):
     for r in out:
         rank = np.searchsorted(s, r.value)
         assert abs(rank - r.q * len(s)) <= len(s) / 1000 * 2 + 1
+
+
+def _mixed(seed):
+    rng = random.Random(seed)
+    data = [(g, rng.choice([rng.uniform(-5, 5), float(rng.randint(0, 3)), rng.lognormvariate(0, 3)]))
+            for g, n in {"a": 1, "b": 2, "c": 3, "d": 20, "e": 700}.items() for _ in range(n)]
+    data += [("hot", float(rng.randint(0, 5))) for _ in range(2000)] + [("wide", rng.gauss(0, 1)) for _ in range(3000)]
+    data += [(None, 1.5), (None, -2.0), (None, -0.0), ("a", None), ("a", float("nan")), ("gone", None), ("z", -0.0), ("z", 0.0)]
+    return data
+
+
+@pytest.mark.parametrize("accuracy,slack,window", [(10_000, 3.0, 65_536), (50, 3.0, 65_536), (50, 3.0, 10), (40, 0.0, 65_536)])
+def test_bracket_equals_radix(spark, monkeypatch, accuracy, slack, window):
+    """Ties, NULLs, groups of one, brackets that miss (no slack), and brackets
+    with more values than a window may see."""
+    monkeypatch.setattr(quantile, "WINDOW_ROWS", window)
+    df = spark.createDataFrame(_mixed(accuracy), "g string, v double").repartition(5)
+    qs = (0.0, *QS, 1.0)
+    for rule in ("nearest", "lower", "higher"):
+        got = bracket_quantiles(df, ["g"], "v", qs, rule, True, accuracy, slack).collect()
+        want = exact_quantiles(df, ["g"], "v", qs, rule, True).collect()
+        key = lambda r: (str(r.g), r.q, r.value, r.n, round(r.total, 6))
+        assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 9 * len(qs)
+        if window == 10 or slack == 0.0:
+            break
+
+
+def test_bracket_keeps_little_and_copies_nothing(spark, monkeypatch):
+    """What is written of a large group is a small part of it."""
+    sizes = []
+    real = quantile.materialize
+    monkeypatch.setattr(quantile, "materialize", lambda d: sizes.append(real(d)) or sizes[-1])
+    df = spark.range(200_000).selectExpr("'g' AS g", "(id * 7919) % 200003 + 0.5 AS v")
+    got = {r.q: r.value for r in bracket_quantiles(df, ["g"], "v", QS, accuracy=1000).collect()}
+    vals = sorted(i * 7919 % 200003 + 0.5 for i in range(200_000))
+    assert got == {q: nearest(vals, q) for q in QS}
+    assert max(d.count() for d in sizes) < 200_000 * len(QS) * 0.02
+
+
+def test_bracket_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert bracket_quantiles(df, ["g"], "v", QS, with_stats=True).count() == 0

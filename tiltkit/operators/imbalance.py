@@ -30,15 +30,34 @@ def stock_values(stock: DataFrame) -> DataFrame:
     )
 
 
+def unique_keys(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, or an error that names a key which occurs more than once.
+
+    The check is part of the plan: rows are grouped by the keys, the count is
+    asserted by a filter, and the values come out of the same aggregate, so
+    ``df`` is read once and a join on the keys finds it partitioned already.
+    Rows with a null key match nothing and are not checked (one of them stays).
+    """
+    values = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in values], F.count(F.lit(1)).alias("_copies"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    name = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys])
+    fault = F.raise_error(F.concat(F.lit(f"{what}: more than one row for "), name)).cast("boolean")
+    return one.where(F.when(known & (F.col("_copies") > 1), fault).otherwise(F.lit(True))).select(*df.columns)
+
+
 def join_stock_panel(panel: DataFrame, stock: DataFrame) -> DataFrame:
     """Left join of the option panel to the stock panel on (date, ticker).
 
     Both sides grow with the data, so no broadcast is forced: the planner
     (AQE) picks sort-merge or broadcast from runtime sizes, and AQE splits a
-    skewed (date, ticker) partition. The stock panel must be unique on the
-    key (see ``duplicate_keys``), otherwise rows fan out.
+    skewed (date, ticker) partition. A stock panel that is not unique on the
+    key, so that panel rows would fan out, is an error when the plan runs (a
+    plan that uses no stock value drops the join, and rows cannot fan out).
     """
-    return panel.join(stock_values(stock), ["date", "ticker"], "left")
+    return panel.join(unique_keys(stock_values(stock), ["date", "ticker"], "stock panel"), ["date", "ticker"], "left")
 
 
 def duplicate_keys(stock: DataFrame) -> DataFrame:
@@ -111,6 +130,6 @@ def investor_measures(classes: Sequence[str]) -> list[str]:
 
 
 __all__ = [
-    "with_delta_moneyness", "join_stock_panel", "duplicate_keys", "short_dated",
+    "with_delta_moneyness", "join_stock_panel", "duplicate_keys", "unique_keys", "short_dated",
     "imbalance_by_ticker", "imbalance_curve", "investor_measures", "stock_values",
 ]

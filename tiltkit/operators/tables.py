@@ -18,7 +18,7 @@ from ..schema import (
     CONTRACT_MULTIPLIER, MATURITIES, MEASURES, MONEYNESS, QUANTILES,
     TABLE_CLASSES, UNCLASSIFIED, dollar_col, trade_col,
 )
-from .quantile import exact_quantiles, approx_quantiles, wide_quantiles
+from .quantile import approx_quantiles, bracket_quantiles, wide_quantiles
 
 DAY_KEYS = ("date", "ticker", "f_k_moneyness", "cp_flag")
 FLAGS = ("C", "P")
@@ -67,7 +67,7 @@ def volume_distribution(daily: DataFrame, columns: Mapping[str, str] | None = No
     g = ["investor", "cp_flag", "f_k_moneyness"]
     if exact:
         # groups: classes x {C, P} x moneyness labels -> a small closed domain
-        ql = exact_quantiles(long, g, "value", QUANTILES, with_stats=True)
+        ql = bracket_quantiles(long, g, "value", QUANTILES, with_stats=True)
         wide = wide_quantiles(ql, g, QUANTILES, QCOLS, extra=("n", "total"))
     else:
         ql = approx_quantiles(long, g, "value", QUANTILES, accuracy, with_stats=True)
