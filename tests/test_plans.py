@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from tiltkit.operators import imbalance as imb
 from tiltkit.operators import panel as pnl
-from tiltkit.plans import registry
+from tiltkit.operators.joins import KeySet
+from tiltkit.plans import catalog, registry, stored
 from tiltkit.sources import io
 from tiltkit.sources import starschema as ss
 
@@ -145,3 +147,92 @@ def test_cluster_without_checkpoint_folder_is_an_error():
     fake.sparkContext.master = "spark://host:7077"
     with pytest.raises(ValueError, match="checkpoint"):
         ensure_checkpoint_dir(fake)
+
+
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, was)
+
+
+@pytest.fixture(scope="module")
+def raw_options(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("raw") / "options")
+    ss.option_month(spark, SF001).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _shuffles_above_scan(plan: str) -> int:
+    """Shuffles between the option scan and the first aggregation above it."""
+    lines = [re.sub(r"^[\s:+\-*()\d]*", "", line) for line in plan.split("\n")]
+    scan = next(i for i, line in enumerate(lines) if "Scan parquet" in line and "customer_open_buy_volume" in line or "Scan parquet" in line and "ticker" in line)
+    above = []
+    for line in reversed(lines[:scan]):
+        if line.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")):
+            break
+        above.append(line)
+    return sum(line.startswith("Exchange") for line in above)
+
+
+@pytest.mark.parametrize("most_keys", [1_000_000, 0])
+def test_universe_filter_moves_no_raw_row(spark, raw_options, no_auto_broadcast, most_keys):
+    """A small set is broadcast by its checked size, a larger one as a filter
+    below the panel's aggregation."""
+    stock = ss.stock_daily(spark, SF001)
+    keys = KeySet(stock, "ticker", most_keys=most_keys)
+    assert keys.small == (most_keys > 0) and keys.count == stock.select("ticker").distinct().count()
+    panel = pnl.yearly_panel(raw_options, keys)
+    assert _shuffles_above_scan(_physical(panel)) == 0 and "BroadcastHashJoin" in _physical(panel)
+    want = {(r.ticker, r.date): r.n for r in pnl.aggregate_panel(pnl.classify_options(raw_options)).groupBy("ticker", "date").agg(
+        F.count("*").alias("n")).collect()}
+    got = {(r.ticker, r.date): r.n for r in panel.groupBy("ticker", "date").agg(F.count("*").alias("n")).collect()}
+    names = {r.ticker for r in stock.select("ticker").distinct().collect()}
+    assert got == {k: n for k, n in want.items() if k[0] in names} and len(got) < len(want)
+    if most_keys:
+        rows = pnl.universe_rows(raw_options, stock)
+        assert _shuffles_above_scan(_physical(rows)) == 0
+
+
+def test_filter_of_a_large_key_set_loses_nothing(spark):
+    keys = KeySet(spark.range(0, 20_000, 2).selectExpr("id AS k", "id % 7 AS g"), ["k", "g"], most_keys=10)
+    big = spark.range(20_000).selectExpr("id AS k", "id % 7 AS g", "id AS v").unionByName(
+        spark.createDataFrame([(None, 1, 5), (4, None, 6)], "k long, g long, v long"))
+    for n_words in (None, 1, 64):
+        assert keys.might_hold(big, n_words).where("v % 2 = 0 AND k IS NOT NULL AND g IS NOT NULL AND v = k").count() == 10_000
+    assert keys.might_hold(big).count() < 12_000
+    assert sorted(r.v for r in keys.semi_join(big).collect()) == list(range(0, 20_000, 2))
+    assert KeySet(spark.createDataFrame([], "k long"), "k").semi_join(big).count() == 0
+
+
+def test_repeated_stock_key_is_an_error(spark, raw_options):
+    panel = pnl.aggregate_panel(pnl.classify_options(raw_options))
+    stock = ss.stock_daily(spark, SF001)
+    twice = stock.unionByName(stock.where("ticker = 'Brand#11'").limit(1))
+    with pytest.raises(Exception, match="stock panel: more than one row for date=.*, ticker=Brand#11"):
+        imb.join_stock_panel(panel, twice).agg(F.sum("prc")).collect()
+    # a result that needs no stock value needs no join, and has no row too many
+    assert imb.join_stock_panel(panel, twice).count() == panel.count()
+    nulls = spark.createDataFrame([(None, "Brand#11", "c", 1.0, 2.0)] * 2, stock.schema)
+    joined = imb.join_stock_panel(panel, stock.unionByName(nulls))
+    assert joined.count() == panel.count()
+    # one read of the panel and one aggregation of the stock rows
+    assert _physical(imb.join_stock_panel(raw_options.select("date", "ticker"), stock)).count("customer_open") == 0
+
+
+def test_bucketed_join_moves_no_row(spark):
+    panel, stock = catalog.panel(spark, SF001), catalog.stock(spark, SF001)
+    joined = stored.bucketed_stock_join(spark, panel, stock)
+    plan = _physical(joined)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "SelectedBucketsCount" in plan
+    assert joined.count() == panel.count()
+
+
+def test_listed_years_prune_while_running(spark):
+    plan = _physical(stored.q_panel_of_listed_years(spark, SF001))
+    assert "dynamicpruning" in plan.lower()
+    df = stored.q_panel_of_listed_years(spark, SF001)
+    df.collect()
+    assert df.count() > 0

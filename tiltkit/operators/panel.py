@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import forward_moneyness, maturity_bucket
 from ..functions.numeric import ieee_ratio, round_half_away
 from ..schema import CLASS_SOURCES, MEASURES, PANEL_KEYS, dollar_col, trade_col
-from .joins import semi_join_keys
+from .joins import KeySet, semi_join_keys
 
 
 def class_volumes(options: DataFrame, mid=None) -> list:
@@ -54,28 +54,39 @@ def classify_options(options: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_panel(classified: DataFrame) -> DataFrame:
-    """8-key sum of the 12 measures, then HAVING customer+professional+firm > 0.
+def panel_sums(classified: DataFrame) -> DataFrame:
+    """8-key sums of the 12 measures, of classified rows or of such sums: sums
+    of parts merge to the sums of all. A group whose values are all NULL sums
+    to 0 (not NULL)."""
+    return classified.groupBy(*PANEL_KEYS).agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in MEASURES])
 
-    A group whose values are all NULL sums to 0 (not NULL).
-    """
-    agg = classified.groupBy(*PANEL_KEYS).agg(
-        *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in MEASURES]
-    )
-    total = F.col(trade_col("customer")) + F.col(trade_col("professional")) + F.col(trade_col("firm"))
-    return agg.where(total > 0)
+
+def with_volume(sums: DataFrame) -> DataFrame:
+    """HAVING customer + professional + firm > 0; only whole sums may be judged."""
+    return sums.where(F.col(trade_col("customer")) + F.col(trade_col("professional")) + F.col(trade_col("firm")) > 0)
+
+
+def aggregate_panel(classified: DataFrame) -> DataFrame:
+    """8-key sum of the 12 measures, then HAVING customer+professional+firm > 0."""
+    return with_volume(panel_sums(classified))
 
 
-def yearly_panel(options: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+def yearly_panel(options: DataFrame, universe: DataFrame | KeySet | None = None) -> DataFrame:
     """Monthly option rows -> yearly panel restricted to the stock universe.
 
     ``universe`` is any frame with a ``ticker`` column (e.g. the daily stock
-    panel); its distinct tickers filter the options before the aggregation,
-    which is equivalent because ticker is a group key.
+    panel) or its ``KeySet``; its distinct tickers filter the options before
+    the aggregation, which is equivalent because ticker is a group key. Raw
+    rows are never moved for it: a small set is broadcast, a larger one is a
+    broadcast filter below the aggregation and an exact join above it.
     """
-    if universe is not None:
-        options = semi_join_keys(options, universe, "ticker")
-    return aggregate_panel(classify_options(options))
+    if universe is None:
+        return aggregate_panel(classify_options(options))
+    keys = universe if isinstance(universe, KeySet) else KeySet(universe, "ticker")
+    if keys.small:
+        return aggregate_panel(classify_options(keys.semi_join(options)))
+    panel = aggregate_panel(classify_options(keys.might_hold(options)))
+    return panel.join(keys.keys, "ticker", "left_semi").select(*PANEL_KEYS, *MEASURES)
 
 
 def universe_rows(options: DataFrame, universe: DataFrame) -> DataFrame:

@@ -84,3 +84,25 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header (summary tables)."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def read_panel_of_years(spark: SparkSession, path: str, years: DataFrame) -> DataFrame:
+    """The yearly panel of the years in a frame (column ``year``), pruned while
+    the query runs: the distinct years are broadcast (a panel has one folder
+    per year, so they are few) and the same broadcast selects the folders that
+    the scan lists (dynamic partition pruning)."""
+    return read_panel(spark, path).join(F.broadcast(years.select("year").distinct()), "year", "left_semi")
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write ``df`` as a table of hash buckets of ``keys``, each sorted by
+    them, and return the table. Tables with equal keys and buckets meet in a
+    join or a grouping on the keys without a shuffle, however often. One task
+    writes a bucket, so each bucket is one file. Bucket by all keys of the
+    join: a hot ticker then spreads over its dates."""
+    (
+        df.repartition(buckets, *keys).write.mode(mode)
+        .bucketBy(buckets, keys[0], *keys[1:]).sortBy(*keys)
+        .option("path", path).saveAsTable(table)
+    )
+    return df.sparkSession.table(table)

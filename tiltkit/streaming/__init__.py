@@ -1,5 +1,5 @@
 """Structured Streaming ingestion of monthly option files."""
 
-from .monthly import month_stream, panel_stream, read_stream_panel
+from .monthly import compact_stream_panel, month_stream, panel_stream, read_stream_panel
 
-__all__ = ["month_stream", "panel_stream", "read_stream_panel"]
+__all__ = ["compact_stream_panel", "month_stream", "panel_stream", "read_stream_panel"]
