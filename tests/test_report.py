@@ -39,3 +39,29 @@ def test_model_comparison_cells(spark):
     assert (rows[4].first, rows[5].first) == ("", "")  # missing term
     assert rows[8].second == "0.50" and rows[9].first == "0.20"
     assert rows[10].second == "1,234,567"
+
+
+def test_header_spans(spark):
+    """Skipped columns end a span and are cells of their own; equal names meet
+    only where adjacent."""
+    names = ["a", "a", "b", "a", "a", "a", None, ""]
+    skipped = {4}
+    rows = [("t", i, n, i in skipped) for i, n in enumerate(names)] + [("u", 0, "x", None)]
+    got = report.header_spans(spark.createDataFrame(rows, "t string, position int, name string, skipped boolean"), ["t"]).collect()
+    spans = sorted((r.cell, r.text, r.first_col, r.last_col, r.ruled) for r in got if r.t == "t" and r.line == "names")
+    # the last two are blank names that are not skipped: one cell
+    assert spans == [(0, "a", 1, 2, True), (1, "b", 3, 3, True), (2, "a", 4, 4, True), (3, "", 5, 5, False), (4, "a", 6, 6, True),
+                     (5, "", 7, 8, False)]
+    numbers = [r.text for r in sorted((r for r in got if r.t == "t" and r.line == "numbers"), key=lambda r: r.cell)]
+    assert numbers == ["(1)", "(2)", "(3)", "(4)", "", "(6)", "(7)", "(8)"]
+    assert [(r.text, r.first_col, r.last_col) for r in got if r.t == "u" and r.line == "names"] == [("x", 1, 1)]
+
+
+def test_date_effects_label_and_tstats(spark):
+    t = report.regression_table(_coef(spark), {"m1": "m1"}, fixed_effects={"m1": "Yes"}, time_effects_only=True)
+    assert ("Date FE", "Yes") in {(r.row_label, r.m1) for r in t.collect()}
+    from pyspark.sql import functions as F
+
+    z = _coef(spark).withColumn("z", F.col("coef") / F.col("bse"))
+    lines = {r.row_label: (r.line_no, r.m1, r.m2) for r in report.tstat_lines(z, {"m1": "m1", "m2": "m2"}).collect()}
+    assert lines["Z"] == (0, "[-2.47]", "[2.50]") and lines["Z:Xc"] == (2, "", "[0.50]")

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    fmt_bse, fmt_coef, fmt_fixed, fmt_nobs, fmt_rsquared, fmt_share_pct, fmt_thousands,
+    fmt_bse, fmt_coef, fmt_fixed, fmt_nobs, fmt_rsquared, fmt_share_pct, fmt_thousands, fmt_tstat,
 )
 from ..schema import MONEYNESS, PANEL_TITLES, QUANTILE_LABELS, TERM_ORDER
 
@@ -71,14 +71,58 @@ def model_comparison(coef: DataFrame, models: Mapping[str, str], decimals: int =
     return _pivot_models(_term_lines(coef, terms, coef_text, se_text, footer), models)
 
 
+def header_spans(columns: DataFrame, table: Sequence[str] = ()) -> DataFrame:
+    """Header cells of a regression table over its ordered model columns.
+
+    ``columns`` has, per table (key columns ``table``), ``position`` (from 0),
+    ``name`` and ``skipped``. Adjacent columns of one name share a cell; a
+    skipped column is a blank cell of its own and ends the one before. Returns
+    (table..., line, cell, text, first_col, last_col, ruled): line ``names`` has
+    the shared cells, ``ruled`` (a rule is drawn below) where the name is not
+    blank; line ``numbers`` has "(1)", "(2)", ... per column, blank where
+    skipped. Columns count from 1; the row labels stand before them.
+
+    Gaps and islands: a cell begins where the name differs from the column
+    before, and the running count of beginnings numbers it. A table's windows
+    hold its model columns only.
+    """
+    at = Window.partitionBy(*table).orderBy("position")
+    c = columns.select(*table, (F.row_number().over(at) - 1).cast("int").alias("i"), "position", F.coalesce("skipped", F.lit(False)).alias("skipped"),
+                       F.when(F.coalesce("skipped", F.lit(False)), "").otherwise(F.coalesce("name", F.lit(""))).alias("name"))
+    begins = F.col("skipped") | F.lag("name").over(at).isNull() | (F.lag("name").over(at) != F.col("name"))
+    c = c.withColumn("begins", begins.cast("int")).withColumn("cell", (F.sum("begins").over(at) - 1).cast("int"))
+    col = (F.col("i") + 1).alias("col")
+    names = c.groupBy(*table, "cell").agg(F.first("name").alias("text"), F.min(col).alias("first_col"), F.max(col).alias("last_col"))
+    names = names.select(*table, F.lit("names").alias("line"), "cell", "text", "first_col", "last_col", (F.col("text") != "").alias("ruled"))
+    number = F.when(F.col("skipped"), "").otherwise(F.concat(F.lit("("), col.cast("string"), F.lit(")")))
+    numbers = c.select(*table, F.lit("numbers").alias("line"), F.col("i").alias("cell"), number.alias("text"), col.alias("first_col"),
+                       col.alias("last_col"), F.lit(False).alias("ruled"))
+    return names.unionByName(numbers)
+
+
+def tstat_lines(coef: DataFrame, models: Mapping[str, str], terms: Sequence[str] = TERM_ORDER) -> DataFrame:
+    """Per term a line with each model's t-statistic in square brackets."""
+    order = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term")).cast("int") - 1
+    text = F.when(F.col("z").isNull(), "").otherwise(fmt_tstat("z"))
+    long = coef.where(F.col("term").isin(*terms)).select("model", order.alias("line_no"), F.col("term").alias("row_label"), text.alias("text"))
+    return _pivot_models(long, models)
+
+
+#: Labels of the fixed-effects line.
+FIRM_DATE_FE, DATE_FE = "Firm and date FE", "Date FE"
+
+
 def regression_table(coef: DataFrame, models: Mapping[str, str], rows: Sequence[str] = TERM_ORDER,
                      include_nobs: bool = True, include_rsquared: bool = True,
                      fixed_effects: Mapping[str, str] | None = None,
-                     fe_label: str = "Firm and date FE", skip_models: Sequence[str] = ()) -> DataFrame:
+                     fe_label: str | None = None, skip_models: Sequence[str] = (),
+                     time_effects_only: bool = False) -> DataFrame:
     """Regression table body and footer: per row a coefficient line (3
     decimals with stars) and an s.e. line; then N, R^2 in percent and an
-    optional fixed-effects line. Models in ``skip_models`` get blank cells.
+    optional fixed-effects line, for firm and date or (``time_effects_only``)
+    for the date alone. Models in ``skip_models`` get blank cells.
     """
+    fe_label = fe_label or (DATE_FE if time_effects_only else FIRM_DATE_FE)
     footer: list[tuple[str, F.Column]] = []
     if include_nobs:
         footer.append(("N", fmt_nobs(F.col("nobs"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imbalance as imb
 from ..operators import rdd
+from ..operators.cutoff_effects import cutoff_effects
 from ..functions.stats import erfc_sql
 from ..schema import RDD_CLASSES, Z_CRIT, dollar_col
 from . import catalog as C
@@ -94,6 +95,18 @@ def q_rdd_mcap(spark, sf):
     return _summary(cur, "ln_mcap", MCAP_CUTOFF, MCAP_GRID)
 
 
+def q_cutoff_effect_se(spark, sf):
+    """Jump and HC1 error of every candidate, as one fit per candidate gives."""
+    e = cutoff_effects(_price_curve(spark, sf), "itm_otm", "ln_prc", C.FIX_GRID, KEYS).drop("mse")
+    return C.rounded(C.rounded(e, ["cutoff", "effect_Z", "bse_Z"], COEF_DP), ["z_Z"], Z_DP)
+
+
+def q_cutoff_effect_min_norm(spark, sf):
+    """Jumps on the study's default grid, whose ends leave a side one x or none."""
+    e = cutoff_effects(_price_curve(spark, sf), "itm_otm", "ln_prc", None, KEYS, least_norm=True)
+    return C.rounded(e.select(*KEYS, "j", "cutoff", "effect_Z", "rank_deficient"), ["cutoff", "effect_Z"], COEF_DP)
+
+
 # ------------------------------------------------------------------ oracles
 
 def _curve_ctes(x):
@@ -322,7 +335,74 @@ def o_rdd_mcap():
     return _o_summary("ln_mcap", MCAP_CUTOFF, MCAP_GRID, ("C",))
 
 
+_EFFECT_SIDES = ["""
+gs AS (
+  SELECT cp_flag, investor, j, c, z, count(*) AS n, avg(xc) AS mx, avg(y) AS my, regr_sxx(y, xc) AS sxx,
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_slope(y, xc) END AS b,
+         CASE WHEN count(*) >= 2 AND max(x) > min(x) THEN regr_intercept(y, xc) END AS a
+  FROM gd GROUP BY ALL
+)""", """
+gq AS (
+  SELECT gd.cp_flag, gd.investor, gd.j, gd.z, any_value(s.n) AS n,
+         sum(power((1.0 / s.n - s.mx * (gd.xc - s.mx) / s.sxx) * (gd.y - s.a - s.b * gd.xc), 2)) AS q,
+         sum(power(gd.y - s.a - s.b * gd.xc, 2)) AS sse, sum(power(gd.y - s.my, 2)) AS syy
+  FROM gd JOIN gs s USING (cp_flag, investor, j, z) WHERE s.b IS NOT NULL
+  GROUP BY ALL
+)""", """
+model AS (SELECT cp_flag, investor, j, any_value(c) AS c, sum(n)::BIGINT AS nobs FROM gs GROUP BY cp_flag, investor, j)""", """
+sides AS (
+  SELECT m.*, l.a AS aL, l.b AS bL, l.mx AS xL, l.my AS yL, l.n AS nL, r.a AS aR, r.b AS bR, r.mx AS xR, r.my AS yR, r.n AS nR,
+         CASE WHEN ql.n = 2 OR ql.sse <= 1e-12 * ql.syy THEN 0 ELSE ql.q END AS qL,
+         CASE WHEN qr.n = 2 OR qr.sse <= 1e-12 * qr.syy THEN 0 ELSE qr.q END AS qR
+  FROM model m
+  LEFT JOIN gs l ON l.cp_flag = m.cp_flag AND l.investor = m.investor AND l.j = m.j AND l.z = 0
+  LEFT JOIN gs r ON r.cp_flag = m.cp_flag AND r.investor = m.investor AND r.j = m.j AND r.z = 1
+  LEFT JOIN gq ql ON ql.cp_flag = m.cp_flag AND ql.investor = m.investor AND ql.j = m.j AND ql.z = 0
+  LEFT JOIN gq qr ON qr.cp_flag = m.cp_flag AND qr.investor = m.investor AND qr.j = m.j AND qr.z = 1
+)"""]
+
+
+def o_cutoff_effect_se():
+    ctes = _curve_ctes("ln_prc") + _grid_ctes("curve", C.FIX_GRID)[:2] + _EFFECT_SIDES + ["""
+eff AS (
+  SELECT cp_flag, investor, j, c, nobs, aR - aL AS e, bL IS NULL OR bR IS NULL AS deficient,
+         CASE WHEN bL IS NOT NULL AND bR IS NOT NULL AND nobs > 4 THEN sqrt(nobs::DOUBLE / (nobs - 4) * (qL + qR)) END AS se
+  FROM sides
+)""", "zed AS (SELECT *, CASE WHEN se > 0 THEN e / se END AS zz FROM eff)"]
+    return orc.with_ctes(ctes, f"""
+SELECT cp_flag, investor, j, {R('c', COEF_DP)} AS cutoff, nobs, {R('e', COEF_DP)} AS effect_Z, {R('se', COEF_DP)} AS bse_Z,
+       {R('zz', Z_DP)} AS z_Z, {_stars_sql('zz')} AS stars_Z, deficient AS rank_deficient
+FROM zed""")
+
+
+def o_cutoff_effect_min_norm():
+    n = 101
+    ctes = _curve_ctes("ln_prc") + ["""
+rng AS (SELECT cp_flag, investor, min(x) AS lo, max(x) AS hi FROM curve GROUP BY ALL)""", f"""
+cuts AS (
+  SELECT cp_flag, investor, CAST(j AS INTEGER) AS j, CASE WHEN j = {n - 1} THEN hi ELSE j::DOUBLE * ((hi - lo) / {float(n - 1)!r}::DOUBLE) + lo END AS c
+  FROM rng, range(0, {n}) t(j)
+)""", """
+gd AS (
+  SELECT s.cp_flag, s.investor, s.x, s.itm_otm AS y, g.j, g.c, CASE WHEN s.x >= g.c THEN 1 ELSE 0 END AS z, s.x - g.c AS xc
+  FROM curve s JOIN cuts g USING (cp_flag, investor)
+)"""] + _EFFECT_SIDES
+    effect = """CASE WHEN bL IS NOT NULL AND bR IS NOT NULL THEN aR - aL
+      WHEN nR IS NULL THEN 0
+      WHEN bL IS NOT NULL THEN (yR - aL - bL * xR) / (1 + xR * xR)
+      WHEN nL IS NULL AND bR IS NOT NULL THEN aR / 2
+      WHEN bR IS NOT NULL THEN aR / 2 - (yL - aR / 2 - xL * bR / 2) / (1 + xL * xL)
+      WHEN nL IS NULL THEN yR / (2 * (1 + xR * xR))
+      ELSE ((1 + xL * xL) * yR - (1 + xL * xR) * yL) / (2 * (1 + xL * xL) * (1 + xR * xR) - power(1 + xL * xR, 2)) END"""
+    return orc.with_ctes(ctes, f"""
+SELECT cp_flag, investor, j, {R('c', COEF_DP)} AS cutoff, {R(effect, COEF_DP)} AS effect_Z,
+       bL IS NULL OR bR IS NULL AS rank_deficient
+FROM sides""")
+
+
 QUERIES = {
+    "cutoff_effect_se": q_cutoff_effect_se,
+    "cutoff_effect_min_norm": q_cutoff_effect_min_norm,
     "rdd_price_hc1": q_rdd_price_hc1,
     "rdd_price_cluster": q_rdd_price_cluster,
     "rdd_fitted_line": q_rdd_fitted_line,
@@ -333,6 +413,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "cutoff_effect_se": o_cutoff_effect_se,
+    "cutoff_effect_min_norm": o_cutoff_effect_min_norm,
     "rdd_price_hc1": o_rdd_price_hc1,
     "rdd_price_cluster": o_rdd_price_cluster,
     "rdd_fitted_line": o_rdd_fitted_line,

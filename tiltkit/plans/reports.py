@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rdd, report
@@ -41,6 +42,30 @@ def q_share_distribution_panel(spark, sf):
     return report.distribution_panel(C.q_share_distribution(spark, sf))
 
 
+#: Models whose date effects are taken out, and the class and flag whose column is skipped.
+WITH_FE = {m: "Yes" if m.endswith("_C") else "No" for m in MODELS}
+SKIPPED = ("firm", "P")
+
+
+def q_regression_table_date_fe(spark, sf):
+    return report.regression_table(_coef(spark, sf), MODELS, fixed_effects=WITH_FE, time_effects_only=True)
+
+
+def q_tstat_table(spark, sf):
+    return report.tstat_lines(_coef(spark, sf), MODELS)
+
+
+def q_regression_table_header(spark, sf):
+    """Headers of two tables over the fitted models: columns by class, then
+    flag (a class has adjacent columns), and by flag, then class."""
+    models = D._fit(spark, sf).select(*D.KEYS).withColumn("skipped", (F.col("investor") == SKIPPED[0]) & (F.col("cp_flag") == SKIPPED[1]))
+    layouts = []
+    for name, other in (("investor", "cp_flag"), ("cp_flag", "investor")):
+        place = F.row_number().over(Window.orderBy(name, other)) - 1  # one row per model
+        layouts.append(models.select(F.lit(f"by_{name}").alias("table_name"), place.alias("position"), F.col(name).alias("name"), "skipped"))
+    return report.header_spans(layouts[0].unionByName(layouts[1]), ["table_name"])
+
+
 # ------------------------------------------------------------------ oracles
 
 def _fit_sql() -> list[str]:
@@ -77,7 +102,7 @@ def o_model_comparison():
     return orc.with_ctes(_fit_sql(), _pivot("\n UNION ALL ".join(parts)))
 
 
-def o_regression_table():
+def o_regression_table(fe_line: str | None = None):
     parts, i = [], 0
     for t in TERM_ORDER:
         parts.append(f"SELECT model, {i} AS line_no, '{t}' AS row_label, "
@@ -91,9 +116,42 @@ def o_regression_table():
                  f"FROM mc WHERE term = 'Z'")
     parts.append(f"SELECT model, {i + 1} AS line_no, 'R^2(%)' AS row_label, "
                  f"printf('%.2f', r2 * 100.0) AS text FROM mc WHERE term = 'Z'")
+    if fe_line:
+        cases = " ".join(f"WHEN '{m}' THEN '{v}'" for m, v in WITH_FE.items())
+        parts.append(f"SELECT model, {i + 2} AS line_no, '{fe_line}' AS row_label, CASE model {cases} ELSE '' END AS text FROM mc WHERE term = 'Z'")
     return orc.with_ctes(_fit_sql(), _pivot("\n UNION ALL ".join(parts)))
 
 
+def o_regression_table_date_fe():
+    return o_regression_table("Date FE")
+
+
+def o_tstat_table():
+    lines = " UNION ALL ".join(
+        f"SELECT model, {i} AS line_no, '{t}' AS row_label, CASE WHEN zstat IS NULL THEN '' ELSE '[' || printf('%.2f', zstat) || ']' END AS text "
+        f"FROM mc WHERE term = '{t}'" for i, t in enumerate(TERM_ORDER))
+    return orc.with_ctes(_fit_sql(), _pivot(lines))
+
+
+def o_regression_table_header():
+    skipped = f"(investor = '{SKIPPED[0]}' AND cp_flag = '{SKIPPED[1]}')"
+    tables = " UNION ALL ".join(
+        f"SELECT 'by_{n}' AS table_name, row_number() OVER (ORDER BY {n}, {o}) - 1 AS i, {skipped} AS skipped, "
+        f"CASE WHEN {skipped} THEN '' ELSE {n} END AS name FROM models"
+        for n, o in (("investor", "cp_flag"), ("cp_flag", "investor")))
+    return orc.with_ctes(_fit_sql() + ["models AS (SELECT DISTINCT cp_flag, investor FROM coef)", f"cols AS ({tables})", """
+cells AS (
+  SELECT *, CAST(sum(CASE WHEN skipped OR before IS NULL OR before <> name THEN 1 ELSE 0 END) OVER (PARTITION BY table_name ORDER BY i) - 1 AS INTEGER) AS cell
+  FROM (SELECT *, lag(name) OVER (PARTITION BY table_name ORDER BY i) AS before FROM cols)
+)"""], """
+SELECT table_name, 'names' AS line, cell, any_value(name) AS text, CAST(min(i) + 1 AS INTEGER) AS first_col, CAST(max(i) + 1 AS INTEGER) AS last_col,
+       any_value(name) <> '' AS ruled
+FROM cells GROUP BY table_name, cell
+UNION ALL
+SELECT table_name, 'numbers', CAST(i AS INTEGER), CASE WHEN skipped THEN '' ELSE '(' || (i + 1) || ')' END, CAST(i + 1 AS INTEGER), CAST(i + 1 AS INTEGER), FALSE
+FROM cells""")
+
+
 def o_significance_stars():
     return orc.with_ctes(_fit_sql(), f"SELECT split_part(model, '_', -1) AS cp_flag, "
                                      f"regexp_replace(model, '_[CP]$', '') AS investor, term, "
@@ -124,6 +182,9 @@ def _panel_sql(dist: str) -> str:
 
 
 QUERIES = {
+    "regression_table_header": q_regression_table_header,
+    "regression_table_date_fe": q_regression_table_date_fe,
+    "tstat_table": q_tstat_table,
     "model_comparison": q_model_comparison,
     "regression_table": q_regression_table,
     "significance_stars": q_significance_stars,
@@ -132,6 +193,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "regression_table_header": o_regression_table_header,
+    "regression_table_date_fe": o_regression_table_date_fe,
+    "tstat_table": o_tstat_table,
     "model_comparison": o_model_comparison,
     "regression_table": o_regression_table,
     "significance_stars": o_significance_stars,
