@@ -9,7 +9,7 @@ import pytest
 
 from tiltkit.llm import phrases as P
 from tiltkit.llm import queries
-from tiltkit.llm.hat_trie import HatTrie, packed_rest
+from tiltkit.llm.hat_trie import HatTrie, packed_rest, word_at
 
 from .conftest import SF001, frame, odd_rows
 
@@ -80,10 +80,19 @@ def counted(text, **limits):
             setattr(P, k, v)
         P.segments.__defaults__ = (limits.get("SEGMENT", P.SEGMENT),)
         full = np.full(16, 2**64 - 1, dtype=np.uint64)
-        for widths in ((1,), (2,), (3, 4)):
-            c = P._Counter(widths, full, full if widths[0] > 2 else None, {})
-            for _, lang, phrase, n in (*c.read("en", text), *c.read("de", b"a b c d"), *c.read("en", b"a b"), *c.rest()):
-                out[lang, phrase] += n
+        rows = lambda c: (*c.read("en", text), *c.read("de", b"a b c d"), *c.read("en", b"a b"), *c.rest())
+        for c in (P._Counter((1,)), P._Counter((2, 3, 4), full, full, {("en", b"a"): 5})):
+            for batch in rows(c):
+                phrases = batch.column("phrase").to_pylist()
+                assert None in phrases or phrases == sorted(phrases, key=str.encode)  # each run is sorted
+                for lang, phrase, n in zip(batch.column("lang").to_pylist(), phrases, batch.column("n").to_pylist()):
+                    out[lang, phrase] += n
+        for batch in rows(P._Counter((), full, parts=7)):
+            for part, h, n in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "counts"))):
+                h, n = np.frombuffer(h, dtype=np.uint64), np.frombuffer(n, dtype=np.int64)
+                assert all(int(x) * 7 >> 64 == part for x in h.tolist()) and len(h) == len(n)
+                for x, k in zip(h.tolist(), n.tolist()):
+                    out["pair", x] += k
     finally:
         for k, v in was.items():
             setattr(P, k, v)
@@ -96,8 +105,10 @@ def test_segments_blocks_spills_and_new_vocabularies_change_nothing():
     text = "".join(r.choice(["a", "bb", "c", "dd", "e1", "E2", "f" * 40]) + r.choice([" ", " ", " ", " ", "\t", ". ", "\n", "     "]) for _ in range(4000)).encode()
     for t in (text, text.replace(b".", b"").replace(b"\n", b" "), b" " * 500 + b"x y z" + b" " * 300 + b"w. q"):
         want = counted(t)
+        pairs = [k for k in want if isinstance(k[1], str) and k[1].count(" ") == 1]
+        assert sum(want[k] for k in pairs) == sum(n for k, n in want.items() if k[0] == "pair")
         for segment, block, most, vocabulary in ((30, 10, 5, 3), (7, 1, 10**6, 10**6), (10**6, 50, 20, 10**6), (1, 13, 300, 2)):
-            assert counted(t, SEGMENT=segment, BLOCK_WORDS=block, MOST_PHRASES=most, MOST_WORDS=vocabulary) == want
+            assert counted(t, SEGMENT=segment, BLOCK_WORDS=block, MOST_PHRASES=most, MOST_WORDS=vocabulary, MOST_HASHES=most) == want
 
 
 def test_trie_counts_and_spills_sorted_subtrees():
@@ -105,6 +116,13 @@ def test_trie_counts_and_spills_sorted_subtrees():
     ids = np.array([min(int(r.expovariate(0.3)), 30) for _ in range(20_000)])
     want, got = Counter(), Counter()
     trie = HatTrie(burst=20)
+
+    def keep(spilled):
+        for first, rests, counts in spilled:
+            after = np.stack([word_at(np.array(rests), p) for p in (1, 2, 3)], axis=1)
+            for rest, n in zip(after.tolist(), counts):
+                got[(first, *(i for i in rest if i >= 0))] += n
+
     for width in (2, 3, 4):
         for a in range(0, len(ids) - width, 997):
             starts = np.arange(a, min(a + 997, len(ids) - width + 1))
@@ -112,13 +130,9 @@ def test_trie_counts_and_spills_sorted_subtrees():
                 trie.add(int(ids[s]), [rest], [1])
                 want[tuple(ids[s:s + width].tolist())] += 1
             if trie.size > 500:
-                for first, rests, counts in trie.spill(250):
-                    for rest, n in zip(rests, counts):
-                        got[(first, *rest)] += n
+                keep(trie.spill(250))
                 assert trie.size <= 250 and trie.size == sum(trie.sizes.values())
-    for first, rests, counts in trie.spill():
-        for rest, n in zip(rests, counts):
-            got[(first, *rest)] += n
+    keep(trie.spill())
     assert got == want and trie.size == 0
 
 

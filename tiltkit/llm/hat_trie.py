@@ -70,26 +70,26 @@ class HatTrie:
             ends[i] = get(i, 0) + n
         self.size = sum(self.sizes.values()) + len(ends)
 
-    def spill(self, keep: int = 0) -> Iterator[tuple[int, list[tuple[int, ...]], list[int]]]:
+    def spill_words(self) -> tuple[list[int], list[int]]:
+        """Gives up the single words: ids and counts."""
+        ends, self.ends = self.ends, {}
+        self.size -= len(ends)
+        return list(ends), list(ends.values())
+
+    def spill(self, keep: int = 0) -> Iterator[tuple[int, list[int], list[int]]]:
         """Gives up subtrees, the largest first, until ``keep`` phrases are
-        left: (first word, the words after it, counts). Single words go before."""
-        if self.ends and self.size > keep:
-            ends, self.ends = self.ends, {}
-            self.size -= len(ends)
-            for i, n in ends.items():
-                yield i, [()], [n]
+        left: (first word, the words after it as packed numbers, counts)."""
         for first in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.size <= keep:
                 return
             box = self.below.pop(first)
             self.size -= self.sizes.pop(first)
             if type(box) is Burst:
-                flat = {s << _SECOND | low: n for s, inner in box.items() for low, n in inner.items()}
-            else:
-                flat = box
-            yield first, [_ids(rest) for rest in flat], list(flat.values())
+                box = {s << _SECOND | low: n for s, inner in box.items() for low, n in inner.items()}
+            yield first, list(box), list(box.values())
 
 
-def _ids(rest: int) -> tuple[int, ...]:
-    b, c, d = rest >> _SECOND, rest >> ID_BITS & _ONE, rest & _ONE
-    return (b - 1,) if not c else (b - 1, c - 1) if not d else (b - 1, c - 1, d - 1)
+def word_at(rests, place: int):
+    """Ids of the second, third or fourth words (``place`` 1 to 3) of packed
+    phrases (a numpy array), -1 where there is none."""
+    return (rests >> (3 - place) * ID_BITS & _ONE) - 1

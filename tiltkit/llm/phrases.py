@@ -1,9 +1,10 @@
 """Collocations: phrases of 2 to 4 words that belong together, per language.
 
 Counts are exact and are made in three passes over the whole texts. A phrase
-can be frequent only if its parts are, so a pass counts phrases of frequent
-parts only: words; pairs of frequent words; triples and quadruples whose pairs
-are all frequent. In a pass,
+can be frequent only if its parts are, so the first pass counts the words, the
+second one tells which pairs of frequent words can be frequent, and the third
+one counts the phrases of which all pairs can be. The second pass only counts
+64-bit hashes, as packed numbers; in the two others,
 
 1. each task counts in a HAT-trie over word ids of its own (``hat_trie``). When
    the trie is full, its largest subtrees are spilled as runs sorted by phrase;
@@ -12,8 +13,9 @@ are all frequent. In a pass,
    words (so 1,000 at most) have their phrases dealt to several partitions.
 
 What is frequent is told to the next pass by a blocked Bloom filter of bounded
-size; what it lets pass wrongly is counted and then dropped by its exact count,
-and when full it lets more pass, never less. Scores are joins of the counts.
+size; what it lets pass wrongly (or two pairs of one hash) is counted and then
+dropped by its exact count, and when full it lets more pass, never less. Scores
+are joins of the counts.
 
 Cases: a null text is empty; a null language is ``und``; empty texts and tables
 give no phrase; a very long text is read in segments, also where it has no
@@ -43,6 +45,9 @@ MOST_WORDS = 600_000
 SEGMENT = 1 << 20
 #: Most 64-bit words of a filter (16 MB).
 MAX_WORDS = 1 << 21
+#: Hashes of pairs a task holds, and words of the corpus per part of all hashes.
+MOST_HASHES = 2_000_000
+PART_WORDS = 500_000
 #: A first word with over 1 / SHARE of all words has several partitions.
 SHARE = 1_000
 
@@ -103,39 +108,50 @@ def _word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode()))
 
 
-def phrase_filter(phrases: DataFrame, max_words: int = MAX_WORDS):
-    """A filter of (lang, phrase) rows, of words or pairs, as an array of at
-    most ``max_words`` words; sizes follow the number of rows up to there."""
+def hash_filter(hashes: DataFrame, max_words: int = MAX_WORDS):
+    """A filter of the numbers ``h``, as an array of at most ``max_words``
+    words; its size follows the number of rows up to there."""
     import numpy as np
 
-    n_words = min(max_words, 1 << max(4, (phrases.count() // 4).bit_length()))
+    n_words = min(max_words, 1 << max(4, (hashes.count() // 4).bit_length()))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            rows = [(lang, p.encode().split(b" ")) for lang, p in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())]
-            first = np.array([_word_hash(lang, p[0]) for lang, p in rows], dtype=np.uint64)
-            last = np.array([_word_hash(lang, p[-1]) for lang, p in rows], dtype=np.uint64)
-            pair = np.array([len(p) == 2 for _, p in rows], dtype=bool)
-            at, bits = _places(np.where(pair, pair_hash(first, last), first), n_words)
+            at, bits = _places(b.column("h").to_numpy().view(np.uint64), n_words)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], names=["at", "bits"])
 
-    masks = phrases.select("lang", "phrase").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    masks = hashes.select("h").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(n_words, dtype=np.uint64)
     words[masks["at"].to_numpy()] = masks["bits"].to_numpy().view(np.uint64)
     return words
 
 
+def word_hashes(words: DataFrame) -> DataFrame:
+    """The hashes ``h`` of (lang, phrase) rows that are words."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist())
+            h = np.array([_word_hash(lang, word.encode()) for lang, word in rows], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "h bigint")
+
+
 class _Counter:
-    """The trie of a task, with its words."""
+    """The trie of a task, with its words; or the hashes of its pairs."""
 
-    def __init__(self, widths: tuple, word_filter, pair_filter, splits: dict):
-        self.widths, self.word_filter, self.pair_filter, self.splits = widths, word_filter, pair_filter, splits
+    def __init__(self, widths: tuple, word_filter=None, pair_filter=None, splits: dict | None = None, parts: int = 0):
+        self.widths, self.word_filter, self.pair_filter, self.splits, self.parts = widths, word_filter, pair_filter, splits or {}, parts
         self.held: dict[str, list] = {}  # language -> words, sizes of their pieces, words of the first one counted before
         self.n_held = 0
         self.totals: dict[str, int] = {}
+        self.seen, self.n_seen = [], 0  # (sorted hashes of pairs, counts)
         self._begin()
 
     def _begin(self) -> None:
@@ -162,8 +178,8 @@ class _Counter:
             self.ids[lang] = Ids()
         return self.ids[lang]
 
-    def read(self, lang: str, text: bytes) -> Iterator[tuple]:
-        """Counts a text; gives the rows spilled meanwhile."""
+    def read(self, lang: str, text: bytes) -> Iterator:
+        """Counts a text; gives the batches of rows spilled meanwhile."""
         on = False
         for part, goes_on in segments(text.translate(_FOLD)):
             words, sizes, _ = self.held.setdefault(lang, [[], [], 0])
@@ -180,7 +196,7 @@ class _Counter:
             if self.n_held >= BLOCK_WORDS:
                 yield from self.count(lang if on else None)
 
-    def count(self, open_lang: str | None = None) -> Iterator[tuple]:
+    def count(self, open_lang: str | None = None) -> Iterator:
         """Counts what is held. The last piece of ``open_lang`` goes on: the
         words that its next phrases begin with stay."""
         held, self.held, self.n_held = self.held, {}, 0
@@ -192,6 +208,10 @@ class _Counter:
                     self.held[lang] = [kept, [len(kept)], len(kept)]
             if self.trie.size > MOST_PHRASES:
                 yield from self.spilled(MOST_PHRASES // 2)
+            if self.n_seen > MOST_HASHES:
+                self._merge_seen()
+                if self.n_seen > MOST_HASHES // 2:
+                    yield from self.hashes_seen()
             if len(self.words) > MOST_WORDS:
                 yield from self.spilled(0)
                 self._begin()
@@ -207,17 +227,16 @@ class _Counter:
             found, counts = np.unique(ids[before:], return_counts=True)
             self.trie.add_words(found.tolist(), counts.tolist())
             return
-        new = np.array(self.raw[len(self.hashes):], dtype=np.uint64)
-        at, bits = _places(new, len(self.word_filter))
-        self.hashes = np.concatenate([self.hashes, new])
-        self.frequent = np.concatenate([self.frequent, self.word_filter[at] & bits == bits])
+        self._learn()
         piece = np.repeat(np.arange(len(sizes)), sizes)
         known = self.frequent[ids]
         pairs = known[:-1] & known[1:] & (piece[:-1] == piece[1:])
-        if self.pair_filter is not None:
-            starts = np.flatnonzero(pairs)
-            at, bits = _places(pair_hash(self.hashes[ids[starts]], self.hashes[ids[starts + 1]]), len(self.pair_filter))
-            pairs[starts[self.pair_filter[at] & bits != bits]] = False
+        starts = np.flatnonzero(pairs)
+        if not self.widths:
+            self._see(starts[starts + 2 > before], ids)
+            return
+        at, bits = _places(pair_hash(self.hashes[ids[starts]], self.hashes[ids[starts + 1]]), len(self.pair_filter))
+        pairs[starts[self.pair_filter[at] & bits != bits]] = False
         for width in self.widths:
             n = len(ids) - width + 1
             if n <= 0:
@@ -229,6 +248,43 @@ class _Counter:
             starts = starts[starts + width > before]  # the others were counted before
             self._add(ids[starts], packed_rest(ids, starts, width))
 
+    def _learn(self) -> None:
+        """Hashes of the new words, and whether they can be frequent."""
+        import numpy as np
+
+        new = np.array(self.raw[len(self.hashes):], dtype=np.uint64)
+        self.hashes = np.concatenate([self.hashes, new])
+        if self.word_filter is not None:
+            at, bits = _places(new, len(self.word_filter))
+            self.frequent = np.concatenate([self.frequent, self.word_filter[at] & bits == bits])
+
+    def _see(self, starts, ids) -> None:
+        import numpy as np
+
+        h, n = np.unique(pair_hash(self.hashes[ids[starts]], self.hashes[ids[starts + 1]]), return_counts=True)
+        self.seen.append((h, n.astype(np.int64)))
+        self.n_seen += len(h)
+
+    def _merge_seen(self) -> None:
+        self.seen = [summed(*zip(*self.seen))] if self.seen else []
+        self.n_seen = sum(len(h) for h, _ in self.seen)
+
+    def hashes_seen(self) -> Iterator:
+        """(part, hashes, counts): the sorted hashes of each part, packed."""
+        import numpy as np
+        import pyarrow as pa
+
+        self._merge_seen()
+        seen, self.seen, self.n_seen = self.seen, [], 0
+        for h, n in seen:
+            part = ((h >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(h) else np.zeros(1, dtype=np.int64)
+            for at in range(0, len(cuts) - 1, 500):
+                spans = list(zip(cuts[at:at + 500], cuts[at + 1:at + 501]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                     pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "hashes", "counts"])
+
     def _add(self, first, rest) -> None:
         import numpy as np
 
@@ -244,78 +300,149 @@ class _Counter:
         for f, a, b in zip(first[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
             self.trie.add(f, rests[a:b], counts[a:b])
 
-    def spilled(self, keep: int) -> Iterator[tuple]:
-        """(partition, language, phrase, count) of the subtrees given up, each
-        a run sorted by phrase."""
-        import zlib
+    def spilled(self, keep: int) -> Iterator:
+        """(partition, language, phrase, count) of the subtrees given up, in
+        runs of whole subtrees sorted by phrase."""
+        import numpy as np
+
+        self._learn()
+        known = self._words()
+        if self.trie.ends:
+            ids, counts = self.trie.spill_words()
+            yield self._run(known, np.array(ids, dtype=np.int64), None, counts)
+        firsts, sizes, rests, counts = [], [], [], []
+        for first, r, n in self.trie.spill(keep):
+            firsts.append(first)
+            sizes.append(len(r))
+            rests += r
+            counts += n
+            if len(rests) > 50_000:
+                yield self._run(known, np.repeat(firsts, sizes), np.array(rests, dtype=np.int64), counts)
+                firsts, sizes, rests, counts = [], [], [], []
+        if rests:
+            yield self._run(known, np.repeat(firsts, sizes), np.array(rests, dtype=np.int64), counts)
+
+    def _words(self):
+        """The words and their languages as Arrow arrays."""
+        import pyarrow as pa
 
-        words = self.words
-        for first, rests, counts in self.trie.spill(keep):
-            lang, head = self.langs[first], words[first]
-            part, split = self.raw[first] >> 2, self.splits.get((lang, head), 1)
-            for phrase, n in sorted((b" ".join([head, *(words[i] for i in rest)]), n) for rest, n in zip(rests, counts)):
-                yield part + (zlib.crc32(phrase) % split if split > 1 else 0), lang, phrase, n
+        return pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
+
+    def _run(self, known: tuple, firsts, rests, counts: list):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from .hat_trie import word_at
+
+        words, langs = known
+        phrase, tail = words.take(pa.array(firsts)), self.hashes[firsts]
+        if rests is not None:
+            after = [word_at(rests, place) for place in (1, 2, 3)]
+            texts = [words.take(pa.array(ids, mask=ids < 0)) for ids in after]
+            phrase = pc.binary_join_element_wise(phrase, *texts, b" ", null_handling="skip")
+            for ids in after:
+                tail = np.where(ids < 0, tail, pair_hash(tail, self.hashes[np.maximum(ids, 0)]))
+        part = (self.hashes[firsts] >> np.uint64(2)).astype(np.int64)
+        if self.splits:
+            names, place = np.unique(firsts, return_inverse=True)
+            split = np.array([self.splits.get((self.langs[i], self.words[i]), 1) for i in names.tolist()], dtype=np.uint64)[place]
+            part += (tail % split).astype(np.int64)
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(part), langs.take(pa.array(firsts)), phrase.cast(pa.string()), pa.array(counts, pa.int64())],
+            names=["part", "lang", "phrase", "n"])
+        return rows.take(pc.sort_indices(phrase))
+
+    def rest(self) -> Iterator:
+        import pyarrow as pa
 
-    def rest(self) -> Iterator[tuple]:
         yield from self.count()
+        if not self.widths:
+            yield from self.hashes_seen()
+            return
         yield from self.spilled(0)
-        for lang, n in self.totals.items():
-            yield 0, lang, None, n
+        if self.totals:
+            empty = [None] * len(self.totals)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0] * len(empty), pa.int64()), pa.array(list(self.totals), pa.string()), pa.array(empty, pa.string()),
+                 pa.array(list(self.totals.values()), pa.int64())], names=["part", "lang", "phrase", "n"])
+
+
+def summed(hashes, counts):
+    """Distinct hashes of several arrays, sorted, with the sums of their counts."""
+    import numpy as np
+
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")  # runs that are sorted already merge
+    h, n = h[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    return h[new], np.add.reduceat(n, new) if len(h) else n
 
 
-def _runs(docs: DataFrame, widths: tuple, word_filter=None, pair_filter=None, splits: dict | None = None) -> DataFrame:
-    """(part, lang, phrase, n) of (lang, text): the spilled runs of all tasks;
-    in the pass over words also the number of words, as phrase null."""
+def _counted(docs: DataFrame, schema: str, widths: tuple, word_filter=None, pair_filter=None, splits: dict | None = None, parts: int = 0) -> DataFrame:
+    """What the tasks count of (lang, text)."""
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((word_filter, pair_filter, splits or {}))  # filters of bounded size, SHARE splits at most
+    sent = sc.broadcast((word_filter, pair_filter, splits, parts))  # filters of bounded size, SHARE splits at most
 
     def run(batches: Iterator) -> Iterator:
-        import itertools
-
         import pyarrow as pa
 
-        def rows():
-            counter = _Counter(widths, *sent.value)
-            for batch in batches:
-                langs = batch.column("lang").to_pylist()
-                for lang, text in zip(langs, batch.column("text").cast(pa.binary())):
-                    yield from counter.read(lang, text.as_py() or b"")
-            yield from counter.rest()
-
-        stream = rows()
-        while part := list(itertools.islice(stream, 20_000)):
-            parts, langs, phrases, ns = zip(*part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int64()), pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())],
-                names=["part", "lang", "phrase", "n"])
+        counter = _Counter(widths, *sent.value)
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for lang, text in zip(langs, batch.column("text").cast(pa.binary())):
+                yield from counter.read(lang, text.as_py() or b"")
+        yield from counter.rest()
 
-    return docs.mapInArrow(run, "part bigint, lang string, phrase string, n bigint")
+    return docs.mapInArrow(run, schema)
 
 
-def _frequent(runs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, f) of phrases with ``least`` occurrences or more (and
-    the totals): the runs merged per prefix partition."""
+def _frequent(docs: DataFrame, least: int, widths: tuple, *filters) -> DataFrame:
+    """(lang, phrase, f) of phrases with ``least`` occurrences or more (with
+    single words also the number of words, as phrase null): the spilled runs
+    of all tasks merged per prefix partition."""
+    runs = _counted(docs, "part bigint, lang string, phrase string, n bigint", widths, *filters)
     merged = runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("f"))
     return merged.where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", "phrase", "f")
 
 
+def _frequent_pairs(docs: DataFrame, least: int, word_filter, n_words: int) -> DataFrame:
+    """Hashes ``h`` of pairs of frequent words that occur ``least`` times or
+    more; a task sums the packed hashes of a part at a time."""
+    parts = max(1, n_words // PART_WORDS)
+    packed_hashes = _counted(docs, "part bigint, hashes binary, counts binary", (), word_filter, None, None, parts)
+
+    def run(batches: Iterator) -> Iterator:
+        import itertools
+
+        import numpy as np
+        import pyarrow as pa
+
+        rows = (row for b in batches for row in zip(b.column("part").to_pylist(), b.column("hashes"), b.column("counts")))
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            group = [(np.frombuffer(h.as_py(), dtype=np.uint64), np.frombuffer(n.as_py(), dtype=np.int64)) for _, h, n in group]
+            h, n = summed(*zip(*group))
+            yield pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64))], names=["h"])
+
+    return packed_hashes.repartition("part").sortWithinPartitions("part").mapInArrow(run, "h bigint")
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to 4 words that occur ``least``
     times or more, and (lang, n), from (lang, text)."""
     tables = Rounds(docs.sparkSession)
     with small_batches(docs.sparkSession):
-        first = tables.write(_frequent(_runs(docs, (1,)), least))
+        first = tables.write(_frequent(docs, least, (1,)))
         totals = first.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
         words = first.where("phrase IS NOT NULL")
         n = totals.agg(F.sum("n")).first()[0] or 0
         # words above 1 / share of all are fewer than share
         hot = words.where(F.col("f").cast("decimal(38,0)") * share > n).collect()
         splits = {(r.lang, r.phrase.encode()): -(-r.f * share // n) for r in hot}
-        word_filter = phrase_filter(words, max_words)
-        pairs = tables.write(_frequent(_runs(docs, (2,), word_filter, None, splits), least))
-        pair_filter = phrase_filter(pairs, max_words)
-        longer = tables.write(_frequent(_runs(docs, (3, 4), word_filter, pair_filter, splits), least))
-    return words.unionByName(pairs).unionByName(longer), totals
+        word_filter = hash_filter(tables.write(word_hashes(words)), max_words)
+        pair_filter = hash_filter(tables.write(_frequent_pairs(docs, least, word_filter, n)), max_words)
+        longer = tables.write(_frequent(docs, least, (2, 3, 4), word_filter, pair_filter, splits))
+    return words.unionByName(longer), totals
 
 
 def _part(words: Column, start, size) -> Column:
