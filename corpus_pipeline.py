@@ -6,6 +6,15 @@ Parquet and read again as the next one's ``docs``; all but the last return the
 columns of ``documents``. The last gives the training rows: doc_id, lang,
 source, n_tokens and ids (little-endian unsigned 32-bit integers). A document
 that the mix takes twice has two rows.
+
+Cases, by stage: a null or empty text has no words and goes with the quality
+rules, so the later stages meet texts of 50 words or more; each still takes
+null and empty texts as its module says. A null language is judged by its own
+documents or by all; a null source is a source of its own, last in the order; a
+null id can stay, and loses a tie for the id that is kept. Repeated rows are
+copies: one stays. Very long texts are read whole in every stage. Columns that
+``documents`` has beside its own are kept up to the mix, whatever their names,
+and left out by the last stage. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -19,10 +28,14 @@ from tiltkit.llm.common import BATCH_ROWS, table
 from tiltkit.session import ensure_checkpoint_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _few_texts(spark: SparkSession) -> None:
-    """Python workers get few whole texts at a time in the pipeline's session,
-    so their memory stays small beside the JVM's."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Python workers get few whole texts at a time, so their memory stays
+    small beside the JVM's. A stage's rows are computed when they are written,
+    so a stage leaves the setting behind; ``run`` puts it back."""
+    spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,14 +77,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. Each stage's rows are written to the
     shared checkpoint folder and read again, so a lost executor never costs
-    more than one stage."""
+    more than one stage, and the session's settings are as before."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}")
+    docs, was = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+    finally:
+        spark.conf.set(BATCH, was)
     return docs
 
 
