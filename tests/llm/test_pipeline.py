@@ -59,7 +59,9 @@ def test_odd_rows_and_empty_table(spark, odd, empty, tmp_path):
 
 
 def test_run_and_registration(spark):
+    was = spark.conf.get(P.BATCH)
     assert P.run(spark, SF001).count() > 0
+    assert spark.conf.get(P.BATCH) == was  # the caller's setting is back
     assert set(P.QUERIES) == {"pipeline"} and len(P.STAGES) == 5
     names = sorted(Q.QUERIES, key=lambda k: int(k[2:].split("_")[0]))
-    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 14))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import col, let, packed, unpacked, words
+from .common import col, let, packed, unpacked
 
 #: Base rules.
 MIN_WORDS = 50
@@ -36,8 +36,6 @@ SHORT_SLACK = 1.0
 MIN_REFERENCE = 2_000
 #: Common words of a language's histogram.
 COMMON = 16
-#: The common words are taken among words of so many letters (function words).
-COMMON_LENGTH = 5
 #: Up to so many languages the references are broadcast.
 MAX_BROADCAST_LANGUAGES = 4_000
 #: Patterns of character classes.
@@ -142,9 +140,13 @@ def _characters(text: Column) -> Column:
     return let(found, counted)
 
 
-def _is_short(w: Column) -> Column:
-    """A word that can be a common word of a language."""
-    return F.char_length(w) <= COMMON_LENGTH
+def _split(text: Column) -> Column:
+    """The words of a text and empty strings, cut at single blanks."""
+    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(_split(text), lambda w: w != "")
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -157,14 +159,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     classes = materialize(rows.groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(N_CLASSES)]).alias("ref_classes")))
     pooled = classes.agg(*[F.sum(F.col("ref_classes")[i]) for i in range(N_CLASSES)]).first()
     pooled = F.array(*[F.lit(float(x or 0)) for x in pooled])
-    # words too long to be common count together, as null
-    spelt = docs.select(lang, F.explode(F.transform(words(text), lambda w: F.when(_is_short(w), w))).alias("w"))
-    counted = materialize(spelt.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    # empty strings are counted along and dropped from the counts
+    spelt = docs.select(lang, F.explode(_split(text)).alias("w"))
+    counted = materialize(spelt.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where("w <> ''"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     classes = classes.alias("a").join(totals.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang"))).select("a.lang", "ref_classes", "n")
-    counts = counted.where("w IS NOT NULL")
     order = [F.desc("n"), F.asc("w")]
-    parted = counts.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
+    parted = counted.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(64)))
     best = parted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= COMMON)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= COMMON)
     top = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
@@ -181,7 +182,7 @@ def _word_counts(w: Column, common: Column) -> Column:
     """Counts of the common words in a document, all other words last: common
     words are written as one letter each and the letters counted."""
     letters = F.array(*[F.lit(x) for x in " " + "abcdefghijklmnopqrstuvwxyz"[:COMMON]])
-    spelt = F.array_join(F.transform(F.filter(w, _is_short), lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
+    spelt = F.array_join(F.transform(w, lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
 
     def count(t: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(common)),
@@ -221,7 +222,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
         return let(found, of)
 
-    judged = rows.select("row_", repeated_lines(F.col("text")).alias("n_dup_lines"), let(words(F.col("text")), verdict).alias("v"))
+    judged = rows.select("row_", repeated_lines(F.col("text")).alias("n_dup_lines"), let(_words(F.col("text")), verdict).alias("v"))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance",
              "word_distance", "kept"]
     keep = [F.col("row_")[c].alias(c) for c in docs.columns if c not in added]
