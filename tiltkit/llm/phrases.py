@@ -39,15 +39,18 @@ COVER = 80
 TOP = 2_000
 #: Words a task holds before they are counted, phrases and words of its trie.
 BLOCK_WORDS = 100_000
-MOST_PHRASES = 300_000
-MOST_WORDS = 600_000
+MOST_PHRASES = 200_000
+MOST_WORDS = 300_000
 #: Bytes of a text that are split at a time.
 SEGMENT = 1 << 20
 #: Most 64-bit words of a filter (16 MB).
 MAX_WORDS = 1 << 21
 #: Hashes of pairs a task holds, and words of the corpus per part of all hashes.
-MOST_HASHES = 2_000_000
+MOST_HASHES = 600_000
 PART_WORDS = 500_000
+#: Packed parts, and whole texts, that travel between Spark and Python at a time.
+BATCH_PARTS = 50
+BATCH_TEXTS = 200
 #: A first word with over 1 / SHARE of all words has several partitions.
 SHARE = 1_000
 
@@ -279,8 +282,8 @@ class _Counter:
         for h, n in seen:
             part = ((h >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(h) else np.zeros(1, dtype=np.int64)
-            for at in range(0, len(cuts) - 1, 500):
-                spans = list(zip(cuts[at:at + 500], cuts[at + 1:at + 501]))
+            for at in range(0, len(cuts) - 1, BATCH_PARTS):
+                spans = list(zip(cuts[at:at + BATCH_PARTS], cuts[at + 1:at + BATCH_PARTS + 1]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
                      pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "hashes", "counts"])
@@ -431,7 +434,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     """(lang, phrase, f) of all phrases of 1 to 4 words that occur ``least``
     times or more, and (lang, n), from (lang, text)."""
     tables = Rounds(docs.sparkSession)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_TEXTS):
         first = tables.write(_frequent(docs, least, (1,)))
         totals = first.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
         words = first.where("phrase IS NOT NULL")
