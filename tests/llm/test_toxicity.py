@@ -40,7 +40,9 @@ def scorer():
 @pytest.mark.parametrize(("clause", "want"), [
     ("that idiot there", 4.0), ("you idiot", 4.0 * T.TARGETED), ("not an idiot", 4.0 * T.NEGATED), ("not a b idiot", 4.0),
     ("he said idiot", 4.0 * T.REPORTED * T.TARGETED), ("they said a b c d idiot", 4.0 * T.REPORTED), ("idiots", 0.0), ("blödes", 3.0),
-    ("verblödet", 0.0), ("kill it", T.THREAT_WEIGHT), ("", 0.0), ("\"idiot", 4.0 * T.REPORTED)])
+    ("verblödet", 0.0), ("kill it", T.THREAT_WEIGHT), ("kill you", T.THREAT_WEIGHT * T.TARGETED), ("idiot, you are", 4.0 * T.TARGETED),
+    ("you idiot you", 4.0 * T.TARGETED), ("idiot a b c you", 4.0), ("not an idiot you", 4.0 * T.NEGATED * T.TARGETED), ("i'll shoot you", T.THREAT_WEIGHT * T.TARGETED),
+    ("killing a", T.THREAT_WEIGHT), ("er tötet", T.THREAT_WEIGHT * T.TARGETED), ("je te tuerai", T.THREAT_WEIGHT * T.TARGETED), ("voy a matarte", T.THREAT_WEIGHT), ("", 0.0), ("\"idiot", 4.0 * T.REPORTED)])
 def test_clauses(scorer, clause, want):
     assert scorer.clause(clause) == pytest.approx(want)
     assert scorer.sums(clause)[0] == pytest.approx(want)
@@ -64,6 +66,60 @@ def test_learning_and_scoring_split_alike(spark):
     assert T.Scorer(list(lex.items())).sums("il est d'imbécile")[0] > 0
 
 
+def plain_sums(scorer, text):
+    """Clause scores without machines: every clause, word and its neighbours."""
+    import math
+    import re
+
+    scores = []
+    for clause in re.split(r"[.!?;\n]", T.plain(text)):
+        words = scorer.words.findall(clause)
+        weights = [scorer.weight(w) for w in words]
+        kind = lambda i: (None if weights[i] else scorer.kinds.get(words[i]) or ("report" if len(words[i]) == 1 and not words[i].isalpha() else None))
+        total = 0.0
+        for i, w in enumerate(weights):
+            if w:
+                near = lambda k, a, b: any(kind(j) == k for j in range(max(a, 0), min(b, len(words))))
+                w *= T.NEGATED if near("negation", i - T.NEGATION_REACH, i) else 1.0
+                w *= T.REPORTED if near("report", 0, i) else 1.0
+                total += w * (T.TARGETED if near("target", i - T.TARGET_REACH, i) or near("target", i + 1, i + 1 + T.TARGET_REACH) else 1.0)
+        scores.append(total)
+    return math.fsum(scores), max(scores), math.fsum(scores) / math.sqrt(1 + len(T.plain(text)) / 6)
+
+
+def test_whole_table_by_brute_force(spark):
+    """Every document's score, with the learned words and fitted curve, from a
+    scorer that has no machine and no scan."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train = T.training_rows(docs, labels, "doc_id", "text")
+    lex = T.lexicon(train)
+    s = T.Scorer(lex)
+    b = T.fit([(*plain_sums(s, r.text or ""), r.toxic) for r in train.collect()])
+    got = {r.doc_id: r for r in T.score(docs, labels).collect()}
+    assert lex and len(got) == docs.count()
+    for i, text in docs.select("doc_id", "text").collect():
+        x = plain_sums(s, text or "")
+        assert s.sums(text or "") == pytest.approx(x, rel=1e-9)
+        want = 1 / (1 + math.exp(-(b[3] + sum(w * math.log1p(v) for w, v in zip(b, x)))))
+        assert got[i].score == pytest.approx(want, abs=1e-6)
+
+
+def test_long_texts_take_time_by_their_length(scorer):
+    import time
+
+    def seconds(n):
+        text = "a calm word " * 20 + ", ".join(["you idiot and so on"] * n)
+        text = ". ".join([text] + ["an idiot here"] * n)
+        t = time.process_time()
+        scorer.sums(text)
+        return time.process_time() - t
+
+    seconds(500)
+    assert min(seconds(32_000) for _ in range(2)) < 24 * max(min(seconds(4_000) for _ in range(3)), 1e-4)
+
+
 def test_clauses_add_up(scorer):
     total, top, _ = scorer.sums("Not. Idiot! you blöde; nothing\nidiot IDIOT")
     assert total == pytest.approx(4 + 3 * T.TARGETED + 8) and top == pytest.approx(8)
@@ -76,7 +132,7 @@ def test_held_out_accuracy(spark):
     rows = T.score(docs, labels).join(labels, "doc_id").where("held_out").collect()
     toxic = [r for r in rows if r.toxic == 1]
     hits = sum(r.predicted for r in toxic)
-    assert hits / len(toxic) > 0.85
+    assert hits / len(toxic) >= 0.9
     assert hits / sum(r.predicted for r in rows) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 

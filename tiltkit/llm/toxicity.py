@@ -3,9 +3,11 @@
 Small transducers are composed into one machine: words become classes
 (insult, threat, target, negation, report, other); a negation lowers what
 follows it within a few words; a report or an opening quote lowers the rest of
-the clause; a target next to an insult or threat raises it. The composed
+the clause; a target before or after an insult or threat raises it. The composed
 machine walks every clause that holds an insult or threat and adds up weights,
-so a matched clause is scored, not a word by itself.
+so a matched clause is scored, not a word by itself. A target that follows is
+seen by the target's machine on the clause read backwards. Threats are verbs
+with their endings.
 
 The lexicon is learned: word beginnings of 3 to 12 letters and whole words,
 whose log odds between toxic and other training documents are high. Their
@@ -50,7 +52,14 @@ TARGETS = ("you your yours he him she her they them du dich dir ihr euch sie er
 NEGATIONS = "not never isn't aren't don't nicht kein keine nie niemals pas jamais nunca jamás tampoco".split()
 REPORTS = ("said says say told tells wrote writes claims called quoted sagte sagt schrieb meinte nannte "
            "dit disait écrit appelle dijo dice escribió llamó").split()
-THREATS = "kill hurt destroy punish töten vernichten tuer détruire matar destruir".split()
+#: Verbs of threats by stems, with the endings that they take.
+THREAT_VERBS = (
+    ("kill hurt punish destroy murder shoot stab beat strangle", " s es ed d ing er"),
+    ("töt vernicht schlag erschieß bestraf verprügel", "e en est et t te ten end n"),
+    ("tuer frapper", " ai as a ez ons ont"), ("tue frappe détrui", " s t nt re sent rai"),
+    ("mat golpe castig", "ar o aré arte arás ando"), ("destru", "ir iré irte yo ye"),
+)
+THREATS = frozenset(stem + end for stems, ends in THREAT_VERBS for stem in stems.split() for end in ends.split(" "))
 THREAT_WEIGHT = 2.5
 #: Multipliers and reach (in words) of the grammar.
 NEGATED, REPORTED, TARGETED = 0.5, 0.5, 1.5
@@ -112,9 +121,21 @@ def compose(a: dict, b: dict) -> dict:
     return out
 
 
+def toward_target() -> dict:
+    return window_after("target", TARGET_REACH, TARGETED)
+
+
 def grammar() -> dict:
-    return compose(compose(window_after("negation", NEGATION_REACH, NEGATED), rest_after("report", REPORTED)),
-                   window_after("target", TARGET_REACH, TARGETED))
+    return compose(compose(window_after("negation", NEGATION_REACH, NEGATED), rest_after("report", REPORTED)), toward_target())
+
+
+def factors(machine: dict, symbols: list[str]) -> list[float]:
+    """What the machine multiplies each symbol by."""
+    state, out = 0, []
+    for s in symbols:
+        state, _, w = step(machine, state, s)
+        out.append(w)
+    return out
 
 
 class Scorer:
@@ -125,7 +146,7 @@ class Scorer:
         import ahocorasick
         import regex
 
-        self.machine = grammar()
+        self.machine, self.target = grammar(), toward_target()
         self.kinds = {w: k for k, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws}
         self.whole = {w[:-1]: x for w, x in lexicon if w.endswith("$")} | {w: THREAT_WEIGHT for w in THREATS}
         self.starts = {w: x for w, x in lexicon if not w.endswith("$")}
@@ -143,22 +164,23 @@ class Scorer:
         return next((self.starts[word[:n]] for n in self.sizes if word[:n] in self.starts), 0.0)
 
     def clause(self, text: str) -> float:
-        """What the machine adds up over one clause."""
-        state, total = 0, 0.0
+        """What the machines add up over one clause."""
+        weights, kinds = [], []
         for word in self.words.findall(plain(text)):
             w = self.weight(word)
-            if w:
-                kind = "threat" if word in THREATS else "insult"
-            else:
-                kind = self.kinds.get(word) or ("report" if len(word) == 1 and not word.isalpha() else "other")
-            state, kind, factor = step(self.machine, state, kind)
-            if kind in HITS:
-                total += w * factor
-        return total
+            weights.append(w)
+            kinds.append(("threat" if word in THREATS else "insult") if w else
+                         self.kinds.get(word) or ("report" if len(word) == 1 and not word.isalpha() else "other"))
+        if not any(weights):
+            return 0.0
+        whole, before, after = factors(self.machine, kinds), factors(self.target, kinds), factors(self.target, kinds[::-1])[::-1]
+        # a target raises once, from either side
+        return math.fsum(w * f * (y if y > x else x) / x for w, f, x, y in zip(weights, whole, before, after) if w)
 
     def sums(self, text: str) -> tuple[float, float, float]:
         """All clause scores, the largest, and all per square root of the
-        text's length in words (about)."""
+        text's length in words (about). A clause's beginning is sought from
+        the end of the last one scored, so the work is linear in the text."""
         low = plain(text)
         scores, done = [], -1
         if len(self.scan):
@@ -166,7 +188,7 @@ class Scorer:
                 begin = end - size + 1
                 if begin <= done or begin and low[begin - 1].isalpha():
                     continue
-                left = max(low.rfind(c, 0, begin) for c in CLAUSE_END) + 1
+                left = max(low.rfind(c, max(done, 0), begin) for c in CLAUSE_END) + 1
                 right = self.ends.search(low, end + 1)
                 done = right.start() if right else len(low)
                 if s := self.clause(low[left:done]):
@@ -240,16 +262,20 @@ def lexicon(train: DataFrame) -> list[tuple[str, float]]:
 
 def fit(points: list[tuple[float, float, float, int]]) -> list[float]:
     """Coefficients (constant last) of a logistic curve over the clause sums,
-    by Newton steps with a small ridge."""
+    by Newton steps with a small ridge. The classes weigh as in a full sample,
+    whatever their shares in the labels, so the curve is alike at every size."""
     import numpy as np
 
     data = np.array(points, dtype=float).reshape(-1, 4)
     x, y = np.column_stack([np.log1p(data[:, :3]), np.ones(len(data))]), data[:, 3]
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    weight = np.array([TRAIN_OTHER, TRAIN_TOXIC]) / np.maximum(n, 1)
+    weight = (weight * n.sum() / (weight * n).sum())[y.astype(int)] if n.all() else np.ones(len(y))
     b = np.zeros(4)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (p - y) + 1e-2 * b
-        b -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4), grad)
+        grad = x.T @ (weight * (p - y)) + 1e-2 * b
+        b -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4), grad)
     return b.tolist()
 
 
