@@ -175,14 +175,16 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return ref.select(
         F.col("c.lang").alias("ref_lang"), F.transform("top", lambda x: x["w"]).alias("ref_words"),
         F.concat(kept, F.array(F.col("n").cast("double") - F.aggregate(kept, F.lit(0.0), lambda s, x: s + x))).alias("ref_counts"),
-        F.when(own, F.col("ref_classes")).otherwise(pooled).alias("ref_classes"))
+        F.when(own, F.col("ref_classes")).otherwise(pooled).alias("ref_classes"),
+        F.array_max(F.transform("top", lambda x: F.octet_length(x["w"]))).alias("ref_longest"))
 
 
-def _word_counts(w: Column, common: Column) -> Column:
+def _word_counts(w: Column, common: Column, longest: Column) -> Column:
     """Counts of the common words in a document, all other words last: common
-    words are written as one letter each and the letters counted."""
+    words are written as one letter each and the letters counted. Words of
+    more bytes than the longest common one are not looked up."""
     letters = F.array(*[F.lit(x) for x in " " + "abcdefghijklmnopqrstuvwxyz"[:COMMON]])
-    spelt = F.array_join(F.transform(w, lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
+    spelt = F.array_join(F.transform(F.filter(w, lambda x: F.octet_length(x) <= longest), lambda x: F.get(letters, F.array_position(common, x).cast("int"))), "")
 
     def count(t: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(common)),
@@ -207,7 +209,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     def verdict(w: Column) -> Column:
         found = F.struct(
             F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated"), _characters(F.col("text")).alias("m"),
-            _distance(_word_counts(w, F.col("ref_words")), F.col("ref_counts")).alias("word"))
+            _distance(_word_counts(w, F.col("ref_words"), F.col("ref_longest")), F.col("ref_counts")).alias("word"))
 
         def of(f: Column) -> Column:
             def told(apart: Column) -> Column:
