@@ -128,6 +128,22 @@ def test_months_of_mixed_types_and_nan(spark, tmp_path):
     assert got.count() == 9 and got.where("delta IS NULL").count() == 3 and got.where("dtm = 7").count() == 9
 
 
+def test_no_task_writes_a_whole_month(spark, tmp_path):
+    """A month larger than a partition is dealt to several tasks; all rows arrive in their months."""
+    rows = spark.range(0, 80_000, 1, 8).selectExpr("id", "uuid() AS x", "if(id % 1000 = 0, 2, 1) AS month")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "512k")
+    try:
+        io.write_months(rows, str(tmp_path / "months"))
+    finally:
+        spark.conf.set(name, was)
+    back = spark.read.parquet(str(tmp_path / "months"))
+    assert back.selectExpr("sum(id)", "count_if(month = if(id % 1000 = 0, 2, 1))").first() == (80_000 * 79_999 // 2, 80_000)
+    files = back.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert max(r["count"] for r in files) <= 40_000
+
+
 def test_impossible_type_is_an_error(spark, tmp_path):
     path = str(tmp_path / "bad")
     _month_file(spark, path, "string", "1")

@@ -61,8 +61,7 @@ def q_panel_roundtrip(spark, sf):
 def q_monthly_files(spark, sf):
     """Monthly option files written and read back in one scan of all paths."""
     folder = _folder(spark, "months")
-    months = C.options(spark, sf).withColumn("month", F.month("date"))
-    months.repartition("month").write.partitionBy("month").parquet(folder)
+    io.write_months(C.options(spark, sf).withColumn("month", F.month("date")), folder)
     paths = [f"{folder}/month={m}" for m in range(1, 13)]
     files = io.read_months(spark, paths)
     return C.rounded(pnl.yearly_panel(files, C.stock(spark, sf)), C.DOLLARS, C.RAW_DP)

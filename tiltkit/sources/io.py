@@ -49,6 +49,13 @@ def read_months(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), months)
 
 
+def write_months(options: DataFrame, path: str, month: str = "month") -> None:
+    """Write options as a folder of files per value of ``month``. Rows meet by
+    month, and a month of more than a partition's advised size is dealt to
+    several tasks (a rebalance), so no task sorts or writes a whole month."""
+    options.hint("rebalance", F.col(month)).write.partitionBy(month).parquet(path)
+
+
 def read_panel(spark: SparkSession, path: str, years: Iterable[int] | None = None) -> DataFrame:
     """The yearly panel; a year filter prunes partitions when written by ``write_panel``."""
     df = typed(spark.read.parquet(path), OPEN_VOLUME, "open_volume")
