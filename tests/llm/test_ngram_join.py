@@ -86,6 +86,36 @@ def test_hot_bucket_in_blocks(spark, monkeypatch):
     assert got == sorted(brute(rows, 3, 80))
 
 
+def test_sets_travel_only_with_a_possible_partner(spark, monkeypatch):
+    """Classes that share n-grams by chance, but with none of a near size, are not sent to be compared."""
+    r = random.Random(3)
+    sent = []
+    compared = N._compared
+    monkeypatch.setattr(N, "_compared", lambda groups, *a: (sent.append(sorted({x.key for x in groups.select("key").collect()})), compared(groups, *a))[1])
+    rows, n = [], 40
+    for g in range(8):  # a passage of each set is in the next one, which is a third longer
+        words = [f"g{g}w{i}" for i in range(n)]
+        rows += [" ".join([f"t{g} t{g} t{g}", *words, f"t{g + 1} t{g + 1} t{g + 1}"]), " ".join([*words, f"t{g + 1} t{g + 1} t{g + 1} x{g}"])][:2 if g == 3 else 1]
+        n = n * 4 // 3
+    rows.append(rows[-1] + " end")
+    rows = list(enumerate(rows))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted(tuple(x) for x in N.join_groups(docs, k=3, percent=90).collect())
+    assert got == sorted(brute(rows, 3, 90))
+    assert 2 <= len(sent[0]) <= 4
+
+
+@pytest.mark.parametrize("percent", [40, 95])
+def test_small_sets_that_share_much_match_brute_force(spark, percent):
+    """Sets of every size over few n-grams, so links lie at every place of a prefix and at every ratio of sizes."""
+    r = random.Random(percent)
+    words = [f"w{i}" for i in range(30)]
+    rows = list(enumerate(" ".join(words[:r.randrange(1, 31)] if r.random() < 0.5 else r.sample(words, r.randrange(1, 31))) for _ in range(120)))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted(tuple(x) for x in N.join_groups(docs, k=1, percent=percent).collect())
+    assert got == sorted(brute(rows, 1, percent))
+
+
 def test_odd_rows(odd, empty):
     got = N.join_groups(odd, k=3, percent=90).collect()
     want = brute([(i, t) for i, t, *_ in odd_rows()], 3, 90)

@@ -11,7 +11,9 @@ with the same set form a class, and only classes are joined. Two sets link when
 2. Prefixes. The n-grams of the classes left are ordered globally, rare first.
    Two sets that link share an n-gram in their prefixes of
    size - ceil(percent * size) + 1, so classes meet in buckets, one per n-gram
-   that two prefixes hold. Buckets with the same members count once.
+   that two prefixes hold. The smaller of the two has it in a shorter prefix
+   still, and their sizes are near, so a class leaves the buckets where no other
+   fits so. Buckets with the same members count once.
 3. Prefix trees. A bucket's sets are stored in a radix trie, ordered by their
    frequency in the bucket, common first. Each set walks the trie, carrying the
    overlap with the path, which all sets below share; a subtree is left when
@@ -35,6 +37,7 @@ result rows; an empty table gives an empty result; other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -181,17 +184,37 @@ def _sets_of(docs: DataFrame, left: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, key): the n-grams in each class's prefix that another class has
-    too. N-grams of one class come first in the order, so they only use up the
-    prefix."""
+    """(h, key, n, short): the n-grams in each class's prefix that another
+    class has too. N-grams of one class come first in the order, so they only
+    use up the prefix. ``short`` tells those that a set as large or larger can
+    be met by: two sets of a and b n-grams share percent * (a + b) / (100 +
+    percent) at least, so the first one they share is in the smaller's short part."""
     grams = _in_range(sets.select("key", "grams"), 0.0, 1.0, _from_sets)
     shared = materialize(grams.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     own = grams.join(shared, "h").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("g"))
     n = F.col("n")
-    length = n - F.ceil(n * percent / 100 - F.lit(1e-9)) + 1  # of the prefix
     used = n - F.size("g")  # by n-grams of this class only
-    own = own.join(sets.select("key", "n"), "key").withColumn("take", (length - used).cast("int")).where("take > 0")
-    return own.select(F.explode(F.transform(F.slice("g", F.lit(1), F.col("take")), lambda x: x["h"])).alias("h"), "key")
+    take = lambda part: (n - F.ceil(n * part - F.lit(1e-9)) + 1 - used).cast("int")
+    own = own.join(sets.select("key", "n"), "key").withColumns(
+        {"take": take(percent / 100), "short": take(2 * percent / (100 + percent))}).where("take > 0")
+    each = own.select("key", "n", "short", F.posexplode(F.transform(F.slice("g", F.lit(1), F.col("take")), lambda x: x["h"])).alias("at", "h"))
+    return each.select("h", "key", "n", (F.col("at") < F.col("short")).alias("short"))
+
+
+def _with_partner(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(h, key) of the prefixes where another class of the bucket may link: one
+    of the two holds the n-gram in its short part and is the smaller. Sizes
+    are told by steps, and sets that link lie in one step or in neighbours."""
+    step = max(math.log(100 / percent), 1e-3) * (1 + 1e-9)
+    kept = materialize(prefixes.select("h", "key", F.floor(F.log(F.col("n")) / step).alias("step"), "short"))
+    counts = kept.groupBy("h", "step").agg(F.count(F.lit(1)).alias("all"), F.count_if("short").alias("short"))
+    none = F.lit(0).cast("long")
+    at = lambda d, partners, shorts: F.struct((F.col("step") + d).alias("step"), partners.alias("all"), shorts.alias("short"))
+    near = counts.select("h", F.explode(F.array(
+        at(0, F.col("all"), F.col("short")), at(1, F.col("short"), F.col("short")), at(-1, F.col("all"), none))).alias("c"))
+    near = near.groupBy("h", F.col("c.step").alias("step")).agg(F.sum("c.all").alias("all"), F.sum("c.short").alias("shorts"))
+    met = kept.join(near, ["h", "step"])
+    return met.where(F.when(F.col("short"), F.col("all") > 1).otherwise(F.col("shorts") > 0)).select("h", "key")
 
 
 def _buckets(prefixes: DataFrame) -> DataFrame:
@@ -238,17 +261,21 @@ def _first_groups(small: DataFrame, rest: DataFrame) -> DataFrame:
     return whole.unionByName(deals[0]).unionByName(deals[1]).withColumn("right", F.lit(False))
 
 
-def _rest_groups(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups for what the first ones have not compared: in each bucket above
-    a block, members outside its largest component so far (right) meet all
-    members (left), block by block."""
+def _rest_groups(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Groups for what the first ones have not compared, if any: in each bucket
+    above a block, members outside its largest component so far (right) meet
+    all members (left), block by block."""
     big = members.where(F.col("m") > BLOCK).select("h", "key", "m")
+    if big.isEmpty():
+        return None
     named = big.join(components(found), F.col("key") == F.col("node"), "left").select(
         "h", "key", "m", F.coalesce("root", "key").alias("part"))
     named = materialize(named)
     parts = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("h").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("m"))
     main = materialize(main.select("h", F.col("main.part").alias("main"), (F.col("m") - F.col("main.n")).alias("out")).where("out > 0"))
+    if main.isEmpty():
+        return None
     named = named.join(main, "h")
     lefts, rights = _blocks(F.col("m")), _blocks(F.col("out"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -261,10 +288,11 @@ def _rest_groups(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect the same classes as all links do."""
-    members = _buckets(_prefixes(sets, percent))
+    members = _buckets(_with_partner(_prefixes(sets, percent), percent))
     small, rest = _split(members, sets)
     found = materialize(_compared(_first_groups(small, rest), sets, percent))
-    return found.unionByName(materialize(_compared(_rest_groups(rest, found), sets, percent)))
+    more = _rest_groups(rest, found)
+    return found if more is None else found.unionByName(materialize(_compared(more, sets, percent)))
 
 
 def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
