@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tiltkit.llm import ngram_join as N
+from tiltkit.llm.bitmaps import bitmap, parts
 from tiltkit.llm.shingles import shingle_sets
 from tiltkit.llm.trie import linked
 
@@ -105,6 +106,47 @@ def test_sets_travel_only_with_a_possible_partner(spark, monkeypatch):
     assert 2 <= len(sent[0]) <= 4
 
 
+@pytest.mark.parametrize("limits", [{}, {"PARTED": 20}, {"PARTED_GRAMS": 3000}])
+def test_sets_of_a_large_group_travel_few_times(spark, monkeypatch, limits):
+    """Near copies that meet in many buckets, and as many unlike texts that share a word or two with each other:
+    no link is lost, and the sets sent to be compared do not grow with the buckets."""
+    for name, value in {"BLOCK": 30, "WHOLE_GRAMS": 1000, **limits}.items():
+        monkeypatch.setattr(N, name, value)
+    sent = []
+    compared = N._compared
+    monkeypatch.setattr(N, "_compared", lambda groups, *a: (sent.append(groups.count()), compared(groups, *a))[1])
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    rows = [edited(r, words, r.randrange(4)) for _ in range(60)]
+    # every run of 8 words is in two texts, so each meets others by chance
+    runs = [" ".join(f"c{j}x{i}" for i in range(8)) for j in range(600)] * 2
+    r.shuffle(runs)
+    rows = list(enumerate(rows + [" ".join(runs[i:i + 20]) for i in range(0, 1200, 20)]))
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted(tuple(x) for x in N.join_groups(docs, k=3, percent=80).collect())
+    assert got == sorted(brute(rows, 3, 80))
+    if not limits:
+        assert sum(sent) <= 4 * 60
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80, 100])
+def test_parts_hold_all_links(percent):
+    """Sets that link are in one part unless connected already, also with bitmaps of unlike sizes; unlike sets part."""
+    r = np.random.default_rng(percent)
+    base = [r.integers(0, 2**64, 700, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[:r.integers(30, 700)], r.integers(0, 2**64, r.integers(0, 60), dtype=np.uint64)])) for b in base for _ in range(25)]
+    sizes, maps = np.array([len(x) for x in sets]), [bitmap(x) for x in sets]
+    assert len({len(m) for m in maps}) > 1
+    over = lambda a, b: 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+    for roots in (np.arange(75), np.arange(75) % 4, np.zeros(75, dtype=np.int64)):
+        part = parts(sizes, maps, roots, percent)
+        assert all(part[a] == part[b] for a in range(75) for b in range(a) if roots[a] != roots[b] and over(sets[a], sets[b]))
+        assert len(set(part)) == 75 or roots.any()
+    unlike = [r.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(20)]
+    if percent >= 80:
+        assert len(set(parts(np.full(20, 500), [bitmap(np.unique(x)) for x in unlike], np.arange(20), percent))) == 20
+
+
 @pytest.mark.parametrize("percent", [40, 95])
 def test_small_sets_that_share_much_match_brute_force(spark, percent):
     """Sets of every size over few n-grams, so links lie at every place of a prefix and at every ratio of sizes."""

@@ -13,16 +13,20 @@ with the same set form a class, and only classes are joined. Two sets link when
    size - ceil(percent * size) + 1, so classes meet in buckets, one per n-gram
    that two prefixes hold. The smaller of the two has it in a shorter prefix
    still, and their sizes are near, so a class leaves the buckets where no other
-   fits so. Buckets with the same members count once.
+   fits so. Buckets are then cut into parts between which no two sets link, as
+   their parity bitmaps tell (``bitmaps``): sets that meet by chance, the more
+   the larger the table, part before any set travels. Buckets with the same
+   members count once.
 3. Prefix trees. A bucket's sets are stored in a radix trie, ordered by their
    frequency in the bucket, common first. Each set walks the trie, carrying the
    overlap with the path, which all sets below share; a subtree is left when
    the overlap plus what remains of either set is below what a link needs.
    Members that are connected already are not compared again, so a bucket gives
-   at most one link per member, never all pairs. Buckets of more than ``BLOCK``
-   members are dealt to blocks first; what is not connected then meets the
-   bucket's other members block by block, which leaves out the pairs within
-   the largest component.
+   at most one link per member, never all pairs. A class of many buckets meets
+   others in two of them first, which connects most copies that differ a
+   little; buckets are then cut again, into parts between which all that may
+   link is connected. What is left of more than ``BLOCK`` members meets block
+   by block, which leaves out the pairs within the largest component.
 4. ``components`` connects the links.
 
 Numbers of hash ranges, blocks and rounds depend on the data's size only in
@@ -49,6 +53,8 @@ from .components import components
 
 #: Most members of a block of a bucket.
 BLOCK = 256
+#: Most members, and n-grams of all members, of a bucket that is cut into parts.
+PARTED, PARTED_GRAMS = 4096, 4_000_000
 #: Most n-grams of a group that has all classes which a chain of buckets reaches.
 WHOLE_GRAMS = 100_000
 #: Documents whose sets a task holds at a time.
@@ -227,6 +233,62 @@ def _buckets(prefixes: DataFrame) -> DataFrame:
     return materialize(kept.join(materialize(once.select("h", "m", "least")), "h"))
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(key, n, map): the bitmap of each class's set, one or two bits an n-gram."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from .bitmaps import bitmap
+
+        for batch in batches:
+            (grams, keys), = _from_sets([batch])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array([len(g) for g in grams], pa.int64()), pa.array([bitmap(g) for g in grams], pa.binary())],
+                names=["key", "n", "map"])
+
+    return sets.select("key", "grams").mapInArrow(run, "key bigint, n bigint, map binary")
+
+
+def _parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(h, key) of (h, key, root, m): the members of buckets, each part of a
+    bucket a bucket of its own. Members with equal roots are connected already.
+    Buckets that are too large to be cut stay whole."""
+    dealt = members.where(F.col("m") <= PARTED).select("h", "key", "root").join(_bitmaps(sets), "key")
+    dealt = dealt.repartition("h").sortWithinPartitions("h")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .bitmaps import parts
+
+        def told(h, keys, roots, sizes, maps):
+            whole = len(maps) < len(keys)
+            part = np.zeros(len(keys), dtype=np.int64) if whole else parts(np.array(sizes), maps, np.array(roots), percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), h)), pa.array(part), pa.array(keys, pa.int64())], names=["h", "part", "key"])
+
+        now, grams, held = None, 0, ([], [], [], [])
+        for batch in batches:
+            for h, *row, m in zip(*(batch.column(c).to_pylist() for c in ("h", "key", "root", "n", "map"))):
+                if h != now:
+                    if held[0]:
+                        yield told(now, *held)
+                    now, grams, held = h, 0, ([], [], [], [])
+                for store, v in zip(held, row):
+                    store.append(v)
+                grams += row[2]
+                if grams <= PARTED_GRAMS:
+                    held[3].append(m)
+                else:
+                    held[3].clear()
+        if held[0]:
+            yield told(now, *held)
+
+    cut = dealt.mapInArrow(run, "h bigint, part bigint, key bigint")
+    return cut.select(F.xxhash64("h", "part").alias("h"), "key").unionByName(members.where(F.col("m") > PARTED).select("h", "key"))
+
+
 def _blocks(m: Column) -> Column:
     return F.ceil(m / BLOCK)
 
@@ -249,50 +311,60 @@ def _split(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _first_groups(small: DataFrame, rest: DataFrame) -> DataFrame:
     """(kind, i, j, key, right, buckets): groups that hold every class with
     candidates. All that a small chain of buckets reaches is one group of
-    several buckets, so a set travels once. Else every bucket is a group, or
-    if larger than a block, dealt to blocks twice, by two hashes: copies that
-    differ a little are then nearly all connected."""
+    several buckets, so a set travels once. Any other class is in two of its
+    buckets, chosen by hash so that copies that differ a little choose alike;
+    of those larger than a block, in a block each, by two hashes."""
     # the buckets of a class are n-grams of its prefix, so they are few
     whole = small.groupBy("root", "key").agg(F.collect_list("h").alias("buckets")).select(
         F.lit(0).alias("kind"), F.col("root").alias("i"), F.lit(0).cast("long").alias("j"), "key", "buckets")
-    n, one = _blocks(F.col("m")), F.array(F.lit(0).cast("long")).alias("buckets")
-    deals = [rest.where("m > 0" if d == 1 else F.col("m") > BLOCK).select(
-        F.lit(d).alias("kind"), F.col("h").alias("i"), _block(n, d).alias("j"), "key", one) for d in (1, 2)]
+    deals = [rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("h", F.lit(d)).alias("x"), "h", "m")).alias("b")).select(
+        F.lit(d).alias("kind"), F.col("b.h").alias("i"), _block(_blocks(F.col("b.m")), d).alias("j"), "key", _one()) for d in (1, 2)]
     return whole.unionByName(deals[0]).unionByName(deals[1]).withColumn("right", F.lit(False))
 
 
-def _rest_groups(members: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Groups for what the first ones have not compared, if any: in each bucket
-    above a block, members outside its largest component so far (right) meet
-    all members (left), block by block."""
-    big = members.where(F.col("m") > BLOCK).select("h", "key", "m")
-    if big.isEmpty():
-        return None
-    named = big.join(components(found), F.col("key") == F.col("node"), "left").select(
-        "h", "key", "m", F.coalesce("root", "key").alias("part"))
-    named = materialize(named)
-    parts = named.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("h").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("m"))
-    main = materialize(main.select("h", F.col("main.part").alias("main"), (F.col("m") - F.col("main.n")).alias("out")).where("out > 0"))
-    if main.isEmpty():
-        return None
+def _one() -> Column:
+    return F.array(F.lit(0).cast("long")).alias("buckets")
+
+
+def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, key, root, m): members of the buckets that are not yet connected."""
+    named = materialize(members.select("h", "key", "m").join(roots, F.col("key") == F.col("node"), "left").select(
+        "h", "key", F.coalesce("root", "key").alias("root"), "m"))
+    apart = named.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h")
+    return named.join(apart, "h")
+
+
+def _rest_groups(members: DataFrame) -> DataFrame:
+    """Groups for what the first ones have not connected, of (h, key, root, m):
+    a bucket, or if larger than a block, members outside its largest component
+    so far (right) with all members (left), block by block."""
+    whole = members.where(F.col("m") <= BLOCK).select(
+        F.lit(1).alias("kind"), F.col("h").alias("i"), F.lit(0).cast("long").alias("j"), "key", F.lit(False).alias("right"), _one())
+    named = members.where(F.col("m") > BLOCK)
+    parts = named.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("h").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("h", F.col("main.root").alias("main"), (F.col("all") - F.col("main.n")).alias("out"))
     named = named.join(main, "h")
     lefts, rights = _blocks(F.col("m")), _blocks(F.col("out"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     left = named.select("h", _block(lefts, 3).alias("l"), each(rights).alias("r"), "key", F.lit(False).alias("right"))
-    right = named.where("part <> main").select("h", each(lefts).alias("l"), _block(rights, 4).alias("r"), "key", F.lit(True).alias("right"))
-    return left.unionByName(right).select(
-        F.lit(3).alias("kind"), F.col("h").alias("i"), (F.col("l") * (1 << 31) + F.col("r")).alias("j"), "key", "right",
-        F.array(F.lit(0).cast("long")).alias("buckets"))
+    right = named.where("root <> main").select("h", each(lefts).alias("l"), _block(rights, 4).alias("r"), "key", F.lit(True).alias("right"))
+    return whole.unionByName(left.unionByName(right).select(
+        F.lit(3).alias("kind"), F.col("h").alias("i"), (F.col("l") * (1 << 31) + F.col("r")).alias("j"), "key", "right", _one()))
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect the same classes as all links do."""
     members = _buckets(_with_partner(_prefixes(sets, percent), percent))
+    members = _buckets(_parts(members.withColumn("root", F.col("key")), sets, percent))
     small, rest = _split(members, sets)
     found = materialize(_compared(_first_groups(small, rest), sets, percent))
-    more = _rest_groups(rest, found)
-    return found if more is None else found.unionByName(materialize(_compared(more, sets, percent)))
+    if rest.isEmpty():
+        return found
+    roots = components(found)
+    more = _buckets(_parts(_with_root(rest, roots), sets, percent))
+    more = materialize(_with_root(more, roots))
+    return found if more.isEmpty() else found.unionByName(materialize(_compared(_rest_groups(more), sets, percent)))
 
 
 def _compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
